@@ -1,0 +1 @@
+"""See the package README for what lives here."""
