@@ -28,7 +28,7 @@ from panelspark.llm.tokens import follow, text_buffer, word_hashes, word_spans
 
 END, START = np.uint64(0x9AE16A3B2F90404E), np.uint64(0xC2B2AE3D27D4EB4E)
 #: Weight of the lower order against a history's own counts.
-PRIOR = 50.0
+PRIOR = 2000.0
 SCORES = "doc_id long, held_out boolean, n_tokens long, n_known long, base_log double, score double"
 _SCORES = pa.schema([("doc_id", pa.int64()), ("held_out", pa.bool_()), ("n_tokens", pa.int64()), ("n_known", pa.int64()), ("base_log", pa.float64()), ("score", pa.float64())])
 
