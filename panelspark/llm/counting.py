@@ -19,31 +19,63 @@ _ASKED = pa.schema([("block", pa.int32()), ("bucket", pa.int32()), ("items", pa.
 _TOLD = pa.schema([("block", pa.int32()), ("bucket", pa.int32()), ("totals", pa.binary()), ("seen_distinct", pa.int64()), ("seen_total", pa.int64())])
 
 
-def ask(block: int, items: np.ndarray, counts: np.ndarray, buckets: int) -> pa.Table:
-    """Rows of ASKED for a block's sorted distinct items."""
-    cuts = np.searchsorted(items, (np.arange(1, buckets, dtype=np.uint64) * np.uint64((2**64 - 1) // buckets)))
-    cuts = [0, *cuts.tolist(), len(items)]
-    counts = counts.astype(np.uint32)
-    rows = [(k, items[a:b].tobytes(), counts[a:b].tobytes()) for k, (a, b) in enumerate(zip(cuts[:-1], cuts[1:])) if b > a]
+def pack(sorted_items: np.ndarray) -> bytes:
+    """Ascending 64-bit numbers as differences, by byte planes, without the planes that hold only zeros."""
+    steps = np.diff(sorted_items, prepend=np.uint64(0)).astype("<u8")
+    planes = -(-int(steps.max()).bit_length() // 8) if len(steps) else 0
+    return bytes([planes]) + np.ascontiguousarray(steps.view(np.uint8).reshape(-1, 8)[:, :planes].T).tobytes()
+
+
+def unpack(packed: bytes) -> np.ndarray:
+    planes = packed[0]
+    if not planes:
+        return np.zeros(0, np.uint64)
+    body = np.frombuffer(packed, np.uint8, offset=1).reshape(planes, -1)
+    out = np.zeros((body.shape[1], 8), np.uint8)
+    out[:, :planes] = body.T
+    return np.cumsum(out.view("<u8").ravel(), dtype=np.uint64)
+
+
+def pack_counts(counts: np.ndarray) -> bytes:
+    """Non-negative counts by byte planes; one value that all share takes its own size only."""
+    if len(counts) and (counts == counts[0]).all():
+        return b"\0" + int(counts[0]).to_bytes(8, "little") + len(counts).to_bytes(8, "little")
+    planes = max(1, -(-int(counts.max()).bit_length() // 8)) if len(counts) else 1
+    return bytes([planes]) + np.ascontiguousarray(counts.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :planes].T).tobytes()
+
+
+def unpack_counts(packed: bytes) -> np.ndarray:
+    planes = packed[0]
+    if not planes:
+        return np.full(int.from_bytes(packed[9:17], "little"), int.from_bytes(packed[1:9], "little"), np.int64)
+    body = np.frombuffer(packed, np.uint8, offset=1).reshape(planes, -1)
+    out = np.zeros((body.shape[1], 8), np.uint8)
+    out[:, :planes] = body.T
+    return out.view("<i8").ravel().copy()
+
+
+def ask(block: int, items: np.ndarray, counts: np.ndarray, buckets: int, bits: int = 64) -> pa.Table:
+    """Rows of ASKED for a block's ascending distinct items below 2**bits."""
+    edges = np.array([(k << bits) // buckets for k in range(1, buckets)], np.uint64)
+    cuts = [0, *np.searchsorted(items, edges).tolist(), len(items)]
+    counts = np.asarray(counts, np.int64)
+    rows = [(k, pack(items[a:b]), pack_counts(counts[a:b])) for k, (a, b) in enumerate(zip(cuts[:-1], cuts[1:])) if b > a]
     return pa.Table.from_arrays([pa.array([block] * len(rows), pa.int32()), pa.array([r[0] for r in rows], pa.int32()), pa.array([r[1] for r in rows], pa.binary()), pa.array([r[2] for r in rows], pa.binary())], schema=_ASKED)
 
 
 def _answer(table: pa.Table) -> pa.Table:
-    parts = [np.frombuffer(x, np.uint64) for x in table.column("items").to_pylist()]
-    counts = np.concatenate([np.frombuffer(x, np.uint32) for x in table.column("counts").to_pylist()])
+    parts = [unpack(x) for x in table.column("items").to_pylist()]
+    counts = np.concatenate([unpack_counts(x) for x in table.column("counts").to_pylist()])
     items = np.concatenate(parts)
     order = np.argsort(items, kind="stable")
     ranked = items[order]
-    first = np.empty(len(ranked), bool)
-    first[:1] = True
+    first = np.ones(len(ranked), bool)
     np.not_equal(ranked[1:], ranked[:-1], out=first[1:])
-    sums = np.add.reduceat(counts[order].astype(np.uint64), np.flatnonzero(first)) if len(ranked) else np.zeros(0, np.uint64)
-    totals = np.empty(len(items), np.uint64)
+    sums = np.add.reduceat(counts[order], np.flatnonzero(first))
+    totals = np.empty(len(items), np.int64)
     totals[order] = sums[np.cumsum(first) - 1]
-    totals = np.minimum(totals, 2**32 - 1).astype(np.uint32) if not len(totals) or totals.max() < 2**32 else totals
-    wide = totals.dtype == np.uint64
     ends = np.cumsum([len(p) for p in parts])
-    out = [(b"8" if wide else b"4") + totals[e - len(p) : e].tobytes() for p, e in zip(parts, ends)]
+    out = [pack_counts(totals[e - len(p) : e]) for p, e in zip(parts, ends)]
     even = sums[(ranked[first] & np.uint64(1)) == 0]
     none = [0] * (len(out) - 1)
     return pa.Table.from_arrays([table.column("block").cast(pa.int32()), table.column("bucket").cast(pa.int32()), pa.array(out, pa.binary()), pa.array([int((even > 0).sum()), *none]), pa.array([int(even.sum()), *none])], schema=_TOLD)
@@ -56,5 +88,10 @@ def told(asked: DataFrame) -> DataFrame:
 
 def totals_of(rows: Iterator[tuple[int, bytes]]) -> np.ndarray:
     """The totals of a block's items, in their order, from its (bucket, totals) rows."""
-    parts = [np.frombuffer(x, np.uint64 if x[:1] == b"8" else np.uint32, offset=1).astype(np.int64) for _, x in sorted(rows)]
+    parts = [unpack_counts(x) for _, x in sorted(rows)]
     return np.concatenate(parts) if parts else np.zeros(0, np.int64)
+
+
+def bits_for(total_bytes: int) -> int:
+    """Bits of a hash that tell apart nearly all of the items that so many bytes of text can hold: for counts that may be too high, never too low."""
+    return min(64, max(16, int(total_bytes).bit_length() + 8))

@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from panelspark.llm import counting
-from panelspark.llm.shared import block_count, in_blocks, written
+from panelspark.llm.shared import BLOCK_BYTES, block_count, in_blocks, written
 from panelspark.llm.tokens import follow, text_buffer, word_hashes, word_spans
 
 END, START = np.uint64(0x9AE16A3B2F90404E), np.uint64(0xC2B2AE3D27D4EB4E)
@@ -127,14 +127,14 @@ def _score(n_train: int, n_distinct: int, prior: float):
     return run
 
 
-def score_documents(docs: DataFrame, modulus: int = 10, prior: float = PRIOR, block_bytes: int | None = None) -> DataFrame:
+def score_documents(docs: DataFrame, modulus: int = 10, prior: float = PRIOR, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """Each row's ``doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score`` from its ``doc_id`` and ``text``.
 
     Learns from the documents whose crc32 of the id's decimal form leaves a remainder of ``modulus`` other than 0.
     """
     held = F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % modulus == 0, F.lit(False))
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).withColumn("held_out", held)
-    blocks = block_count(docs) if block_bytes is None else block_count(docs, block_bytes=block_bytes)
+    blocks = block_count(docs, block_bytes=block_bytes)
     docs = in_blocks(docs, blocks)
     answers = written(counting.told(docs.groupBy("block").applyInArrow(_ask(blocks), counting.ASKED)), "lm-counts")
     n_distinct, n_train = (int(x or 0) for x in answers.agg(F.sum("seen_distinct"), F.sum("seen_total")).first())

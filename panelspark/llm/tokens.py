@@ -10,6 +10,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
@@ -120,7 +121,8 @@ def shingle_sets(texts: pa.Array | pa.ChunkedArray, width: int = 5) -> Iterator[
 def pieces(batch: pa.RecordBatch | pa.Table, column: str, most_bytes: int = 4 << 20) -> Iterator[pa.RecordBatch | pa.Table]:
     """Consecutive slices of a batch with about ``most_bytes`` of text each, or one row where a text is longer."""
     texts = batch.column(column)
-    sizes = np.nan_to_num(np.asarray(pa.compute.binary_length(texts).to_numpy(zero_copy_only=False), float)) if isinstance(texts, pa.Array) else np.nan_to_num(np.asarray(pa.compute.binary_length(texts).combine_chunks().to_numpy(zero_copy_only=False), float))
+    sizes = pc.fill_null(pc.binary_length(texts), 0)
+    sizes = (sizes.combine_chunks() if isinstance(sizes, pa.ChunkedArray) else sizes).to_numpy(zero_copy_only=False)
     total = np.cumsum(sizes)
     at = 0
     while at < len(total):
