@@ -19,6 +19,20 @@ def op3_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     return score_documents(_table(spark, sf_dir, "documents"))
 
 
+def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from panelspark.llm.language_id import identify
+
+    return identify(_table(spark, sf_dir, "documents"))
+
+
+def op4_bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    from panelspark.llm.bpe import round_trip_digests
+
+    return round_trip_digests(_table(spark, sf_dir, "documents"), str(public_tokenizers.path("word_bpe_49k.json")))
+
+
 def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from panelspark.llm.line_dedup import dedup_lines
 
@@ -39,6 +53,8 @@ def op8_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_lm_scoring": op3_lm_scoring,
+    "op2_language_id": op2_language_id,
+    "op4_bpe_round_trip": op4_bpe_round_trip,
     "op6_line_dedup": op6_line_dedup,
     "op7_source_mixing": op7_source_mixing,
     "op8_ngram_join": op8_ngram_join,
