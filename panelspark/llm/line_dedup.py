@@ -26,7 +26,7 @@ from panelspark.llm.shared import BLOCK_BYTES, block_count, blocked_table, forge
 from panelspark.llm.tokens import follow, mix, text_buffer, word_hashes, word_spans
 
 WIDTH, PERCENT, LEAST_WORDS = 5, 80, 5
-_RECORD = "d1 long, d2 long, n int, doc long, row long, line int, sig1 long, sig2 long, shared binary, token array<long>, place array<int>"
+_RECORD = "d1 long, d2 long, n int, doc long, row long, line int, sig1 long, sig2 long, sig3 long, sig4 long, shared binary, token array<long>, place array<int>"
 _LAST = np.int64(2**63 - 1)
 
 
@@ -95,8 +95,8 @@ def _ask(buckets: int, bits: int, width: int, least_words: int):
 
 def _records(bits: int, width: int, percent: int, least_words: int):
     def run(key, docs: pa.Table, told: pa.Table) -> pa.Table:
-        rows: dict[str, list] = {k: [] for k in ("d1", "d2", "n", "doc", "row", "line", "sig1", "sig2", "shared", "token", "place")}
-        types = (pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.binary(), pa.list_(pa.int64()), pa.list_(pa.int32()))
+        rows: dict[str, list] = {k: [] for k in ("d1", "d2", "n", "doc", "row", "line", "sig1", "sig2", "sig3", "sig4", "shared", "token", "place")}
+        types = (pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int32(), *[pa.int64()] * 4, pa.binary(), pa.list_(pa.int64()), pa.list_(pa.int32()))
         if docs.num_rows and told.num_rows:
             x = Lines(docs, width, least_words)
             totals = counting.totals_of(zip(told.column("bucket").to_pylist(), told.column("totals").to_pylist()))
@@ -113,7 +113,7 @@ def _records(bits: int, width: int, percent: int, least_words: int):
                 mine = x.token[a : a + n]
                 head = mine[np.argsort(rank[mine])][: set_join.prefix_length(n, 1, percent)]
                 place = np.flatnonzero(df[head] > 1)
-                for c, v in (("d1", int(x.d1[k : k + 1].view(np.int64)[0])), ("d2", int(x.d2[k : k + 1].view(np.int64)[0])), ("n", n), ("doc", int(x.doc[k])), ("row", int(x.row[k])), ("line", int(x.number[x.lines[k]])), ("sig1", int(sigs[0][k : k + 1].view(np.int64)[0])), ("sig2", int(sigs[1][k : k + 1].view(np.int64)[0])), ("shared", x.distinct[mine[common[a : a + n]]].tobytes()), ("token", x.distinct[head[place]].view(np.int64)), ("place", place.astype(np.int32))):
+                for c, v in (("d1", int(x.d1[k : k + 1].view(np.int64)[0])), ("d2", int(x.d2[k : k + 1].view(np.int64)[0])), ("n", n), ("doc", int(x.doc[k])), ("row", int(x.row[k])), ("line", int(x.number[x.lines[k]])), *((f"sig{j}", g) for j, g in enumerate(sigs[k].tolist(), 1)), ("shared", x.distinct[mine[common[a : a + n]]].tobytes()), ("token", x.distinct[head[place]].view(np.int64)), ("place", place.astype(np.int32))):
                     rows[c].append(v)
         return pa.Table.from_arrays([pa.array(v, t) for v, t in zip(rows.values(), types)], names=list(rows))
 
@@ -158,10 +158,10 @@ def _cleaned(width: int, least_words: int):
 
 def _linked(records: DataFrame, percent: int) -> DataFrame:
     """The records (doc, row, line) that an earlier line resembles."""
-    firsts = records.groupBy("d1", "d2", "n").agg(F.min(F.struct("doc", "row", "line", "sig1", "sig2", "shared", "token", "place")).alias("f")).select("d1", "d2", "n", "f.*")
+    firsts = records.groupBy("d1", "d2", "n").agg(F.min(F.struct("doc", "row", "line", "sig1", "sig2", "sig3", "sig4", "shared", "token", "place")).alias("f")).select("d1", "d2", "n", "f.*")
     keyed = written(firsts.orderBy("doc", "row", "line").withColumn("key", F.monotonically_increasing_id()), "lines-in-order")
     again = records.join(keyed.select("d1", "d2", "n", F.col("doc").alias("doc0"), F.col("row").alias("row0"), F.col("line").alias("line0")), ["d1", "d2", "n"]).where("not (doc = doc0 and row = row0 and line = line0)").select("doc", "row", "line")
-    posts = keyed.select("key", "n", "sig1", "sig2", F.lit(1).alias("level"), F.col("key").alias("label"), F.explode(F.arrays_zip("token", "place")).alias("t")).select("key", "n", "sig1", "sig2", "level", "label", F.col("t.token").alias("token"), F.col("t.place").alias("place"))
+    posts = keyed.select("key", "n", "sig1", "sig2", "sig3", "sig4", F.lit(1).alias("level"), F.col("key").alias("label"), F.explode(F.arrays_zip("token", "place")).alias("t")).select("key", "n", "sig1", "sig2", "sig3", "sig4", "level", "label", F.col("t.token").alias("token"), F.col("t.place").alias("place"))
     posts = written(set_join.dealt_postings(posts), "line-postings")
     sets = keyed.select("key", "n", "shared")
     easy = written(set_join.verified(set_join.candidates(posts.withColumn("done", F.lit(False)), percent, star=True), sets, percent).select(F.col("b").alias("key")).distinct(), "resolved")

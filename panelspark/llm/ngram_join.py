@@ -33,7 +33,7 @@ WIDTH, PERCENT, MOST_MATCHES = 5, 80, 6
 #: Cost of verifying a candidate, in postings read.
 CHECK_COST = 40
 _DIGEST = "doc_id long, n_shingles long, d1 long, d2 long"
-_RECORD = "key long, n int, level int, sig1 long, sig2 long, shared binary, token array<long>, place array<int>"
+_RECORD = "key long, n int, level int, sig1 long, sig2 long, sig3 long, sig4 long, shared binary, token array<long>, place array<int>"
 
 
 def _digests(width: int):
@@ -87,7 +87,7 @@ def choose_level(df: np.ndarray, n: int, percent: int, most: int = MOST_MATCHES)
 def _records(bits: int, width: int, percent: int):
     def run(key, docs: pa.Table, side: pa.Table) -> pa.Table:
         ids, sets = _sets(docs, _wanted(side), width)
-        rows: dict[str, list] = {k: [] for k in ("key", "n", "level", "sig1", "sig2", "shared", "token", "place")}
+        rows: dict[str, list] = {k: [] for k in ("key", "n", "level", "sig1", "sig2", "sig3", "sig4", "shared", "token", "place")}
         told = side.filter(pc.is_valid(side.column("bucket")))
         totals = counting.totals_of(zip(told.column("bucket").to_pylist(), told.column("totals").to_pylist()))
         short = np.uint64(64 - bits)
@@ -106,10 +106,10 @@ def _records(bits: int, width: int, percent: int):
             place = np.flatnonzero(common[head])
             if not len(place):
                 continue
-            sig1, sig2 = set_join.signature(s, np.zeros(1, np.int64))
-            for k, v in (("key", i), ("n", n), ("level", level), ("sig1", int(sig1.view(np.int64)[0])), ("sig2", int(sig2.view(np.int64)[0])), ("shared", s[common].tobytes()), ("token", s[head[place]].view(np.int64)), ("place", place.astype(np.int32))):
+            sigs = set_join.signature(s, np.zeros(1, np.int64))[0].tolist()
+            for k, v in (("key", i), ("n", n), ("level", level), *((f"sig{j}", g) for j, g in enumerate(sigs, 1)), ("shared", s[common].tobytes()), ("token", s[head[place]].view(np.int64)), ("place", place.astype(np.int32))):
                 rows[k].append(v)
-        types = (pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.binary(), pa.list_(pa.int64()), pa.list_(pa.int32()))
+        types = (pa.int64(), pa.int32(), pa.int32(), *[pa.int64()] * 4, pa.binary(), pa.list_(pa.int64()), pa.list_(pa.int32()))
         return pa.Table.from_arrays([pa.array(rows[k], t) for k, t in zip(rows, types)], names=list(rows))
 
     return run
@@ -129,7 +129,7 @@ def ngram_join(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT, bloc
     side = answers.select("block", "bucket", "totals", F.lit(None).cast("long").alias("rep")).unionByName(reps.select("block", F.lit(None).cast("int").alias("bucket"), F.lit(None).cast("binary").alias("totals"), "rep"))
     records = written(dealt.groupBy("block").cogroup(side.groupBy("block")).applyInArrow(_records(bits, width, percent), _RECORD), "records")
     forget(answers)
-    posts = records.select("key", "n", "level", "sig1", "sig2", F.explode(F.arrays_zip("token", "place")).alias("t")).select("key", "n", "level", "sig1", "sig2", F.col("t.token").alias("token"), F.col("t.place").alias("place"))
+    posts = records.select("key", "n", "level", "sig1", "sig2", "sig3", "sig4", F.explode(F.arrays_zip("token", "place")).alias("t")).select("key", "n", "level", "sig1", "sig2", "sig3", "sig4", F.col("t.token").alias("token"), F.col("t.place").alias("place"))
     posts = written(set_join.dealt_postings(posts.withColumn("done", F.lit(False))), "postings")
     sets = records.select("key", "n", "shared")
     easy = written(set_join.verified(set_join.candidates(posts.withColumn("label", F.col("key")), percent, star=True), sets, percent), "links")

@@ -28,17 +28,21 @@ def required(n1, n2, percent: int):
     return (percent * (n1 + n2) + 99 + percent) // (100 + percent)
 
 
+def at_least(n, percent: int):
+    """Tokens that a set of n shares with any partner at least."""
+    return (percent * n + 99) // 100
+
+
 def prefix_length(n, level, percent: int):
-    """Tokens of a set's prefix for ``level`` shared tokens with any partner: the smallest partner shares ceil(percent n / 100)."""
-    return n - (percent * n + 99) // 100 + level
+    """Tokens of a set's prefix for ``level`` shared tokens with the smallest partner; a larger partner must share more of them."""
+    return n - at_least(n, percent) + level
 
 
-def signature(tokens: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Two 64-bit maps of each set's tokens: sets that differ in d tokens differ in d bits at most."""
+def signature(tokens: np.ndarray, starts: np.ndarray) -> np.ndarray:
+    """256 parities of each set's tokens (a row of four numbers a set): sets that differ in d tokens differ in d bits at most."""
     bits = np.left_shift(np.uint64(1), (tokens >> np.uint64(50)) & np.uint64(63))
-    upper = (tokens >> np.uint64(57)) & np.uint64(1) > 0
-    zero = np.uint64(0)
-    return np.bitwise_or.reduceat(np.where(upper, zero, bits), starts), np.bitwise_or.reduceat(np.where(upper, bits, zero), starts)
+    word = (tokens >> np.uint64(56)) & np.uint64(3)
+    return np.stack([np.bitwise_xor.reduceat(np.where(word == k, bits, np.uint64(0)), starts) for k in range(4)], axis=1).view(np.int64)
 
 
 def dealt_postings(postings: DataFrame) -> DataFrame:
@@ -68,7 +72,7 @@ def _lists(t: pa.Table) -> Iterator[np.ndarray]:
 def candidates(postings: DataFrame, percent: int, star: bool) -> DataFrame:
     """Pairs a < b of PAIRS, the lists that they share after the filters, and how many they must share.
 
-    ``postings``: token, key, n, place (of the token in the set), level, sig1, sig2, label, done, part1, part2, own, bucket.
+    ``postings``: token, key, n, place (of the token in the set), level, sig1 to sig4, label, done, part1, part2, own, bucket.
     Rows pair unless they have equal labels or the later one is done. ``star``: only with the list's smallest key, to
     settle easy links first.
     """
@@ -76,7 +80,7 @@ def candidates(postings: DataFrame, percent: int, star: bool) -> DataFrame:
     def run(t: pa.Table) -> pa.Table:
         key, n, place, level, label, own, p1, p2 = (t.column(c).to_numpy().astype(np.int64) for c in ("key", "n", "place", "level", "label", "own", "part1", "part2"))
         open_ = ~t.column("done").to_numpy().astype(bool)
-        s1, s2 = (t.column(c).to_numpy().view(np.uint64) for c in ("sig1", "sig2"))
+        sigs = [t.column(f"sig{k}").to_numpy().view(np.uint64) for k in range(1, 5)]
         found_a, found_b, found_c, found_w, held = [], [], [], [], 0
 
         def close() -> None:
@@ -103,10 +107,11 @@ def candidates(postings: DataFrame, percent: int, star: bool) -> DataFrame:
                 i, j = np.nonzero(ok)
                 x, y = x[i, 0], rows[j]
                 need = required(n[x], n[y], percent)
-                most = np.minimum(level[x], level[y])
+                # both prefixes reach as far as this many matches need
+                most = np.minimum(level[x] - at_least(n[x], percent), level[y] - at_least(n[y], percent)) + need
                 ok = (n[x] - place[x] > need - most) & (n[y] - place[y] > need - most) & (np.minimum(n[x], n[y]) >= need)
                 x, y, need, kept = x[ok], y[ok], need[ok], ok
-                apart = np.bitwise_count(s1[x] ^ s1[y]).astype(np.int64) + np.bitwise_count(s2[x] ^ s2[y])
+                apart = sum(np.bitwise_count(g[x] ^ g[y]).astype(np.int64) for g in sigs)
                 ok = apart <= n[x] + n[y] - 2 * need
                 x, y, most = x[ok], y[ok], most[kept][ok]
                 if len(x):
