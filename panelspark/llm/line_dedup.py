@@ -18,6 +18,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -26,7 +27,7 @@ from panelspark.llm.shared import BLOCK_BYTES, block_count, blocked_table, forge
 from panelspark.llm.tokens import follow, mix, text_buffer, word_hashes, word_spans
 
 WIDTH, PERCENT, LEAST_WORDS = 5, 80, 5
-_RECORD = "d1 long, d2 long, n int, doc long, row long, line int, sig1 long, sig2 long, sig3 long, sig4 long, shared binary, token array<long>, place array<int>"
+_RECORD = "d1 long, d2 long, n int, doc long, row long, line int, sig1 long, sig2 long, sig3 long, sig4 long, token array<long>, place array<int>"
 _LAST = np.int64(2**63 - 1)
 
 
@@ -45,77 +46,139 @@ class Lines:
         starts, ends, counts = word_spans(data, bounds)
         words = word_hashes(data, starts, ends)
         size = np.diff(counts)
-        line = np.repeat(np.arange(len(size)), size)
-        ahead = counts[1:][line] - np.arange(len(words))  # words left in the line, itself included
-        runs = words.copy()
+        n = np.where(size >= max(width, least_words), size - width + 1, 0)
+        runs = words
         for k in range(1, width):
-            live = np.flatnonzero(ahead > k)
-            runs[live] = follow(runs[live], words[live + k])
-        whole = np.flatnonzero((size[line] < width) & (ahead == size[line]))
-        runs[whole] = mix(runs[whole] + size[line[whole]].astype(np.uint64))
-        used = (ahead >= width) & (size[line] >= least_words)
-        used[whole] = size[line[whole]] >= least_words
-        line = line[used]
-        self.distinct, place = np.unique(runs[used], return_inverse=True)
-        keys = np.unique((line.astype(np.uint64) << np.uint64(32)) | place.astype(np.uint64))
-        self.line, self.token = (keys >> np.uint64(32)).astype(np.int64), (keys & np.uint64(2**32 - 1)).astype(np.int64)
-        self.at = np.flatnonzero(np.r_[True, self.line[1:] != self.line[:-1]]) if len(keys) else np.zeros(0, np.int64)
-        self.lines = self.line[self.at]
-        self.n = np.diff(np.append(self.at, len(keys)))
-        value = self.distinct[self.token]
-        self.d1 = np.add.reduceat(value, self.at) if len(keys) else np.zeros(0, np.uint64)
-        self.d2 = np.add.reduceat(mix(value + np.uint64(0x632BE59BD9B4E019)), self.at) if len(keys) else np.zeros(0, np.uint64)
+            runs = follow(runs[: max(len(words) - k, 0)], words[k:])
+        self.lines = np.flatnonzero(n)
+        self.n = n[self.lines]
+        self.at = np.cumsum(self.n) - self.n
+        total = int(self.n.sum())
+        self.value = runs[np.repeat(counts[self.lines] - self.at, self.n) + np.arange(total)] if total else runs[:0]
+        self._drop_repeats()
+        if least_words < width:
+            self._add_short(words, counts, size, least_words, width)
+        self.d1 = np.add.reduceat(self.value, self.at) if len(self.at) else np.zeros(0, np.uint64)
+        self.d2 = np.add.reduceat(mix(self.value + np.uint64(0x632BE59BD9B4E019)), self.at) if len(self.at) else np.zeros(0, np.uint64)
         ids = docs.column("__doc").combine_chunks().to_numpy(zero_copy_only=False)
         rows = docs.column("__row").combine_chunks().to_numpy(zero_copy_only=False)
         self.doc, self.row = ids[doc[self.lines]], rows[doc[self.lines]]
-        order = np.lexsort((self.number[self.lines], self.row, self.doc, self.n, self.d2, self.d1))
-        same = (self.d1[order][1:] == self.d1[order][:-1]) & (self.d2[order][1:] == self.d2[order][:-1]) & (self.n[order][1:] == self.n[order][:-1])
-        lead = np.flatnonzero(np.r_[True, ~same]) if len(order) else np.zeros(0, np.int64)
-        head = np.repeat(order[lead], np.diff(np.append(lead, len(order))))  # each line's first equal, in this order
         number = self.number[self.lines]
+        order = np.lexsort((number, self.row, self.doc, self.n, self.d2, self.d1))
+        d1, d2, n = self.d1[order], self.d2[order], self.n[order]
+        lead = np.flatnonzero(np.r_[True, (d1[1:] != d1[:-1]) | (d2[1:] != d2[:-1]) | (n[1:] != n[:-1])]) if len(order) else np.zeros(0, np.int64)
+        head = np.repeat(order[lead], np.diff(np.append(lead, len(order))))  # each line's first equal, in this order
         self.first = np.zeros(len(order), bool)  # also true for the same line of a repeated row
         self.first[order] = (self.row[order] == self.row[head]) & (number[order] == number[head]) & (self.doc[order] == self.doc[head])
         self.lead = np.zeros(len(order), bool)
         self.lead[order[lead]] = True
 
-    def tokens_of(self, chosen: np.ndarray) -> np.ndarray:
-        """Positions, among all token places, of the chosen lines."""
-        return np.flatnonzero(np.repeat(chosen, self.n))
+    def _drop_repeats(self) -> None:
+        """Keeps one of equal tokens of a line."""
+        line = np.repeat(np.arange(len(self.n), dtype=np.uint64), self.n)
+        own = self.value + line * np.uint64(0x9E3779B97F4A7C15)
+        ranked = np.sort(own)
+        twice = np.unique(ranked[1:][ranked[1:] == ranked[:-1]])
+        if not len(twice):
+            return
+        at = np.minimum(np.searchsorted(twice, own), len(twice) - 1)
+        some = np.flatnonzero(twice[at] == own)
+        keep = np.ones(len(own), bool)
+        order = some[np.lexsort((some, self.value[some], line[some]))]
+        keep[order[1:][(self.value[order][1:] == self.value[order][:-1]) & (line[order][1:] == line[order][:-1])]] = False
+        self.value = self.value[keep]
+        self.n = np.bincount(line[keep].astype(np.int64), minlength=len(self.n))
+        self.at = np.cumsum(self.n) - self.n
+
+    def _add_short(self, words: np.ndarray, counts: np.ndarray, size: np.ndarray, least_words: int, width: int) -> None:
+        """Lines of fewer words than a run are one token."""
+        short = np.flatnonzero((size >= max(1, least_words)) & (size < width))
+        if not len(short):
+            return
+        extra = []
+        for k in short.tolist():
+            h = words[counts[k] : counts[k] + 1]
+            for j in range(counts[k] + 1, counts[k + 1]):
+                h = follow(h, words[j : j + 1])
+            extra.append(mix(h + np.uint64(size[k])))
+        lines, n = np.concatenate([self.lines, short]), np.concatenate([self.n, np.ones(len(short), np.int64)])
+        value = [*(self.value[a : a + m] for a, m in zip(self.at.tolist(), self.n.tolist())), *extra]
+        order = np.argsort(lines, kind="stable")
+        self.lines, self.n = lines[order], n[order]
+        self.value = np.concatenate([value[k] for k in order.tolist()])
+        self.at = np.cumsum(self.n) - self.n
 
 
 def _ask(buckets: int, bits: int, width: int, least_words: int):
     def run(docs: pa.Table) -> pa.Table:
         x = Lines(docs, width, least_words)
-        items = x.distinct >> np.uint64(64 - bits)
-        held, counts = np.unique(items[x.token[x.tokens_of(x.lead)]], return_counts=True)
+        held, counts = np.unique(x.value[np.repeat(x.lead, x.n)] >> np.uint64(64 - bits), return_counts=True)
         return counting.ask(docs.column("__block")[0].as_py(), held, counts, buckets, bits)
 
     return run
 
 
+def _lists(values: np.ndarray, sizes: np.ndarray) -> pa.ListArray:
+    return pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(sizes)), pa.int32()), pa.array(values))
+
+
 def _records(bits: int, width: int, percent: int, least_words: int):
+    """Of each line that comes first in its block and could have a match elsewhere, its prefix."""
+
     def run(key, docs: pa.Table, told: pa.Table) -> pa.Table:
-        rows: dict[str, list] = {k: [] for k in ("d1", "d2", "n", "doc", "row", "line", "sig1", "sig2", "sig3", "sig4", "shared", "token", "place")}
-        types = (pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int32(), *[pa.int64()] * 4, pa.binary(), pa.list_(pa.int64()), pa.list_(pa.int32()))
-        if docs.num_rows and told.num_rows:
-            x = Lines(docs, width, least_words)
-            totals = counting.totals_of(zip(told.column("bucket").to_pylist(), told.column("totals").to_pylist()))
-            items = x.distinct >> np.uint64(64 - bits)
-            held = np.unique(items[x.token[x.tokens_of(x.lead)]])
-            df = totals[np.searchsorted(held, items)]
-            rank = np.empty(len(df), np.int64)
-            rank[np.lexsort((x.distinct, df))] = np.arange(len(df))
-            common = df[x.token] > 1
-            some = (np.add.reduceat(common.astype(np.int64), x.at) > 0) & x.lead if len(x.at) else x.lead
-            sigs = set_join.signature(x.distinct[x.token], x.at) if len(x.at) else ()
-            for k in np.flatnonzero(some).tolist():
-                a, n = int(x.at[k]), int(x.n[k])
-                mine = x.token[a : a + n]
-                head = mine[np.argsort(rank[mine])][: set_join.prefix_length(n, 1, percent)]
-                place = np.flatnonzero(df[head] > 1)
-                for c, v in (("d1", int(x.d1[k : k + 1].view(np.int64)[0])), ("d2", int(x.d2[k : k + 1].view(np.int64)[0])), ("n", n), ("doc", int(x.doc[k])), ("row", int(x.row[k])), ("line", int(x.number[x.lines[k]])), *((f"sig{j}", g) for j, g in enumerate(sigs[k].tolist(), 1)), ("shared", x.distinct[mine[common[a : a + n]]].tobytes()), ("token", x.distinct[head[place]].view(np.int64)), ("place", place.astype(np.int32))):
-                    rows[c].append(v)
-        return pa.Table.from_arrays([pa.array(v, t) for v, t in zip(rows.values(), types)], names=list(rows))
+        types = {f.split()[0]: f.split()[1] for f in _RECORD.split(", ")}
+        kinds = {"long": pa.int64(), "int": pa.int32(), "array<long>": pa.list_(pa.int64()), "array<int>": pa.list_(pa.int32())}
+        none = pa.Table.from_arrays([pa.array([], kinds[t]) for t in types.values()], names=list(types))
+        if not docs.num_rows or not told.num_rows:
+            return none
+        x = Lines(docs, width, least_words)
+        totals = counting.totals_of(zip(told.column("bucket").to_pylist(), told.column("totals").to_pylist()))
+        short = np.uint64(64 - bits)
+        mine = np.repeat(x.lead, x.n)
+        value, line = x.value[mine], np.repeat(np.flatnonzero(x.lead), x.n[x.lead])
+        held = np.unique(value >> short)
+        held, totals = held[totals > 1], totals[totals > 1]
+        if not len(held):
+            return none
+        at = np.minimum(np.searchsorted(held, value >> short), len(held) - 1)
+        common = held[at] == value >> short
+        value, line, df = value[common], line[common], totals[at[common]]
+        many = np.bincount(line, minlength=len(x.n))
+        alone = x.n - many  # tokens that no other line holds come first in the order
+        prefix = set_join.prefix_length(x.n, 1, percent)
+        live = (alone < prefix)[line]
+        value, line, df = value[live], line[live], df[live]
+        order = np.lexsort((value, (line.astype(np.uint64) << np.uint64(32)) | np.minimum(df, 2**32 - 1).astype(np.uint64)))
+        value, line = value[order], line[order]
+        first = np.flatnonzero(np.r_[True, line[1:] != line[:-1]]) if len(line) else np.zeros(0, np.int64)
+        size = np.diff(np.append(first, len(line)))
+        place = alone[line] + np.arange(len(line)) - np.repeat(first, size)
+        post = place < prefix[line]
+        chosen = line[first]
+        sigs = set_join.signature(x.value, x.at)[chosen]
+        posts = np.add.reduceat(post.astype(np.int64), first) if len(first) else first
+        columns = [x.d1[chosen].view(np.int64), x.d2[chosen].view(np.int64), x.n[chosen], x.doc[chosen], x.row[chosen], x.number[x.lines[chosen]], *(sigs[:, k] for k in range(4))]
+        arrays = [pa.array(c.astype(np.int64)).cast(kinds[t]) for c, t in zip(columns, types.values())]
+        return pa.Table.from_arrays([*arrays, _lists(value[post].view(np.int64), posts), _lists(place[post].astype(np.int32), posts)], names=list(types))
+
+    return run
+
+
+def _wanted_sets(width: int, least_words: int):
+    """The whole sets of the lines asked for, from the few documents that hold them."""
+
+    def run(key, docs: pa.Table, wanted: pa.Table) -> pa.Table:
+        keys, sets, n = [], [], []
+        if docs.num_rows and wanted.num_rows:
+            docs = docs.filter(pc.is_in(docs.column("__row"), value_set=wanted.column("row").combine_chunks()))
+            named = dict(zip(zip(wanted.column("row").to_pylist(), wanted.column("line").to_pylist()), wanted.column("key").to_pylist()))
+            if docs.num_rows:
+                x = Lines(docs, width, least_words)
+                for k, at in enumerate(zip(x.row.tolist(), x.number[x.lines].tolist())):
+                    if (got := named.pop(at, None)) is not None:
+                        a = int(x.at[k])
+                        keys.append(got), n.append(int(x.n[k])), sets.append(np.sort(x.value[a : a + n[-1]]).tobytes())
+        return pa.table({"key": pa.array(keys, pa.int64()), "n": pa.array(n, pa.int32()), "shared": pa.array(sets, pa.binary())})
 
     return run
 
@@ -156,17 +219,26 @@ def _cleaned(width: int, least_words: int):
     return run
 
 
-def _linked(records: DataFrame, percent: int) -> DataFrame:
+def _linked(records: DataFrame, thin: DataFrame, blocks: int, width: int, least_words: int, percent: int) -> DataFrame:
     """The records (doc, row, line) that an earlier line resembles."""
-    firsts = records.groupBy("d1", "d2", "n").agg(F.min(F.struct("doc", "row", "line", "sig1", "sig2", "sig3", "sig4", "shared", "token", "place")).alias("f")).select("d1", "d2", "n", "f.*")
+    where = records.select("d1", "d2", "n", "doc", "row", "line")
+    firsts = where.groupBy("d1", "d2", "n").agg(F.min(F.struct("doc", "row", "line")).alias("f")).select("d1", "d2", "n", "f.*")
     keyed = written(firsts.orderBy("doc", "row", "line").withColumn("key", F.monotonically_increasing_id()), "lines-in-order")
-    again = records.join(keyed.select("d1", "d2", "n", F.col("doc").alias("doc0"), F.col("row").alias("row0"), F.col("line").alias("line0")), ["d1", "d2", "n"]).where("not (doc = doc0 and row = row0 and line = line0)").select("doc", "row", "line")
-    posts = keyed.select("key", "n", "sig1", "sig2", "sig3", "sig4", F.lit(1).alias("level"), F.col("key").alias("label"), F.explode(F.arrays_zip("token", "place")).alias("t")).select("key", "n", "sig1", "sig2", "sig3", "sig4", "level", "label", F.col("t.token").alias("token"), F.col("t.place").alias("place"))
+    again = where.join(keyed.select("d1", "d2", "n", F.col("doc").alias("doc0"), F.col("row").alias("row0"), F.col("line").alias("line0")), ["d1", "d2", "n"]).where("not (doc = doc0 and row = row0 and line = line0)").select("doc", "row", "line")
+    sigs = [f"sig{k}" for k in range(1, 5)]
+    posts = records.drop("doc", "d1", "d2").join(keyed.select("row", "line", "key"), ["row", "line"]).select("key", "n", *sigs, F.lit(1).alias("level"), F.col("key").alias("label"), F.explode(F.arrays_zip("token", "place")).alias("t")).select("key", "n", *sigs, "level", "label", F.col("t.token").alias("token"), F.col("t.place").alias("place"))
     posts = written(set_join.dealt_postings(posts), "line-postings")
-    sets = keyed.select("key", "n", "shared")
-    easy = written(set_join.verified(set_join.candidates(posts.withColumn("done", F.lit(False)), percent, star=True), sets, percent).select(F.col("b").alias("key")).distinct(), "resolved")
+
+    def later(pairs: DataFrame) -> DataFrame:
+        pairs = written(pairs, "line-pairs")
+        ends = pairs.select(F.col("a").alias("key")).unionByName(pairs.select(F.col("b").alias("key"))).distinct()
+        wanted = keyed.join(ends, "key").select("row", "line", "key", F.pmod("row", F.lit(blocks)).cast("int").alias("__block"))
+        sets = written(thin.groupBy("__block").cogroup(wanted.groupBy("__block")).applyInArrow(_wanted_sets(width, least_words), "key long, n int, shared binary"), "line-sets")
+        return written(set_join.verified(pairs, sets, percent).select(F.col("b").alias("key")).distinct(), "resolved")
+
+    easy = later(set_join.candidates(posts.withColumn("done", F.lit(False)), percent, star=True))
     left = posts.join(easy.withColumn("settled", F.lit(True)), "key", "left").withColumn("done", F.coalesce("settled", F.lit(False)))
-    rest = set_join.verified(set_join.candidates(left, percent, star=False), sets, percent).select(F.col("b").alias("key")).distinct()
+    rest = later(set_join.candidates(left, percent, star=False))
     return written(keyed.join(easy.unionByName(rest).distinct(), "key", "left_semi").select("doc", "row", "line").unionByName(again), "lines-to-remove")
 
 
@@ -184,7 +256,7 @@ def dedup_lines(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT, lea
     told = answers.select(F.col("block").alias("__block"), "bucket", "totals")
     records = written(thin.groupBy("__block").cogroup(told.groupBy("__block")).applyInArrow(_records(bits, width, percent, least_words), _RECORD), "line-records")
     forget(answers)
-    gone = _linked(records, percent).withColumn("__block", F.pmod("row", F.lit(sizes)).cast("int"))
+    gone = _linked(records, thin, sizes, width, least_words, percent).withColumn("__block", F.pmod("row", F.lit(sizes)).cast("int"))
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in table.schema if f.name not in ("__block", "__doc", "__row")) + ", __lines long, __removed long"
     clean = table.groupBy("__block").cogroup(gone.groupBy("__block")).applyInArrow(_cleaned(width, least_words), schema)
     out = [F.col("__text" if c == "text" else f"c{k}").alias(c) for k, c in enumerate(names)]

@@ -12,10 +12,6 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-_LOWER = np.arange(256, dtype=np.uint8)
-_LOWER[65:91] += 32
-_WORD = np.ones(256, dtype=bool)
-_WORD[[0x20, *range(0x09, 0x0E)]] = False
 _MASKS = np.array([(1 << (8 * k)) - 1 for k in range(8)] + [2**64 - 1], dtype=np.uint64)
 _M1, _M2 = np.uint64(0xFF51AFD7ED558CCD), np.uint64(0xC4CEB9FE1A85EC53)
 _S33 = np.uint64(33)
@@ -56,7 +52,7 @@ def word_spans(data: np.ndarray, offsets: np.ndarray, extra_breaks: np.ndarray |
     """Start and end of each word, and the number of words before each text (one more at the end)."""
     if not len(data):
         return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(len(offsets), np.int64)
-    inside = _WORD[data]
+    inside = ((data - np.uint8(9)) >= 5) & (data != 32)
     first = inside.copy()
     first[1:] &= ~inside[:-1]
     cuts = offsets[(offsets > 0) & (offsets < len(data))]
@@ -73,7 +69,7 @@ def word_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.nd
     if not len(starts):
         return np.zeros(0, np.uint64)
     padded = np.zeros(len(data) + 8, np.uint8)
-    np.take(_LOWER, data, out=padded[: len(data)])
+    np.add(data, ((data - np.uint8(65)) < 26).view(np.uint8) << np.uint8(5), out=padded[: len(data)])
     eights = np.ndarray((len(data) + 1,), "<u8", padded.data, strides=(1,))
     left = ends - starts
     out = mix(left.astype(np.uint64) + np.uint64(0x9E3779B97F4A7C15))
