@@ -28,8 +28,10 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from panelspark.llm.shared import bounded
+
 #: Words whose tokens a worker remembers, and pairs whose compatibility it remembers.
-WORDS_KEPT, PAIRS_KEPT = 200_000, 1_000_000
+WORDS_KEPT, PAIRS_KEPT = 120_000, 200_000
 
 
 def byte_letters() -> list[str]:
@@ -157,6 +159,11 @@ class Encoder:
                 at -= self.length[token]
                 token = self.shorter[token]
 
+    def forget(self) -> None:
+        """Gives back what was remembered of words and pairs: a worker outlives its tasks."""
+        self.kept.clear()
+        self.pairs.clear()
+
     def _word(self, word: str) -> str:
         got = self.kept.get(word)
         if got is None:
@@ -214,11 +221,12 @@ def encode(docs: DataFrame, path: str, text: str = "text", column: str = "token_
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         e, _ = codec(path)
-        for b in batches:
+        for b in batches:  # small ones: a batch's ids take more room than its text
             ids = [np.array(e.encode(x).split(), np.int32) for x in b.column(names.index(text)).to_pylist()]
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(ids, pa.list_(pa.int32()))], names=[*names, column])
+        e.forget()
 
-    return docs.mapInArrow(run, ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema) + f", `{column}` array<int>")
+    return bounded(docs).mapInArrow(run, ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema) + f", `{column}` array<int>")
 
 
 def round_trip_digests(docs: DataFrame, path: str) -> DataFrame:
@@ -235,6 +243,7 @@ def round_trip_digests(docs: DataFrame, path: str) -> DataFrame:
                 ids_hash.append(hashlib.sha256(said.encode()).hexdigest())
                 text_hash.append(hashlib.sha256(d.decode(ids)).hexdigest())
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n, pa.int64()), pa.array(ids_hash, pa.string()), pa.array(text_hash, pa.string())], names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
+        e.forget()
 
     thin = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return thin.mapInArrow(run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
+    return bounded(thin).mapInArrow(run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")

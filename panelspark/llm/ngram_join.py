@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 
 from panelspark.llm import counting, set_join
 from panelspark.llm.graph import components
-from panelspark.llm.shared import BLOCK_BYTES, block_count, forget, in_blocks, written
+from panelspark.llm.shared import bounded, BLOCK_BYTES, block_count, forget, in_blocks, written
 from panelspark.llm.tokens import mix, pieces, shingle_sets
 
 WIDTH, PERCENT, MOST_MATCHES = 5, 80, 6
@@ -118,7 +118,7 @@ def _records(bits: int, width: int, percent: int):
 def ngram_join(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """Each row's ``doc_id, n_shingles, component_id`` from its ``doc_id`` and ``text``."""
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    digests = written(docs.mapInArrow(_digests(width), _DIGEST), "digests")
+    digests = written(bounded(docs).mapInArrow(_digests(width), _DIGEST), "digests")
     classes = written(digests.where("n_shingles > 0 and doc_id is not null").groupBy("d1", "d2", "n_shingles").agg(F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("members")), "classes")
     blocks = block_count(docs, block_bytes=block_bytes)
     bits = counting.bits_for(blocks * block_bytes)

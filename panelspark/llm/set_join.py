@@ -15,6 +15,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from panelspark.llm.shared import bounded
+
 #: Postings of one token that a task holds at most; a longer list is dealt to tasks by pairs of its parts.
 LIST_PART = 20_000
 #: Postings for each group of lists handled together.
@@ -147,4 +149,4 @@ def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 
     left = sets.select(F.col("key").alias("a"), F.col("n").alias("n1"), F.col("shared").alias("x"))
     right = sets.select(F.col("key").alias("b"), F.col("n").alias("n2"), F.col("shared").alias("y"))
-    return pairs.select("a", "b").join(right, "b").join(left, "a").select("a", "b", "n1", "n2", "x", "y").mapInArrow(run, "a long, b long")
+    return bounded(pairs.select("a", "b").join(right, "b").join(left, "a").select("a", "b", "n1", "n2", "x", "y")).mapInArrow(run, "a long, b long")

@@ -10,6 +10,8 @@ from pyspark.sql import functions as F
 
 #: UTF-8 bytes of text that a block holds on average; one Python worker has one block in memory.
 BLOCK_BYTES = 8 << 20
+#: Bytes of rows that are handed to a Python worker at once.
+BATCH_BYTES = 6 << 20
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -21,6 +23,12 @@ def shared_dir(spark: SparkSession) -> str:
     return where.rstrip("/")
 
 
+def bounded(df: DataFrame) -> DataFrame:
+    """``df``, from now on handed to Python in batches of a few MB, however long its texts."""
+    df.sparkSession.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
+    return df
+
+
 def written(df: DataFrame, name: str) -> DataFrame:
     """The rows of ``df``, written to the shared folder once and read from there: lost executors cost no recomputation."""
     spark = df.sparkSession

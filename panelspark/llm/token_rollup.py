@@ -26,6 +26,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from panelspark.llm.shared import bounded
+
 KEYS = ["source", "lang", "version"]
 _DELTA = "source string, lang string, version string, documents long, tokens long, batch string"
 _MARK = "batch string, rows long, covers array<string>"
@@ -118,4 +120,4 @@ def count_tokens(docs: DataFrame, versions: dict[str, str], pattern: str) -> Dat
                     yield pa.RecordBatch.from_arrays([*t.columns[:3], pa.array([name] * len(n), pa.string()), pa.array(n, pa.int64())], names=["doc_id", "source", "lang", "version", "n_tokens"])
 
     thin = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), F.col("lang").cast("string").alias("lang"), F.col("text").cast("string").alias("text"))
-    return thin.mapInArrow(run, "doc_id long, source string, lang string, version string, n_tokens long")
+    return bounded(thin).mapInArrow(run, "doc_id long, source string, lang string, version string, n_tokens long")

@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from panelspark.llm.graph import components
-from panelspark.llm.shared import written
+from panelspark.llm.shared import bounded, written
 
 COSINE, SAMPLE, PER_CENTROID, MOST_CENTROIDS, SHARD = 0.95, 20_000, 1200, 4096, 3000
 DEGREE, CANDIDATES, ALPHA, BEAM, SLACK, RECALL, AUDIT = 24, 64, 1.2, 8, 0.06, 0.98, 40
@@ -188,7 +188,7 @@ def _normal(vectors: DataFrame, width: int) -> DataFrame:
                 ids.append(i), out.append((x / np.linalg.norm(x)).tobytes())
             yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(out, pa.binary())], names=["vec_id", "unit"])
 
-    return vectors.mapInArrow(run, "vec_id long, unit binary")
+    return bounded(vectors).mapInArrow(run, "vec_id long, unit binary")
 
 
 def _matrix(column) -> np.ndarray:

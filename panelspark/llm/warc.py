@@ -26,7 +26,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from panelspark.llm.shared import block_count, written
+from panelspark.llm.shared import bounded, block_count, written
 
 ARCHIVE_BYTES, LEAST_BYTES, LEVEL = 8 << 20, 0, 3
 #: Of an archive's records, how many bytes teach the dictionary, and its size.
@@ -115,7 +115,7 @@ def keyed(pages: DataFrame) -> DataFrame:
                 bodies = [x or b"" for x in t.column(2).to_pylist()]
                 yield pa.RecordBatch.from_arrays([t.column(0), t.column(1), pa.array(bodies, pa.binary()), pa.array([digest(x) for x in bodies], pa.string())], names=["page_id", "url", "payload", "payload_digest"])
 
-    return pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), F.col("html").cast("string").cast("binary").alias("html")).mapInArrow(run, _KEYED)
+    return bounded(pages).select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), F.col("html").cast("string").cast("binary").alias("html")).mapInArrow(run, _KEYED)
 
 
 def archives(pages: DataFrame, least_bytes: int = LEAST_BYTES, archive_bytes: int = ARCHIVE_BYTES) -> DataFrame:
