@@ -685,11 +685,12 @@ def read_back(files: list[bytes]) -> Iterator[tuple[bytes, list[np.ndarray]]]:
 
 def tensors(media: DataFrame, column: str = "media") -> DataFrame:
     """``media`` with each image's full-resolution RGB tensor: ``image`` (its number in the row), ``height``, ``width``, ``pixels`` (row by row, three bytes each)."""
-    names = [c for c in media.columns if c != column]
+    columns = media.columns
+    names = [c for c in columns if c != column]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            files = b.column(media.columns.index(column)).to_pylist()
+            files = b.column(columns.index(column)).to_pylist()
             for a, e in _batches(np.array([len(f or b"") for f in files]), BATCH_BYTES):
                 rows, shapes = [], []
                 images, coef = read_images([f or b"" for f in files[a:e]])
@@ -699,7 +700,7 @@ def tensors(media: DataFrame, column: str = "media") -> DataFrame:
                         t = rgb(i, next(planes))
                         rows.append(a + k), shapes.append((j, t.shape[0], t.shape[1], t.tobytes()))
                 kept = b.take(pa.array(rows, pa.int64())) if rows else b.slice(0, 0)
-                yield pa.RecordBatch.from_arrays([*(kept.column(media.columns.index(c)) for c in names), *(pa.array([s[m] for s in shapes], t) for m, t in enumerate((pa.int32(), pa.int32(), pa.int32(), pa.binary())))], names=[*names, "image", "height", "width", "pixels"])
+                yield pa.RecordBatch.from_arrays([*(kept.column(columns.index(c)) for c in names), *(pa.array([s[m] for s in shapes], t) for m, t in enumerate((pa.int32(), pa.int32(), pa.int32(), pa.binary())))], names=[*names, "image", "height", "width", "pixels"])
 
     return media.mapInArrow(run, ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in media.schema if f.name != column) + ", image int, height int, width int, pixels binary")
 

@@ -193,7 +193,7 @@ def _normal(vectors: DataFrame, width: int) -> DataFrame:
 
 def _matrix(column) -> np.ndarray:
     parts = column.to_pylist()
-    return np.frombuffer(b"".join(parts), np.float64).reshape(len(parts), -1)
+    return np.frombuffer(b"".join(parts), np.float64).reshape(len(parts), -1) if parts else np.zeros((0, 1))
 
 
 def link(vectors: DataFrame, threshold: float = COSINE, sample: int = SAMPLE, shard: int = SHARD, per_centroid: int = PER_CENTROID) -> DataFrame:
@@ -206,7 +206,7 @@ def link(vectors: DataFrame, threshold: float = COSINE, sample: int = SAMPLE, sh
     nodes = written(units.groupBy("unit").agg(F.min("vec_id").alias("node"), F.count(F.lit(1)).alias("copies")), "nodes")
     n = nodes.count()
     taken = nodes.select("unit", F.xxhash64("node").alias("h")).orderBy("h").limit(sample).collect() if n else []
-    x = np.frombuffer(b"".join(bytes(r["unit"]) for r in taken), np.float64).reshape(len(taken), -1)
+    x = np.frombuffer(b"".join(bytes(r["unit"]) for r in taken), np.float64).reshape(len(taken), width)
     centroids = spherical_kmeans(x, max(1, min(MOST_CENTROIDS, -(-n // per_centroid), len(x)))) if n else np.zeros((1, width))
     overlap = min(2, len(centroids))
 
