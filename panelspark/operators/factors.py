@@ -5,6 +5,7 @@ from __future__ import annotations
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from panelspark.plans.formula import CROSS, FOLD, SERIES, Printer, compile_formulas, final, library, stages
@@ -75,7 +76,8 @@ def compute(panel: DataFrame, texts: dict[str, str], report: bool = False) -> Da
     g, roots = compile_formulas(texts)
     need, uses = stages(g, list(roots.values()))
     p = Printer(g, "spark")
-    df = panel
+    doubles = {f.name for f in panel.schema if f.dataType == T.DoubleType()}
+    df = panel.select(*(F.when(~F.isnan(c) & (F.abs(c) < float("inf")), F.col(c)).alias(c) if c in doubles else F.col(c) for c in panel.columns))
     for s in range(1, max(need.values(), default=0) + 1):
         now = [i for i, k in need.items() if k == s and (g.nodes[i][0] in SERIES or g.nodes[i][0] in CROSS)]
         folds = [i for i, k in need.items() if k == s and g.nodes[i][0] in FOLD]
