@@ -28,7 +28,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from panelspark.llm.shared import bounded
+from panelspark.llm.shared import bounded, tidy
 
 #: Words whose tokens a worker remembers, and pairs whose compatibility it remembers.
 WORDS_KEPT, PAIRS_KEPT = 120_000, 200_000
@@ -226,7 +226,7 @@ def encode(docs: DataFrame, path: str, text: str = "text", column: str = "token_
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(ids, pa.list_(pa.int32()))], names=[*names, column])
         e.forget()
 
-    return bounded(docs).mapInArrow(run, ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema) + f", `{column}` array<int>")
+    return bounded(docs).mapInArrow(tidy(run, codec), ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema) + f", `{column}` array<int>")
 
 
 def round_trip_digests(docs: DataFrame, path: str) -> DataFrame:
@@ -246,4 +246,4 @@ def round_trip_digests(docs: DataFrame, path: str) -> DataFrame:
         e.forget()
 
     thin = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return bounded(thin).mapInArrow(run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
+    return bounded(thin).mapInArrow(tidy(run, codec), "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")

@@ -13,6 +13,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
+from panelspark.llm.shared import tidy
+
 ASKED = "block int, bucket int, items binary, counts binary"
 TOLD = "block int, bucket int, totals binary, seen_distinct long, seen_total long"
 _ASKED = pa.schema([("block", pa.int32()), ("bucket", pa.int32()), ("items", pa.binary()), ("counts", pa.binary())])
@@ -83,7 +85,7 @@ def _answer(table: pa.Table) -> pa.Table:
 
 def told(asked: DataFrame) -> DataFrame:
     """Rows of TOLD for rows of ASKED. One row of each range also has, over its even items, how many have a count above 0 and their sum."""
-    return asked.groupBy("bucket").applyInArrow(_answer, TOLD)
+    return asked.groupBy("bucket").applyInArrow(tidy(_answer), TOLD)
 
 
 def totals_of(rows: Iterator[tuple[int, bytes]]) -> np.ndarray:

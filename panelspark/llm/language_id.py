@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from panelspark.llm.shared import bounded
+from panelspark.llm.shared import bounded, tidy
 from panelspark.llm.tokens import text_buffer
 
 WINDOW, WIDTHS, FILTERS, VECTOR = 256, (2, 3, 4), 16, 8
@@ -219,7 +219,7 @@ def predicted(docs: DataFrame, network: Network, text: str = "text") -> DataFram
                 lang, score = model.predict(t.column(names.index(text)))
                 yield pa.RecordBatch.from_arrays([*t.columns, pa.array(lang, pa.string()), pa.array(score, pa.float64())], names=[*names, "lang_pred", "score"])
 
-    return bounded(docs).mapInArrow(run, ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema) + ", lang_pred string, score double")
+    return bounded(docs).mapInArrow(tidy(run, _predictor), ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema) + ", lang_pred string, score double")
 
 
 def identify(docs: DataFrame, modulus: int = MODULUS, held_out: int = HELD_OUT) -> DataFrame:

@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from panelspark.llm import counting, set_join
-from panelspark.llm.shared import BLOCK_BYTES, block_count, blocked_table, forget, written
+from panelspark.llm.shared import BLOCK_BYTES, block_count, blocked_table, forget, tidy, written
 from panelspark.llm.tokens import follow, mix, text_buffer, word_hashes, word_spans
 
 WIDTH, PERCENT, LEAST_WORDS = 5, 80, 5
@@ -233,7 +233,7 @@ def _linked(records: DataFrame, thin: DataFrame, blocks: int, width: int, least_
         pairs = written(pairs, "line-pairs")
         ends = pairs.select(F.col("a").alias("key")).unionByName(pairs.select(F.col("b").alias("key"))).distinct()
         wanted = keyed.join(ends, "key").select("row", "line", "key", F.pmod("row", F.lit(blocks)).cast("int").alias("__block"))
-        sets = written(thin.groupBy("__block").cogroup(wanted.groupBy("__block")).applyInArrow(_wanted_sets(width, least_words), "key long, n int, shared binary"), "line-sets")
+        sets = written(thin.groupBy("__block").cogroup(wanted.groupBy("__block")).applyInArrow(tidy(_wanted_sets(width, least_words)), "key long, n int, shared binary"), "line-sets")
         return written(set_join.verified(pairs, sets, percent).select(F.col("b").alias("key")).distinct(), "resolved")
 
     easy = later(set_join.candidates(posts.withColumn("done", F.lit(False)), percent, star=True))
@@ -252,12 +252,12 @@ def dedup_lines(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT, lea
     bits = counting.bits_for(sizes * block_bytes)
     table = blocked_table(plain.withColumn("__block", F.pmod("__row", F.lit(sizes)).cast("int")), "__block", sizes)
     thin = table.select("__block", "__doc", "__row", "__text")
-    answers = written(counting.told(thin.groupBy("__block").applyInArrow(_ask(sizes, bits, width, least_words), counting.ASKED)), "line-token-counts")
+    answers = written(counting.told(thin.groupBy("__block").applyInArrow(tidy(_ask(sizes, bits, width, least_words)), counting.ASKED)), "line-token-counts")
     told = answers.select(F.col("block").alias("__block"), "bucket", "totals")
-    records = written(thin.groupBy("__block").cogroup(told.groupBy("__block")).applyInArrow(_records(bits, width, percent, least_words), _RECORD), "line-records")
+    records = written(thin.groupBy("__block").cogroup(told.groupBy("__block")).applyInArrow(tidy(_records(bits, width, percent, least_words)), _RECORD), "line-records")
     forget(answers)
     gone = _linked(records, thin, sizes, width, least_words, percent).withColumn("__block", F.pmod("row", F.lit(sizes)).cast("int"))
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in table.schema if f.name not in ("__block", "__doc", "__row")) + ", __lines long, __removed long"
-    clean = table.groupBy("__block").cogroup(gone.groupBy("__block")).applyInArrow(_cleaned(width, least_words), schema)
+    clean = table.groupBy("__block").cogroup(gone.groupBy("__block")).applyInArrow(tidy(_cleaned(width, least_words)), schema)
     out = [F.col("__text" if c == "text" else f"c{k}").alias(c) for k, c in enumerate(names)]
     return clean.select(*out, *([F.col("__lines").alias("n_lines"), F.col("__removed").alias("n_removed")] if report else []))

@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from panelspark.llm.shared import bounded
+from panelspark.llm.shared import bounded, tidy
 from panelspark.llm.tokens import text_buffer
 
 TILE, MCU, CHUNK, BATCH_BYTES = 576, 384, 384 * 2048, 768 * 1024
@@ -665,7 +665,7 @@ def store(docs: DataFrame) -> DataFrame:
                 payloads = [payload_of(data[offsets[k] : offsets[k + 1]].tobytes()) for k in range(a, e)]
                 yield pa.RecordBatch.from_arrays([b.column(0).slice(a, e - a), pa.array(sizes[a:e]), pa.array(write_files(payloads), pa.binary())], names=["doc_id", "n_bytes", "media"])
 
-    return bounded(docs).select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, "doc_id long, n_bytes long, media binary")
+    return bounded(docs).select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(tidy(run), "doc_id long, n_bytes long, media binary")
 
 
 def read_back(files: list[bytes]) -> Iterator[tuple[bytes, list[np.ndarray]]]:
@@ -724,4 +724,4 @@ def media_digests(docs: DataFrame) -> DataFrame:
                 types = (pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string())
                 yield pa.RecordBatch.from_arrays([b.column(0).slice(a, e - a), b.column(1).slice(a, e - a), *(pa.array([r[k] for r in rows], t) for k, t in enumerate(types))], names=[x.split()[0] for x in _DIGEST.split(", ")])
 
-    return store(docs).mapInArrow(run, _DIGEST)
+    return store(docs).mapInArrow(tidy(run), _DIGEST)

@@ -29,7 +29,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from panelspark.llm.shared import bounded, written
+from panelspark.llm.shared import bounded, tidy, written
 from panelspark.llm.tokens import pieces, text_buffer, word_spans
 
 WEIGHTS, BUDGET, MOST_EPOCHS, SEED = (3, 1, 2), 1.5, 2, "mix-1"
@@ -44,7 +44,7 @@ def _with_size(docs: DataFrame, text: str, keep_text: bool) -> DataFrame:
                 data, offsets = text_buffer(t.column(text))
                 yield pa.RecordBatch.from_arrays([*(t.column(c) for c in names), pa.array(np.diff(word_spans(data, offsets)[2]))], names=[*names, "__size"])
 
-    return bounded(docs).mapInArrow(run, T.StructType([docs.schema[c] for c in names] + [T.StructField("__size", T.LongType())]))
+    return bounded(docs).mapInArrow(tidy(run), T.StructType([docs.schema[c] for c in names] + [T.StructField("__size", T.LongType())]))
 
 
 def _place(doc: Column, seed: str) -> Column:
@@ -121,7 +121,7 @@ def mix(docs: DataFrame, weights: Sequence[float] = WEIGHTS, budget: float = BUD
                 texts = pa.array(all_, pa.string())
             yield pa.RecordBatch.from_arrays([texts if f"c{k}" == text else batch.column(f"c{k}") for k in range(len(names))], names=[f"c{k}" for k in range(len(names))])
 
-    out = each.select(*(f"c{k}" for k in range(len(names))), "__size", "__words").mapInArrow(run, T.StructType([T.StructField(f"c{k}", f.dataType) for k, f in enumerate(types)]))
+    out = each.select(*(f"c{k}" for k in range(len(names))), "__size", "__words").mapInArrow(tidy(run), T.StructType([T.StructField(f"c{k}", f.dataType) for k, f in enumerate(types)]))
     return out.select(*(F.col(f"c{k}").alias(c) for k, c in enumerate(names)))
 
 

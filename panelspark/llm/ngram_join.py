@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 
 from panelspark.llm import counting, set_join
 from panelspark.llm.graph import components
-from panelspark.llm.shared import bounded, BLOCK_BYTES, block_count, forget, in_blocks, written
+from panelspark.llm.shared import bounded, tidy, BLOCK_BYTES, block_count, forget, in_blocks, written
 from panelspark.llm.tokens import mix, pieces, shingle_sets
 
 WIDTH, PERCENT, MOST_MATCHES = 5, 80, 6
@@ -118,16 +118,16 @@ def _records(bits: int, width: int, percent: int):
 def ngram_join(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """Each row's ``doc_id, n_shingles, component_id`` from its ``doc_id`` and ``text``."""
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    digests = written(bounded(docs).mapInArrow(_digests(width), _DIGEST), "digests")
+    digests = written(bounded(docs).mapInArrow(tidy(_digests(width)), _DIGEST), "digests")
     classes = written(digests.where("n_shingles > 0 and doc_id is not null").groupBy("d1", "d2", "n_shingles").agg(F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("members")), "classes")
     blocks = block_count(docs, block_bytes=block_bytes)
     bits = counting.bits_for(blocks * block_bytes)
     dealt = in_blocks(docs.where("doc_id is not null"), blocks)
     reps = classes.select("rep", F.pmod(F.xxhash64("rep"), F.lit(blocks)).cast("int").alias("block"))
-    asked = dealt.groupBy("block").cogroup(reps.groupBy("block")).applyInArrow(_ask(blocks, bits, width), counting.ASKED)
+    asked = dealt.groupBy("block").cogroup(reps.groupBy("block")).applyInArrow(tidy(_ask(blocks, bits, width)), counting.ASKED)
     answers = written(counting.told(asked), "shingle-counts")
     side = answers.select("block", "bucket", "totals", F.lit(None).cast("long").alias("rep")).unionByName(reps.select("block", F.lit(None).cast("int").alias("bucket"), F.lit(None).cast("binary").alias("totals"), "rep"))
-    records = written(dealt.groupBy("block").cogroup(side.groupBy("block")).applyInArrow(_records(bits, width, percent), _RECORD), "records")
+    records = written(dealt.groupBy("block").cogroup(side.groupBy("block")).applyInArrow(tidy(_records(bits, width, percent)), _RECORD), "records")
     forget(answers)
     posts = records.select("key", "n", "level", "sig1", "sig2", "sig3", "sig4", F.explode(F.arrays_zip("token", "place")).alias("t")).select("key", "n", "level", "sig1", "sig2", "sig3", "sig4", F.col("t.token").alias("token"), F.col("t.place").alias("place"))
     posts = written(set_join.dealt_postings(posts.withColumn("done", F.lit(False))), "postings")

@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from panelspark.llm.shared import bounded
+from panelspark.llm.shared import bounded, tidy
 
 #: Postings of one token that a task holds at most; a longer list is dealt to tasks by pairs of its parts.
 LIST_PART = 20_000
@@ -126,7 +126,7 @@ def candidates(postings: DataFrame, percent: int, star: bool) -> DataFrame:
         close()
         return pa.Table.from_arrays([pa.array(found_a[0], pa.int64()), pa.array(found_b[0], pa.int64()), pa.array(found_c[0].astype(np.int32)), pa.array(found_w[0].astype(np.int32))], schema=_PAIRS)
 
-    found = postings.groupBy("bucket").applyInArrow(run, PAIRS)
+    found = postings.groupBy("bucket").applyInArrow(tidy(run), PAIRS)
     pairs = found.groupBy("a", "b").agg(F.sum("shared").alias("shared"), F.max("wanted").alias("wanted"))
     return pairs if star else pairs.where("shared >= wanted")
 
@@ -149,4 +149,4 @@ def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 
     left = sets.select(F.col("key").alias("a"), F.col("n").alias("n1"), F.col("shared").alias("x"))
     right = sets.select(F.col("key").alias("b"), F.col("n").alias("n2"), F.col("shared").alias("y"))
-    return bounded(pairs.select("a", "b").join(right, "b").join(left, "a").select("a", "b", "n1", "n2", "x", "y")).mapInArrow(run, "a long, b long")
+    return bounded(pairs.select("a", "b").join(right, "b").join(left, "a").select("a", "b", "n1", "n2", "x", "y")).mapInArrow(tidy(run), "a long, b long")
