@@ -166,3 +166,24 @@ _add("indicator_monthly_ma_bull", "symbol date bull", "", f"""WITH w AS (SELECT
 x AS (SELECT symbol, last_day, CASE WHEN count(c) OVER w3 = 12 THEN avg(c) OVER w1 > avg(c) OVER w2 AND avg(c) OVER w2 > avg(c) OVER w3 END AS flag FROM w WINDOW w1 AS (PARTITION BY symbol ORDER BY m ROWS BETWEEN 2 PRECEDING AND CURRENT ROW), w2 AS (PARTITION BY symbol ORDER BY m ROWS BETWEEN 5 PRECEDING AND CURRENT ROW), w3 AS (PARTITION BY symbol ORDER BY m ROWS BETWEEN 11 PRECEDING AND CURRENT ROW)),
 j AS (SELECT b.symbol, b.date, x.last_day, x.flag FROM {{bars}} b LEFT JOIN x ON b.symbol = x.symbol AND b.date = x.last_day)
 SELECT symbol, date, coalesce(MAXBY(flag, CASE WHEN flag IS NOT NULL THEN date END) OVER ({SYM} ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW), false) AS bull FROM j""")
+# ---- more joins, reshapes and reports
+_add("external_wide_to_long", "symbol date factor", "factor_value", "SELECT symbol, date, 'f_volume' AS factor, volume AS factor_value FROM {bars} UNION ALL SELECT symbol, date, 'f_vwap', vwap FROM {bars} UNION ALL SELECT symbol, date, 'f_amount', amount FROM {bars}")
+_add("external_long_to_wide", "symbol date", "f_volume f_vwap", "WITH l AS (SELECT symbol, date, 'f_volume' AS factor, volume AS v FROM {bars} UNION ALL SELECT symbol, date, 'f_vwap', vwap FROM {bars}) SELECT symbol, date, max(CASE WHEN factor = 'f_volume' THEN v END) AS f_volume, max(CASE WHEN factor = 'f_vwap' THEN v END) AS f_vwap FROM l GROUP BY symbol, date")
+_add("join_symbol_alias", "symbol date", "close", "WITH a AS (SELECT '000011' AS old_symbol, '900011' AS new_symbol, CAST('1997-01-01' AS DATE) AS since, CAST('1999-01-01' AS DATE) AS until) SELECT coalesce(a.new_symbol, b.symbol) AS symbol, b.date, b.close FROM {bars} b LEFT JOIN a ON b.symbol = a.old_symbol AND b.date >= a.since AND b.date < a.until")
+_add("join_expected_universe", "symbol date is_suspended", "", "WITH u AS (SELECT s.symbol, d.date FROM (SELECT DISTINCT symbol FROM {bars}) s CROSS JOIN (SELECT DISTINCT date FROM {bars}) d) SELECT u.symbol, u.date, b.close IS NULL AS is_suspended FROM u LEFT JOIN {bars} b ON u.symbol = b.symbol AND u.date = b.date")
+_add("aggregate_reasons", "date reasons", "", "WITH r AS (SELECT DISTINCT date, CASE WHEN volume < 100 THEN 'thin' WHEN close < open THEN 'down' ELSE 'up' END AS reason FROM {bars}) SELECT date, concat(CASE WHEN max(CASE WHEN reason = 'down' THEN 1 ELSE 0 END) = 1 THEN 'down;' ELSE '' END, CASE WHEN max(CASE WHEN reason = 'thin' THEN 1 ELSE 0 END) = 1 THEN 'thin;' ELSE '' END, CASE WHEN max(CASE WHEN reason = 'up' THEN 1 ELSE 0 END) = 1 THEN 'up;' ELSE '' END) AS reasons FROM r GROUP BY date")
+_add("universe_by_year", "yr n_rows n_symbols", "", "SELECT CAST(year(date) AS INT) AS yr, count(1) AS n_rows, count(DISTINCT symbol) AS n_symbols FROM {bars} GROUP BY year(date)")
+_add("warmup_slice", "symbol date", "close", f"WITH i AS (SELECT symbol, date, close, row_number() OVER ({SYM}) AS k FROM {{bars}}), s AS (SELECT symbol, min(k) AS first_k FROM i WHERE date >= CAST('1998-01-01' AS DATE) GROUP BY symbol) SELECT i.symbol, i.date, i.close FROM i JOIN s ON i.symbol = s.symbol WHERE i.k >= s.first_k - 20")
+_add("eval_regime_ic", "regime days", "ic_mean", f"""WITH {EVAL}, m AS (SELECT date, avg(returns) AS r FROM raw GROUP BY date), t AS (SELECT date, exp(sum(ln(1 + coalesce(r, 0))) OVER (ORDER BY date ROWS BETWEEN 11 PRECEDING AND CURRENT ROW)) - 1 AS w FROM m),
+g AS (SELECT date, lag(w) OVER (ORDER BY date) AS w FROM t), h AS (SELECT date, CASE WHEN w > 0.1 THEN 'bull' WHEN w < -0.1 THEN 'bear' ELSE 'sideways' END AS regime FROM g WHERE w IS NOT NULL), d AS (SELECT date, {correlation('fr', 'rr')} AS ic FROM rk GROUP BY date)
+SELECT regime, count(ic) AS days, avg(ic) AS ic_mean FROM d JOIN h ON d.date = h.date GROUP BY regime""")
+_add("eval_filter_status", "date n_total n_new n_thin n_eligible", "", f"WITH {EVAL} SELECT date, count(1) AS n_total, sum(CASE WHEN age < 20 THEN 1 ELSE 0 END) AS n_new, sum(CASE WHEN coalesce(liquidity, 0) < 10000 THEN 1 ELSE 0 END) AS n_thin, sum(CASE WHEN age >= 20 AND liquidity >= 10000 AND factor IS NOT NULL THEN 1 ELSE 0 END) AS n_eligible FROM ev GROUP BY date")
+_add("eval_annual_long_only", "yr n", "year_return", f"WITH {EVAL}, d AS (SELECT date, avg(CASE WHEN grp = 5 THEN fwd1 END) AS r FROM gr GROUP BY date) SELECT CAST(year(date) AS INT) AS yr, count(r) AS n, exp(sum(CASE WHEN r > -1 THEN ln(1 + r) ELSE CAST(0 AS DOUBLE) END)) - 1 AS year_return FROM d GROUP BY year(date)")
+_add("eval_tradable_top_n", "date n_wanted n_entered", "net_return", f"""WITH {EVAL}, t AS (SELECT *, row_number() OVER (PARTITION BY date ORDER BY factor DESC, symbol) AS top, lead(open, 1) OVER ({SYM}) AS entry, lead(close, 1) OVER ({SYM}) AS first_close, lead(open, 2) OVER ({SYM}) AS exit FROM ok)
+SELECT date, count(1) AS n_wanted, count(CASE WHEN entry < first_close * 1.5 AND exit IS NOT NULL THEN 1 END) AS n_entered, avg(CASE WHEN entry < first_close * 1.5 THEN exit * (1 - 0.0013) / (entry * (1 + 0.0003)) - 1 END) AS net_return FROM t WHERE top <= 5 GROUP BY date""")
+_add("eval_summary", "section metric", "value", f"""WITH {EVAL}, d AS (SELECT date, {correlation('fr', 'rr')} AS ic FROM rk GROUP BY date), g AS (SELECT date, avg(CASE WHEN grp = 5 THEN fwd1 END) - avg(CASE WHEN grp = 1 THEN fwd1 END) AS spread FROM gr GROUP BY date)
+SELECT 'ic' AS section, 'mean' AS metric, avg(ic) AS value FROM d UNION ALL SELECT 'ic', 'icir', avg(ic) / nullif(SD(ic), 0) FROM d UNION ALL SELECT 'long_short', 'mean', avg(spread) FROM g UNION ALL SELECT 'coverage', 'mean', avg(CASE WHEN factor IS NOT NULL THEN CAST(1 AS DOUBLE) ELSE CAST(0 AS DOUBLE) END) FROM ev""")
+_add("signals_to_picks", "date symbol pos", "score", f"WITH s AS (SELECT date, symbol, volume AS score, CASE WHEN close > open THEN 'buy' ELSE 'hold' END AS signal_type FROM {{bars}}), r AS (SELECT date, symbol, score, row_number() OVER (PARTITION BY date ORDER BY score DESC, symbol) AS pos FROM s WHERE signal_type = 'buy') SELECT date, symbol, pos, score FROM r WHERE pos <= 4")
+_add("set_operations", "symbol", "", "SELECT symbol FROM {bars} WHERE volume > 400 INTERSECT SELECT symbol FROM {bars} WHERE close > open EXCEPT SELECT symbol FROM {bars} WHERE substr(symbol, 6, 1) = '5'")
+_add("benchmark_compare", "date", "portfolio_return benchmark_return excess", "WITH b AS (SELECT date, sum(close * amount) / sum(amount) AS level FROM {bars} GROUP BY date), r AS (SELECT date, level / lag(level) OVER (ORDER BY date) - 1 AS benchmark_return FROM b), p AS (SELECT date, avg(returns) AS portfolio_return FROM {panel} GROUP BY date) SELECT p.date, portfolio_return, benchmark_return, portfolio_return - benchmark_return AS excess FROM p JOIN r ON p.date = r.date")
+_add("grouping_sets_volume", "symbol yr n", "volume", "SELECT coalesce(symbol, 'all') AS symbol, coalesce(CAST(y AS INT), 0) AS yr, count(1) AS n, sum(volume) AS volume FROM (SELECT symbol, year(date) AS y, volume FROM {bars}) z GROUP BY GROUPING SETS ((symbol), (y), ())")
