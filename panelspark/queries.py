@@ -10,6 +10,7 @@ from panelspark.operators import folds
 from panelspark.operators.factors import compute, formulas
 from panelspark.plans.formula import duckdb_query, final, library
 from panelspark.plans.statements import _DUCK, _SPARK, STATEMENTS, for_engine
+from panelspark.streaming.bars import EVENT_BARS_SQL, streamed_event_bars
 from panelspark.sources.trades import BARS_SQL, PANEL_SQL, research_panel, weekly_bars
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -68,6 +69,7 @@ def registry() -> tuple[dict[str, Query], dict[str, str]]:
         queries[name], oracle[name] = _factors(texts), duckdb_query(texts, PANEL_SQL)
     queries["factors_gtja_regressions"] = _factors({n: library("formulas_191")[n] for n in sorted(NO_SQL)})
     queries["factors_custom"], oracle["factors_custom"] = _factors(CUSTOM), duckdb_query(CUSTOM, PANEL_SQL)
+    queries["streaming_event_bars"], oracle["streaming_event_bars"] = streamed_event_bars, EVENT_BARS_SQL
     for name in STATEMENTS:
         queries[name], oracle[name] = _statement(name)
     for name, (make, keys, values, sql) in folds.QUERIES.items():

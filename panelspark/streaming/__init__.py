@@ -1 +1 @@
-"""See the package README for what lives here."""
+"""Bars from a stream of events."""
