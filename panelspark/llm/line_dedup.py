@@ -95,18 +95,20 @@ class Lines:
         short = np.flatnonzero((size >= max(1, least_words)) & (size < width))
         if not len(short):
             return
-        extra = []
-        for k in short.tolist():
-            h = words[counts[k] : counts[k] + 1]
-            for j in range(counts[k] + 1, counts[k + 1]):
-                h = follow(h, words[j : j + 1])
-            extra.append(mix(h + np.uint64(size[k])))
+        extra = np.zeros(len(short), np.uint64)
+        for k in np.unique(size[short]).tolist():
+            some = size[short] == k
+            at = counts[:-1][short[some]]
+            h = words[at]
+            for j in range(1, k):
+                h = follow(h, words[at + j])
+            extra[some] = mix(h + np.uint64(k))
         lines, n = np.concatenate([self.lines, short]), np.concatenate([self.n, np.ones(len(short), np.int64)])
-        value = [*(self.value[a : a + m] for a, m in zip(self.at.tolist(), self.n.tolist())), *extra]
+        value, begin = np.concatenate([self.value, extra]), np.concatenate([self.at, len(self.value) + np.arange(len(short))])
         order = np.argsort(lines, kind="stable")
         self.lines, self.n = lines[order], n[order]
-        self.value = np.concatenate([value[k] for k in order.tolist()])
         self.at = np.cumsum(self.n) - self.n
+        self.value = value[np.repeat(begin[order] - self.at, self.n) + np.arange(len(value))]
 
 
 def _ask(buckets: int, bits: int, width: int, least_words: int):

@@ -50,7 +50,7 @@ def op5_media_jpeg(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from panelspark.llm.line_dedup import dedup_lines
 
-    return dedup_lines(_table(spark, sf_dir, "documents"), report=True).select("doc_id", "n_lines", "n_removed", "text")
+    return dedup_lines(_table(spark, sf_dir, "documents"), least_words=1, report=True).select("doc_id", "n_lines", "n_removed", "text")
 
 
 def op7_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:

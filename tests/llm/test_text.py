@@ -1,6 +1,7 @@
 """Operators on words, shingles and lines, held against brute force."""
 
 import math
+import random
 import re
 import zlib
 from collections import Counter
@@ -99,6 +100,30 @@ def test_line_dedup_matches_brute_force(docs, rows, empty):
     assert dedup_lines(empty, report=True).count() == 0
 
 
+def test_short_lines_are_compared_too(spark, tmp_path):
+    from panelspark.llm.queries import op6_line_dedup
+
+    texts = ["one\nAll rights reserved.\na b c d e f g\n\none", "all  RIGHTS reserved.\nall rights\n\na b c d e f g\ntwo three four five", "rights all reserved.\nOne\ntwo three four five", "one\nall rights reserved."]
+    rng = random.Random(2)
+    texts += ["\n".join(" ".join(rng.choices("abc", k=rng.randrange(9))) for _ in range(6)) for _ in range(60)]
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = {r["doc_id"]: (r["text"], r["n_removed"]) for r in op6_line_dedup(spark, str(tmp_path)).collect()}
+    seen = []
+    for k, text in enumerate(texts):
+        lines = re.findall(r"[^\n]*\n|[^\n]+$", text)
+        drop = []
+        for line in lines:
+            s = shingles(words(line))
+            drop.append(bool(s) and any(alike(s, t) for t in seen))
+            if s:
+                seen.append(s)
+        kept = "".join(x for x, d in zip(lines, drop) if not d)
+        if lines and drop[-1] and not lines[-1].endswith("\n"):
+            kept = kept.removesuffix("\n")
+        assert got[k] == (kept, sum(drop)), k
+    assert got[3] == ("", 2)
+
+
 def test_language_model_matches_formula(docs, rows, empty):
     from panelspark.llm.language_model import score_documents
 
