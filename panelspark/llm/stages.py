@@ -18,10 +18,10 @@ def keep_identified(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without lines that resemble an earlier one's; those of which no word is left go. n_chars follows the text."""
+    """Documents without lines that resemble an earlier one's; those of which no word is left go, so copies go whole. n_chars follows the text."""
     from panelspark.llm.line_dedup import dedup_lines
 
-    clean = dedup_lines(docs, report=True)
+    clean = dedup_lines(docs, least_words=1, report=True)
     gone = (F.col("n_removed") > 0) & ~F.coalesce(F.col("text").rlike(r"[^\x20\x09-\x0D]"), F.lit(False))
     out = clean.where(~gone)
     if "n_chars" in docs.columns:

@@ -19,3 +19,14 @@ def test_run(spark):
 
     out = p.run(spark, "/root/testdata/sf0.001")
     assert {"doc_id", "token_ids", "n_tokens"} <= set(out.columns) and out.count() > 100
+
+
+def test_line_dedup_leaves_no_stump_of_a_copy(spark):
+    import corpus_pipeline as p
+
+    text = "Haanth.\n\none two three four five six seven eight\nIt is so.\nnine ten eleven twelve thirteen fourteen"
+    rows = [(0, text), (1, text), (2, text.upper() + "\n"), (3, "It is so.\nbut these are words that no other document holds")]
+    docs = spark.createDataFrame([(i, t, "en", "s0", len(t)) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    got = {r["doc_id"]: (r["text"], r["n_chars"]) for r in p.STAGES[1][1](spark, docs, "").collect()}
+    rest = rows[3][1].split("\n")[1]
+    assert got == {0: (text, len(text)), 3: (rest, len(rest))}
