@@ -1,6 +1,7 @@
 """Embedding near-dedup on a robust-pruned flat graph.
 
-Vectors are dealt to overlapping shards, those of their two nearest centroids. Each shard builds a graph: a node's nearest
+Vectors are dealt to overlapping shards: that of their nearest centroid, and those whose border with it is within a margin
+(``shards_of``), so that both ends of a link meet in the shard that holds its middle. Each shard builds a graph: a node's nearest
 others, robust-pruned (a candidate is dropped when a kept one is nearer to it by the factor ``alpha`` than the node is),
 with links both ways. The adjacency lists of a vector from its shards are united. Then each shard walks the united graph:
 a greedy beam search from the shard's medoid finds where a vector lies, and from there the search expands over every node
@@ -31,6 +32,8 @@ from panelspark.llm.graph import components
 from panelspark.llm.shared import bounded, written
 
 COSINE, SAMPLE, PER_CENTROID, MOST_CENTROIDS, SHARD = 0.95, 20_000, 1200, 4096, 3000
+#: Share of the margin at which no link can be lost; links point anywhere, so in 64 dimensions this is three deviations.
+MARGIN = 0.375
 DEGREE, CANDIDATES, ALPHA, BEAM, SLACK, RECALL, AUDIT = 24, 64, 1.2, 8, 0.06, 0.98, 40
 
 
@@ -47,6 +50,31 @@ def spherical_kmeans(x: np.ndarray, k: int, rounds: int = 8, seed: int = 5) -> n
     return c
 
 
+def border_gaps(x: np.ndarray, centroids: np.ndarray) -> np.ndarray:
+    """How far each unit vector lies beyond each centroid's border with its nearest centroid; 0 for the nearest."""
+    s = x @ centroids.T
+    best = s.argmax(1)
+    top = centroids[best]
+    apart = np.sqrt(np.maximum((top * top).sum(1)[:, None] + (centroids * centroids).sum(1) - 2 * (top @ centroids.T), 1e-18))
+    gaps = (s[np.arange(len(x)), best][:, None] - s) / apart
+    gaps[np.arange(len(x)), best] = 0
+    return gaps
+
+
+def widest(threshold: float) -> float:
+    """The margin at which no link is lost: a link's ends are this far from its middle at most, seen along any direction."""
+    return float(np.sqrt(max(0.0, (1 - threshold) / 2))) + 1e-9
+
+
+def shards_of(x: np.ndarray, centroids: np.ndarray, margin: float) -> list[np.ndarray]:
+    """Of each unit vector the shards, ascending, whose border it lies within ``margin`` of."""
+    out = []
+    for a in range(0, len(x), 1024):
+        v, c = np.nonzero(border_gaps(x[a : a + 1024], centroids) <= margin)
+        out += np.split(c.astype(np.int32), np.searchsorted(v, np.arange(1, len(x[a : a + 1024]))))
+    return out
+
+
 def build(x: np.ndarray, degree: int = DEGREE, candidates: int = CANDIDATES, alpha: float = ALPHA) -> list[np.ndarray]:
     """Robust-pruned adjacency lists of unit vectors, made symmetric."""
     n = len(x)
@@ -171,6 +199,18 @@ def audited_search(x: np.ndarray, lists: list[np.ndarray], threshold: float) ->
     return q, v, recall
 
 
+def share_a_lower(shards: list[list[int]], mine: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Which of the pairs of nodes are together in a shard before ``mine`` too."""
+    node = np.repeat(np.arange(len(shards)), [len(m) for m in shards])
+    shard = np.fromiter((c for m in shards for c in m), np.int64, len(node))
+    node, shard = node[shard < mine], shard[shard < mine]
+    known, place = np.unique(shard, return_inverse=True)
+    held = np.zeros((len(shards), max(1, len(known))), bool)
+    held[node, place] = True
+    held = np.packbits(held, axis=1)
+    return np.concatenate([(held[a[k : k + 100_000]] & held[b[k : k + 100_000]]).any(1) for k in range(0, max(1, len(a)), 100_000)])
+
+
 def _normal(vectors: DataFrame, width: int) -> DataFrame:
     """``vec_id`` and ``unit``, the unit vector's doubles, of the vectors that can link."""
 
@@ -208,15 +248,14 @@ def link(vectors: DataFrame, threshold: float = COSINE, sample: int = SAMPLE, sh
     taken = nodes.select("unit", F.xxhash64("node").alias("h")).orderBy("h").limit(sample).collect() if n else []
     x = np.frombuffer(b"".join(bytes(r["unit"]) for r in taken), np.float64).reshape(len(taken), width)
     centroids = spherical_kmeans(x, max(1, min(MOST_CENTROIDS, -(-n // per_centroid), len(x)))) if n else np.zeros((1, width))
-    overlap = min(2, len(centroids))
+    margin = MARGIN * widest(threshold)
 
     def near(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             if not b.num_rows:
                 continue
-            s = _matrix(b.column(1)) @ centroids.T
-            top = np.sort(np.argsort(-s, axis=1, kind="stable")[:, :overlap], axis=1).astype(np.int32)
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), b.column(2), pa.array(list(top), pa.list_(pa.int32()))], names=["node", "unit", "copies", "shards"])
+            top = shards_of(_matrix(b.column(1)), centroids, margin)
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), b.column(2), pa.array(top, pa.list_(pa.int32()))], names=["node", "unit", "copies", "shards"])
 
     dealt = written(nodes.select("node", "unit", "copies").mapInArrow(near, "node long, unit binary, copies long, shards array<int>"), "dealt")
     sizes = {r["s"]: r["c"] for r in dealt.select(F.explode("shards").alias("s")).groupBy("s").agg(F.count(F.lit(1)).alias("c")).collect()}  # at most MOST_CENTROIDS rows
@@ -247,12 +286,11 @@ def link(vectors: DataFrame, threshold: float = COSINE, sample: int = SAMPLE, sh
         if p != q:  # the parts have no lists for each other yet
             lists = [np.union1d(a, b) for a, b in zip(lists, build(x))]
         a, b, recall = audited_search(x, lists, threshold)
-        both = np.array([s + [-1] * (2 - len(s)) for s in t.column("shards").to_pylist()]).reshape(-1, 2)
         if p != q:
             keep = own[a] != own[b]
             a, b = a[keep], b[keep]
         # the first shard that both are in counts the pair
-        lower = np.where(both[a, 0] == mine, False, (both[a, 0] == both[b, 0]) | (both[a, 0] == both[b, 1]))
+        lower = share_a_lower(t.column("shards").to_pylist(), mine, a, b)
         links = np.bincount(a[~lower], weights=copies[b[~lower]], minlength=len(ids)).astype(np.int64)
         label = np.arange(len(ids))
         while len(a):
