@@ -6,8 +6,11 @@ others, robust-pruned (a candidate is dropped when a kept one is nearer to it by
 with links both ways. The adjacency lists of a vector from its shards are united. Then each shard walks the united graph:
 a greedy beam search from the shard's medoid finds where a vector lies, and from there the search expands over every node
 within a wider range than asked, so that it follows groups of copies to their ends. All found pairs are verified in
-double precision, and a sample of nodes in each shard is audited against all of its shard: where recall is short, the
-range and the lists are widened and the shard searched again.
+double precision, and a sample of the nodes that have links in a shard is audited against all of it: where recall is short,
+the range and the lists are widened and the shard searched again, at last by exact blocks.
+
+A sample of all nodes is compared with every node. Its links tell the margin that is wide enough, and after the search
+whether enough of them were found; if not, the search is done again at the margin that can lose none, by exact blocks.
 
 Centroids are fitted on a bounded sample (``SAMPLE`` vectors by a hash of the id); every vector is indexed. A shard of more
 than ``SHARD`` vectors is dealt to tasks by pairs of its parts, so that a hot group never meets in one task whole and none
@@ -35,6 +38,8 @@ COSINE, SAMPLE, PER_CENTROID, MOST_CENTROIDS, SHARD = 0.95, 20_000, 1200, 4096,
 #: Share of the margin at which no link can be lost; links point anywhere, so in 64 dimensions this is three deviations.
 MARGIN = 0.375
 DEGREE, CANDIDATES, ALPHA, BEAM, SLACK, RECALL, AUDIT = 24, 64, 1.2, 8, 0.06, 0.98, 40
+#: Nodes compared with all others; the margins tried, as shares of the widest; links that must share a shard.
+PROBES, MARGINS, TOGETHER = 4096, (MARGIN, 0.5, 0.75, 1.0), 0.995
 
 
 def spherical_kmeans(x: np.ndarray, k: int, rounds: int = 8, seed: int = 5) -> np.ndarray:
@@ -182,21 +187,67 @@ def range_search(x: np.ndarray, lists: list[np.ndarray], threshold: float, beam:
         yield queries[q[good]], v[good]
 
 
-def audited_search(x: np.ndarray, lists: list[np.ndarray], threshold: float) -> tuple[np.ndarray, np.ndarray, float]:
-    """The found pairs and the recall of a sample of nodes against all of the shard; widens the search where it is short."""
-    probe = np.arange(0, len(x), max(1, len(x) // AUDIT))
+def exact_pairs(x: np.ndarray, threshold: float) -> tuple[np.ndarray, np.ndarray]:
+    """All pairs of different nodes at ``threshold`` or above, both ways."""
+    found = []
+    for a in range(0, len(x), 512):
+        i, j = np.nonzero(x[a : a + 512] @ x.T >= threshold)
+        found.append((i[i + a != j] + a, j[i + a != j]))
+    return tuple(np.concatenate([f[k] for f in found]) for k in range(2)) if found else (np.zeros(0, np.int64),) * 2
+
+
+def linked_probes(x: np.ndarray, lists: list[np.ndarray], threshold: float, many: int = AUDIT) -> np.ndarray:
+    """Nodes that have a link, as many as there are up to ``many``, evenly spaced: a node's list holds its nearest other."""
+    at, flat = _flat(lists)
+    node = np.repeat(np.arange(len(x)), np.diff(at))
+    near = np.unique(node[_cosines(x, node, flat) >= threshold]) if len(flat) else flat
+    return near[:: max(1, len(near) // many)]
+
+
+def audited_search(x: np.ndarray, lists: list[np.ndarray], threshold: float) -> tuple[np.ndarray, np.ndarray]:
+    """The found pairs; the search is widened where a sample of the linked nodes misses some, and is exact in the end."""
+    probe = linked_probes(x, lists, threshold)
+    if not len(probe):
+        return probe, probe
     true = x[probe] @ x.T >= threshold
     true[np.arange(len(probe)), probe] = False
+    wanted = probe[np.nonzero(true)[0]] * len(x) + np.nonzero(true)[1]
     for slack, beam in ((SLACK, BEAM), (2 * SLACK, 2 * BEAM), (4 * SLACK, 4 * BEAM)):
+        if slack > SLACK:
+            lists = [np.union1d(m, o) for m, o in zip(lists, build(x, 2 * DEGREE, 2 * CANDIDATES, 1.0))]
         pairs = list(range_search(x, lists, threshold, beam, slack))
         q, v = (np.concatenate([p[k] for p in pairs]) for k in range(2))
-        hit = np.isin(probe[np.nonzero(true)[0]] * len(x) + np.nonzero(true)[1], q * len(x) + v).sum()
-        recall = hit / true.sum() if true.any() else 1.0
-        if recall >= RECALL:
-            break
-        more = build(x, 2 * DEGREE, 2 * CANDIDATES, 1.0)
-        lists = [np.union1d(m, o) for m, o in zip(lists, more)]
-    return q, v, recall
+        if np.isin(wanted, q * len(x) + v).sum() >= RECALL * len(wanted):
+            return q, v
+    return exact_pairs(x, threshold)
+
+
+def probed(nodes: DataFrame, probes: np.ndarray, ids: np.ndarray, centroids: np.ndarray, threshold: float) -> tuple[np.ndarray, np.ndarray]:
+    """Of each probe the links it has among all ``nodes``, and of a sample of these how many share a shard from each of MARGINS on."""
+    wide = np.array(MARGINS) * widest(threshold)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        true, need = np.zeros(len(probes), np.int64), np.zeros(len(wide) + 1, np.int64)
+        for b in batches:
+            node, x, copies = b.column(0).to_numpy(), _matrix(b.column(1)), b.column(2).to_numpy()
+            for a in range(0, len(x), 1024):
+                i, p = np.nonzero(x[a : a + 1024] @ probes.T >= threshold)
+                other = node[a + i] != ids[p]
+                i, p = i[other] + a, p[other]
+                np.add.at(true, p, copies[i])
+                some = np.arange(0, len(i), max(1, len(i) // 2000))
+                for k in range(0, len(some), 250):
+                    few = some[k : k + 250]
+                    gap = np.maximum(border_gaps(x[i[few]], centroids), border_gaps(probes[p[few]], centroids)).min(1)
+                    need += np.bincount(np.searchsorted(wide, gap), minlength=len(need))
+        at = np.flatnonzero(true)
+        kind, links = np.append(at, -1 - np.arange(len(need))), np.append(true[at], need)
+        yield pa.RecordBatch.from_arrays([pa.array(kind, pa.int64()), pa.array(links, pa.int64())], names=["kind", "links"])
+
+    true, need = np.zeros(len(probes), np.int64), np.zeros(len(wide) + 1, np.int64)
+    for r in bounded(nodes.select("node", "unit", "copies")).mapInArrow(run, "kind long, links long").groupBy("kind").agg(F.sum("links").alias("links")).collect():  # at most PROBES rows and a few
+        (true if r["kind"] >= 0 else need)[r["kind"] if r["kind"] >= 0 else -1 - r["kind"]] = r["links"]
+    return true, np.cumsum(need)[:-1]
 
 
 def share_a_lower(shards: list[list[int]], mine: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -236,19 +287,8 @@ def _matrix(column) -> np.ndarray:
     return np.frombuffer(b"".join(parts), np.float64).reshape(len(parts), -1) if parts else np.zeros((0, 1))
 
 
-def link(vectors: DataFrame, threshold: float = COSINE, sample: int = SAMPLE, shard: int = SHARD, per_centroid: int = PER_CENTROID) -> DataFrame:
-    """Each row's ``vec_id, n_links, component_id, kept`` from its ``vec_id`` and ``embedding``."""
-    rows = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast("array<double>").alias("embedding"))
-    widths = rows.where("embedding is not null").groupBy(F.size("embedding").alias("w")).count().orderBy(F.desc("count"), "w").limit(1).collect()
-    width = widths[0]["w"] if widths else 1
-    units = _normal(rows, width).groupBy("vec_id").agg(F.min("unit").alias("unit"))
-    units = written(units, "units")
-    nodes = written(units.groupBy("unit").agg(F.min("vec_id").alias("node"), F.count(F.lit(1)).alias("copies")), "nodes")
-    n = nodes.count()
-    taken = nodes.select("unit", F.xxhash64("node").alias("h")).orderBy("h").limit(sample).collect() if n else []
-    x = np.frombuffer(b"".join(bytes(r["unit"]) for r in taken), np.float64).reshape(len(taken), width)
-    centroids = spherical_kmeans(x, max(1, min(MOST_CENTROIDS, -(-n // per_centroid), len(x)))) if n else np.zeros((1, width))
-    margin = MARGIN * widest(threshold)
+def _searched(nodes: DataFrame, centroids: np.ndarray, margin: float, threshold: float, shard: int, exact: bool = False) -> DataFrame:
+    """Of each node in each task that it is in ``node, links, root``: the links counted there and its local component."""
 
     def near(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -269,23 +309,31 @@ def link(vectors: DataFrame, threshold: float = COSINE, sample: int = SAMPLE, sh
         lists = build(_matrix(t.column("unit")))
         return pa.table({"node": pa.array(ids, pa.int64()), "near": pa.array([ids[m] for m in lists], pa.list_(pa.int64()))})
 
-    graph = member.groupBy("shard", "own").applyInArrow(make, "node long, near array<long>")
-    united = written(graph.groupBy("node").agg(F.array_distinct(F.flatten(F.collect_list("near"))).alias("near")), "flat-graph")
+    if exact:
+        united = None
+    else:
+        graph = member.groupBy("shard", "own").applyInArrow(make, "node long, near array<long>")
+        united = written(graph.groupBy("node").agg(F.array_distinct(F.flatten(F.collect_list("near"))).alias("near")), "flat-graph")
     spread = member.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
-    spread = spread.withColumn("p", F.least("own", "other")).withColumn("q", F.greatest("own", "other")).join(united, "node").select("shard", "p", "q", "own", "node", "unit", "copies", "shards", "near")
+    spread = spread.withColumn("p", F.least("own", "other")).withColumn("q", F.greatest("own", "other")).select("shard", "p", "q", "own", "node", "unit", "copies", "shards")
+    if united is not None:
+        spread = spread.join(united, "node")
 
     def search(t: pa.Table) -> pa.Table:
         t = t.sort_by("node")
         ids, x, copies, own = t.column("node").to_numpy(), _matrix(t.column("unit")), t.column("copies").to_numpy(), t.column("own").to_numpy()
         mine, p, q = t.column("shard")[0].as_py(), t.column("p")[0].as_py(), t.column("q")[0].as_py()
-        lists = []
-        for m in t.column("near").to_pylist():
-            m = np.array(m, np.int64)
-            at = np.minimum(np.searchsorted(ids, m), len(ids) - 1)
-            lists.append(at[ids[at] == m])
-        if p != q:  # the parts have no lists for each other yet
-            lists = [np.union1d(a, b) for a, b in zip(lists, build(x))]
-        a, b, recall = audited_search(x, lists, threshold)
+        if exact:
+            a, b = exact_pairs(x, threshold)
+        else:
+            lists = []
+            for m in t.column("near").to_pylist():
+                m = np.array(m, np.int64)
+                at = np.minimum(np.searchsorted(ids, m), len(ids) - 1)
+                lists.append(at[ids[at] == m])
+            if p != q:  # the parts have no lists for each other yet
+                lists = [np.union1d(a, b) for a, b in zip(lists, build(x))]
+            a, b = audited_search(x, lists, threshold)
         if p != q:
             keep = own[a] != own[b]
             a, b = a[keep], b[keep]
@@ -301,9 +349,33 @@ def link(vectors: DataFrame, threshold: float = COSINE, sample: int = SAMPLE, sh
             if (new == label).all():
                 break
             label = new
-        return pa.table({"node": pa.array(ids, pa.int64()), "links": pa.array(links), "root": pa.array(ids[label], pa.int64()), "recall": pa.array(np.full(len(ids), recall))})
+        return pa.table({"node": pa.array(ids, pa.int64()), "links": pa.array(links), "root": pa.array(ids[label], pa.int64())})
 
-    found = written(spread.groupBy("shard", "p", "q").applyInArrow(search, "node long, links long, root long, recall double"), "found")
+    return written(spread.groupBy("shard", "p", "q").applyInArrow(search, "node long, links long, root long"), "found")
+
+
+def link(vectors: DataFrame, threshold: float = COSINE, sample: int = SAMPLE, shard: int = SHARD, per_centroid: int = PER_CENTROID) -> DataFrame:
+    """Each row's ``vec_id, n_links, component_id, kept`` from its ``vec_id`` and ``embedding``."""
+    rows = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast("array<double>").alias("embedding"))
+    widths = rows.where("embedding is not null").groupBy(F.size("embedding").alias("w")).count().orderBy(F.desc("count"), "w").limit(1).collect()
+    width = widths[0]["w"] if widths else 1
+    units = _normal(rows, width).groupBy("vec_id").agg(F.min("unit").alias("unit"))
+    units = written(units, "units")
+    nodes = written(units.groupBy("unit").agg(F.min("vec_id").alias("node"), F.count(F.lit(1)).alias("copies")), "nodes")
+    n = nodes.count()
+    taken = nodes.select("node", "unit", F.xxhash64("node").alias("h")).orderBy("h").limit(sample + PROBES).collect() if n else []
+    x = np.frombuffer(b"".join(bytes(r["unit"]) for r in taken), np.float64).reshape(len(taken), width)
+    probes, ids = x[-PROBES:], np.array([r["node"] for r in taken[-PROBES:]], np.int64)  # not of the fitted ones, where there are others
+    x = x[:sample]
+    centroids = spherical_kmeans(x, max(1, min(MOST_CENTROIDS, -(-n // per_centroid), len(x)))) if n else np.zeros((1, width))
+    true, together = probed(nodes, probes, ids, centroids, threshold) if n else (np.zeros(0, np.int64), np.zeros(len(MARGINS), np.int64))
+    enough = np.flatnonzero(together >= TOGETHER * together[-1])
+    found = _searched(nodes, centroids, MARGINS[enough[0]] * widest(threshold), threshold, shard)
+    if true.any():
+        asked = nodes.sparkSession.createDataFrame([(int(i),) for i in ids[true > 0]], "node long")
+        got = found.join(F.broadcast(asked), "node").agg(F.sum("links").alias("links")).first()["links"] or 0
+        if got < RECALL * true.sum():
+            found = _searched(nodes, centroids, widest(threshold), threshold, shard, exact=True)
     whole = components(found.where("node <> root").select(F.col("node").alias("a"), F.col("root").alias("b")))
     counts = found.groupBy("node").agg(F.sum("links").alias("links"))
     named = nodes.join(counts, "node").join(whole.select("node", "component"), "node", "left").select("unit", (F.col("links") + F.col("copies") - 1).alias("links"), F.coalesce("component", "node").alias("component"))

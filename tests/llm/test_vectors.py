@@ -43,3 +43,22 @@ def test_the_widest_margin_is_exact(vectors):
 
     held = [set(m.tolist()) for m in shards_of(vectors, spherical_kmeans(vectors, 100), widest(0.95))]
     assert all(held[k] & held[k + 2500] for k in range(2500)) and sum(map(len, held)) < 100 * len(held)
+
+
+def test_links_lost_between_shards_are_found_again(spark, vectors, monkeypatch):
+    from panelspark.llm import vector_graph
+
+    monkeypatch.setattr(vector_graph, "MARGINS", (0.0, 0.0))  # a margin that is too small, and no wider one to take
+    got = found(vector_graph.link(frame(spark, vectors), sample=600, per_centroid=50), len(vectors))
+    assert (got == links(vectors)).all()
+
+
+def test_links_lost_in_a_shard_are_found_again(vectors, monkeypatch):
+    from panelspark.llm import vector_graph
+
+    x = np.concatenate([vectors[:1200], vectors[2507:2509]])  # two links, both of nodes that even spacing passes by
+    lists = vector_graph.build(x)
+    assert len(vector_graph.linked_probes(x, lists, 0.95)) == 4
+    monkeypatch.setattr(vector_graph, "range_search", lambda x, *_: iter([(np.zeros(0, np.int64), np.zeros(0, np.int64))]))
+    q, v = vector_graph.audited_search(x, lists, 0.95)
+    assert set(zip(q.tolist(), v.tolist())) == {(7, 1200), (1200, 7), (8, 1201), (1201, 8)}
