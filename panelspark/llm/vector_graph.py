@@ -19,12 +19,14 @@ shard returns a count and a local component for each vector.
 
 Vectors that are null, zero or hold null or non-finite components are linked with nothing. Equal vectors are one node with
 their number. Rows without an id get 0 links and a null component; rows that repeat an id are one vector (the smallest by
-value). Vectors of a length other than the most common one are linked with nothing. Labels and other columns are ignored.
+value). Vectors are linked with those of their own length; lengths of ``SHARD`` vectors at most, other than the most common
+one, are compared by exact blocks. Labels and other columns are ignored.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -38,6 +40,7 @@ COSINE, SAMPLE, PER_CENTROID, MOST_CENTROIDS, SHARD = 0.95, 20_000, 1200, 4096,
 #: Share of the margin at which no link can be lost; links point anywhere, so in 64 dimensions this is three deviations.
 MARGIN = 0.375
 DEGREE, CANDIDATES, ALPHA, BEAM, SLACK, RECALL, AUDIT = 24, 64, 1.2, 8, 0.06, 0.98, 40
+FOUND = "node long, links long, root long"
 #: Nodes compared with all others; the margins tried, as shares of the widest; links that must share a shard.
 PROBES, MARGINS, TOGETHER = 4096, (MARGIN, 0.5, 0.75, 1.0), 0.995
 
@@ -262,14 +265,14 @@ def share_a_lower(shards: list[list[int]], mine: int, a: np.ndarray, b: np.ndarr
     return np.concatenate([(held[a[k : k + 100_000]] & held[b[k : k + 100_000]]).any(1) for k in range(0, max(1, len(a)), 100_000)])
 
 
-def _normal(vectors: DataFrame, width: int) -> DataFrame:
+def _normal(vectors: DataFrame) -> DataFrame:
     """``vec_id`` and ``unit``, the unit vector's doubles, of the vectors that can link."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             ids, out = [], []
             for i, v in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
-                if i is None or v is None or len(v) != width or any(e is None for e in v):
+                if i is None or v is None or any(e is None for e in v):
                     continue
                 x = np.array(v, np.float64)
                 top = np.abs(x).max() if len(x) else 0
@@ -287,6 +290,21 @@ def _matrix(column) -> np.ndarray:
     return np.frombuffer(b"".join(parts), np.float64).reshape(len(parts), -1) if parts else np.zeros((0, 1))
 
 
+def _counted(ids: np.ndarray, copies: np.ndarray, a: np.ndarray, b: np.ndarray, told: np.ndarray) -> pa.Table:
+    """``FOUND`` of the nodes of a task, from its pairs and which of them are counted here."""
+    links = np.bincount(a[told], weights=copies[b[told]], minlength=len(ids)).astype(np.int64)
+    label = np.arange(len(ids))
+    while len(a):
+        new = label.copy()
+        np.minimum.at(new, a, label[b])
+        np.minimum.at(new, b, label[a])
+        new = new[new]
+        if (new == label).all():
+            break
+        label = new
+    return pa.table({"node": pa.array(ids, pa.int64()), "links": pa.array(links), "root": pa.array(ids[label], pa.int64())})
+
+
 def _searched(nodes: DataFrame, centroids: np.ndarray, margin: float, threshold: float, shard: int, exact: bool = False) -> DataFrame:
     """Of each node in each task that it is in ``node, links, root``: the links counted there and its local component."""
 
@@ -339,36 +357,19 @@ def _searched(nodes: DataFrame, centroids: np.ndarray, margin: float, threshold:
             a, b = a[keep], b[keep]
         # the first shard that both are in counts the pair
         lower = share_a_lower(t.column("shards").to_pylist(), mine, a, b)
-        links = np.bincount(a[~lower], weights=copies[b[~lower]], minlength=len(ids)).astype(np.int64)
-        label = np.arange(len(ids))
-        while len(a):
-            new = label.copy()
-            np.minimum.at(new, a, label[b])
-            np.minimum.at(new, b, label[a])
-            new = new[new]
-            if (new == label).all():
-                break
-            label = new
-        return pa.table({"node": pa.array(ids, pa.int64()), "links": pa.array(links), "root": pa.array(ids[label], pa.int64())})
+        return _counted(ids, copies, a, b, ~lower)
 
-    return written(spread.groupBy("shard", "p", "q").applyInArrow(search, "node long, links long, root long"), "found")
+    return written(spread.groupBy("shard", "p", "q").applyInArrow(search, FOUND), "found")
 
 
-def link(vectors: DataFrame, threshold: float = COSINE, sample: int = SAMPLE, shard: int = SHARD, per_centroid: int = PER_CENTROID) -> DataFrame:
-    """Each row's ``vec_id, n_links, component_id, kept`` from its ``vec_id`` and ``embedding``."""
-    rows = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast("array<double>").alias("embedding"))
-    widths = rows.where("embedding is not null").groupBy(F.size("embedding").alias("w")).count().orderBy(F.desc("count"), "w").limit(1).collect()
-    width = widths[0]["w"] if widths else 1
-    units = _normal(rows, width).groupBy("vec_id").agg(F.min("unit").alias("unit"))
-    units = written(units, "units")
-    nodes = written(units.groupBy("unit").agg(F.min("vec_id").alias("node"), F.count(F.lit(1)).alias("copies")), "nodes")
-    n = nodes.count()
-    taken = nodes.select("node", "unit", F.xxhash64("node").alias("h")).orderBy("h").limit(sample + PROBES).collect() if n else []
+def _found(nodes: DataFrame, width: int, n: int, threshold: float, sample: int, shard: int, per_centroid: int) -> DataFrame:
+    """``FOUND`` of the ``n`` nodes, all of one width."""
+    taken = nodes.select("node", "unit", F.xxhash64("node").alias("h")).orderBy("h").limit(sample + PROBES).collect()
     x = np.frombuffer(b"".join(bytes(r["unit"]) for r in taken), np.float64).reshape(len(taken), width)
     probes, ids = x[-PROBES:], np.array([r["node"] for r in taken[-PROBES:]], np.int64)  # not of the fitted ones, where there are others
     x = x[:sample]
-    centroids = spherical_kmeans(x, max(1, min(MOST_CENTROIDS, -(-n // per_centroid), len(x)))) if n else np.zeros((1, width))
-    true, together = probed(nodes, probes, ids, centroids, threshold) if n else (np.zeros(0, np.int64), np.zeros(len(MARGINS), np.int64))
+    centroids = spherical_kmeans(x, max(1, min(MOST_CENTROIDS, -(-n // per_centroid), len(x))))
+    true, together = probed(nodes, probes, ids, centroids, threshold)
     enough = np.flatnonzero(together >= TOGETHER * together[-1])
     found = _searched(nodes, centroids, MARGINS[enough[0]] * widest(threshold), threshold, shard)
     if true.any():
@@ -376,6 +377,29 @@ def link(vectors: DataFrame, threshold: float = COSINE, sample: int = SAMPLE, sh
         got = found.join(F.broadcast(asked), "node").agg(F.sum("links").alias("links")).first()["links"] or 0
         if got < RECALL * true.sum():
             found = _searched(nodes, centroids, widest(threshold), threshold, shard, exact=True)
+    return found
+
+
+def link(vectors: DataFrame, threshold: float = COSINE, sample: int = SAMPLE, shard: int = SHARD, per_centroid: int = PER_CENTROID) -> DataFrame:
+    """Each row's ``vec_id, n_links, component_id, kept`` from its ``vec_id`` and ``embedding``."""
+    rows = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast("array<double>").alias("embedding"))
+    units = _normal(rows).groupBy("vec_id").agg(F.min("unit").alias("unit"))
+    units = written(units, "units")
+    nodes = written(units.groupBy("unit").agg(F.min("vec_id").alias("node"), F.count(F.lit(1)).alias("copies")), "nodes")
+    width = (F.octet_length("unit") / 8).cast("int")
+    sizes = {r["w"]: r["n"] for r in nodes.groupBy(width.alias("w")).agg(F.count(F.lit(1)).alias("n")).collect()}  # a row a length
+    common = min(sizes, key=lambda w: (-sizes[w], w), default=None)
+    large = sorted(w for w, n in sizes.items() if n > shard or w == common)
+
+    def few(t: pa.Table) -> pa.Table:
+        a, b = exact_pairs(_matrix(t.column("unit")), threshold)
+        return _counted(t.column("node").to_numpy(), t.column("copies").to_numpy(), a, b, np.ones(len(a), bool))
+
+    parts = [_found(nodes.where(width == w), w, sizes[w], threshold, sample, shard, per_centroid) for w in large]
+    if len(large) < len(sizes) or not parts:
+        small = nodes.where(~width.isin(large)).withColumn("w", width)
+        parts.append(written(small.groupBy("w").applyInArrow(lambda t: few(t.sort_by("node")), FOUND), "found-few"))
+    found = reduce(DataFrame.unionByName, parts)
     whole = components(found.where("node <> root").select(F.col("node").alias("a"), F.col("root").alias("b")))
     counts = found.groupBy("node").agg(F.sum("links").alias("links"))
     named = nodes.join(counts, "node").join(whole.select("node", "component"), "node", "left").select("unit", (F.col("links") + F.col("copies") - 1).alias("links"), F.coalesce("component", "node").alias("component"))

@@ -62,3 +62,17 @@ def test_links_lost_in_a_shard_are_found_again(vectors, monkeypatch):
     monkeypatch.setattr(vector_graph, "range_search", lambda x, *_: iter([(np.zeros(0, np.int64), np.zeros(0, np.int64))]))
     q, v = vector_graph.audited_search(x, lists, 0.95)
     assert set(zip(q.tolist(), v.tolist())) == {(7, 1200), (1200, 7), (8, 1201), (1201, 8)}
+
+
+def test_vectors_of_every_length_are_linked(spark, vectors):
+    from panelspark.llm.vector_graph import link
+
+    short = np.eye(5)[[0, 1, 0, 2]] + [[0, 0.1, 0, 0, 0], [0] * 5, [0] * 5, [0] * 5]
+    rows = [v.tolist() for v in vectors[:60]] + [v.tolist() for v in short] + [[1.0], [3.0], [], None, [0.0, 0.0], [None, 1.0]]
+    data = spark.createDataFrame(list(enumerate(rows)), "vec_id long, embedding array<double>")
+    for shard in (3000, 3):  # by exact blocks, or each length by its own graph
+        got = {r["vec_id"]: r for r in link(data, shard=shard).collect()}
+        assert [got[k]["n_links"] for k in range(60, 70)] == [1, 0, 1, 0, 1, 1, 0, 0, 0, 0]
+        assert [got[k]["component_id"] for k in range(60, 70)] == [60, 61, 60, 63, 64, 64, 66, 67, 68, 69]
+        assert sum(got[k]["n_links"] for k in range(60)) == 0
+    assert link(data.limit(0)).count() == 0 and link(data.where("vec_id > 65")).count() == 4
