@@ -14,7 +14,7 @@ whether enough of them were found; if not, the search is done again at the margi
 
 Centroids are fitted on a bounded sample (``SAMPLE`` vectors by a hash of the id); every vector is indexed. A shard of more
 than ``SHARD`` vectors is dealt to tasks by pairs of its parts, so that a hot group never meets in one task whole and none
-of its pairs is lost. A pair that several shards hold is counted by the first of them. No pair leaves its task: a
+of its pairs is lost: within a part the graph is walked, two parts are compared by exact blocks. A pair that several shards hold is counted by the first of them. No pair leaves its task: a
 shard returns a count and a local component for each vector.
 
 Vectors that are null, zero or hold null or non-finite components are linked with nothing. Equal vectors are one node with
@@ -199,6 +199,13 @@ def exact_pairs(x: np.ndarray, threshold: float) -> tuple[np.ndarray, np.ndarray
     return tuple(np.concatenate([f[k] for f in found]) for k in range(2)) if found else (np.zeros(0, np.int64),) * 2
 
 
+def cross_pairs(x: np.ndarray, left: np.ndarray, threshold: float) -> tuple[np.ndarray, np.ndarray]:
+    """All pairs at ``threshold`` or above of a node that is ``left`` and one that isn't, both ways."""
+    left, right = np.flatnonzero(left), np.flatnonzero(~left)
+    i, j = np.nonzero(x[left] @ x[right].T >= threshold)
+    return np.concatenate([left[i], right[j]]), np.concatenate([right[j], left[i]])
+
+
 def linked_probes(x: np.ndarray, lists: list[np.ndarray], threshold: float, many: int = AUDIT) -> np.ndarray:
     """Nodes that have a link, as many as there are up to ``many``, evenly spaced: a node's list holds its nearest other."""
     at, flat = _flat(lists)
@@ -327,21 +334,21 @@ def _searched(nodes: DataFrame, centroids: np.ndarray, margin: float, threshold:
         lists = build(_matrix(t.column("unit")))
         return pa.table({"node": pa.array(ids, pa.int64()), "near": pa.array([ids[m] for m in lists], pa.list_(pa.int64()))})
 
-    if exact:
-        united = None
-    else:
+    inner = member.withColumn("p", F.col("own")).withColumn("q", F.col("own"))
+    cross = member.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).where("own <> other").withColumn("p", F.least("own", "other")).withColumn("q", F.greatest("own", "other"))
+    columns = ["shard", "p", "q", "own", "node", "unit", "copies", "shards"]
+    if not exact:
         graph = member.groupBy("shard", "own").applyInArrow(make, "node long, near array<long>")
         united = written(graph.groupBy("node").agg(F.array_distinct(F.flatten(F.collect_list("near"))).alias("near")), "flat-graph")
-    spread = member.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
-    spread = spread.withColumn("p", F.least("own", "other")).withColumn("q", F.greatest("own", "other")).select("shard", "p", "q", "own", "node", "unit", "copies", "shards")
-    if united is not None:
-        spread = spread.join(united, "node")
+        inner = inner.join(united, "node")
 
     def search(t: pa.Table) -> pa.Table:
         t = t.sort_by("node")
         ids, x, copies, own = t.column("node").to_numpy(), _matrix(t.column("unit")), t.column("copies").to_numpy(), t.column("own").to_numpy()
         mine, p, q = t.column("shard")[0].as_py(), t.column("p")[0].as_py(), t.column("q")[0].as_py()
-        if exact:
+        if p != q:
+            a, b = cross_pairs(x, own == p, threshold)
+        elif exact:
             a, b = exact_pairs(x, threshold)
         else:
             lists = []
@@ -349,17 +356,13 @@ def _searched(nodes: DataFrame, centroids: np.ndarray, margin: float, threshold:
                 m = np.array(m, np.int64)
                 at = np.minimum(np.searchsorted(ids, m), len(ids) - 1)
                 lists.append(at[ids[at] == m])
-            if p != q:  # the parts have no lists for each other yet
-                lists = [np.union1d(a, b) for a, b in zip(lists, build(x))]
             a, b = audited_search(x, lists, threshold)
-        if p != q:
-            keep = own[a] != own[b]
-            a, b = a[keep], b[keep]
         # the first shard that both are in counts the pair
         lower = share_a_lower(t.column("shards").to_pylist(), mine, a, b)
         return _counted(ids, copies, a, b, ~lower)
 
-    return written(spread.groupBy("shard", "p", "q").applyInArrow(search, FOUND), "found")
+    inside = inner.select(*columns, *([] if exact else ["near"])).groupBy("shard", "p", "q").applyInArrow(search, FOUND)
+    return written(inside.unionByName(cross.select(*columns).groupBy("shard", "p", "q").applyInArrow(search, FOUND)), "found")
 
 
 def _found(nodes: DataFrame, width: int, n: int, threshold: float, sample: int, shard: int, per_centroid: int) -> DataFrame:

@@ -76,3 +76,12 @@ def test_vectors_of_every_length_are_linked(spark, vectors):
         assert [got[k]["component_id"] for k in range(60, 70)] == [60, 61, 60, 63, 64, 64, 66, 67, 68, 69]
         assert sum(got[k]["n_links"] for k in range(60)) == 0
     assert link(data.limit(0)).count() == 0 and link(data.where("vec_id > 65")).count() == 4
+
+
+def test_a_hot_shard_dealt_by_parts_loses_no_links(spark, vectors):
+    from panelspark.llm.vector_graph import link
+
+    rng = np.random.default_rng(4)
+    x = np.concatenate([vectors[:1] + rng.normal(0, 0.028, (300, 64)), vectors[2000:3000]])
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    assert (found(link(frame(spark, x), shard=120), len(x)) == links(x)).mean() > 0.97
