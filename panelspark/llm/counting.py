@@ -17,6 +17,8 @@ from panelspark.llm.shared import tidy
 
 ASKED = "block int, bucket int, items binary, counts binary"
 TOLD = "block int, bucket int, totals binary, seen_distinct long, seen_total long"
+SHARED = "block int, bucket int, size int, places binary, totals binary"
+_SHARED = pa.schema([("block", pa.int32()), ("bucket", pa.int32()), ("size", pa.int32()), ("places", pa.binary()), ("totals", pa.binary())])
 _ASKED = pa.schema([("block", pa.int32()), ("bucket", pa.int32()), ("items", pa.binary()), ("counts", pa.binary())])
 _TOLD = pa.schema([("block", pa.int32()), ("bucket", pa.int32()), ("totals", pa.binary()), ("seen_distinct", pa.int64()), ("seen_total", pa.int64())])
 
@@ -24,7 +26,7 @@ _TOLD = pa.schema([("block", pa.int32()), ("bucket", pa.int32()), ("totals", pa.
 def pack(sorted_items: np.ndarray) -> bytes:
     """Ascending 64-bit numbers as differences, by byte planes, without the planes that hold only zeros."""
     steps = np.diff(sorted_items, prepend=np.uint64(0)).astype("<u8")
-    planes = -(-int(steps.max()).bit_length() // 8) if len(steps) else 0
+    planes = max(1, -(-int(steps.max()).bit_length() // 8)) if len(steps) else 0
     return bytes([planes]) + np.ascontiguousarray(steps.view(np.uint8).reshape(-1, 8)[:, :planes].T).tobytes()
 
 
@@ -56,6 +58,25 @@ def unpack_counts(packed: bytes) -> np.ndarray:
     return out.view("<i8").ravel().copy()
 
 
+def distinct(values: np.ndarray) -> np.ndarray:
+    """The different values, ascending."""
+    ranked = np.sort(values)
+    return ranked[np.r_[True, ranked[1:] != ranked[:-1]]] if len(ranked) else ranked
+
+
+def among(values: np.ndarray, listed: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Where ``values`` are among ``listed`` (ascending, distinct), and at which place there. A table of 20 bits turns most others away."""
+    if not len(listed) or not len(values):
+        return np.zeros(0, np.int64), np.zeros(0, np.int64)
+    low = np.uint64((1 << 20) - 1)
+    table = np.zeros(1 << 20, bool)
+    table[(listed & low).astype(np.int64)] = True
+    some = np.flatnonzero(table[(values & low).astype(np.int64)])
+    at = np.minimum(np.searchsorted(listed, values[some]), len(listed) - 1)
+    hit = listed[at] == values[some]
+    return some[hit], at[hit]
+
+
 def ask(block: int, items: np.ndarray, counts: np.ndarray, buckets: int, bits: int = 64) -> pa.Table:
     """Rows of ASKED for a block's ascending distinct items below 2**bits."""
     edges = np.array([(k << bits) // buckets for k in range(1, buckets)], np.uint64)
@@ -88,6 +109,39 @@ def told(asked: DataFrame) -> DataFrame:
     return asked.groupBy("bucket").applyInArrow(tidy(_answer), TOLD)
 
 
+def _shared(table: pa.Table) -> pa.Table:
+    parts = [unpack(x) for x in table.column("items").to_pylist()]
+    counts = np.concatenate([unpack_counts(x) for x in table.column("counts").to_pylist()])
+    items = np.concatenate(parts)
+    ranked = np.sort(items)
+    listed = distinct(np.concatenate([ranked[1:][ranked[1:] == ranked[:-1]], items[counts > 1]]))
+    where, at = among(items, listed)
+    sums = np.zeros(len(listed), np.int64)
+    np.add.at(sums, at, counts[where])
+    ends = np.cumsum([len(p) for p in parts])
+    cuts = np.searchsorted(where, ends)
+    rows = [(where[a:b] - (e - len(p)), sums[at[a:b]]) for a, b, e, p in zip([0, *cuts[:-1].tolist()], cuts.tolist(), ends.tolist(), parts)]
+    return pa.Table.from_arrays(
+        [table.column("block").cast(pa.int32()), table.column("bucket").cast(pa.int32()), pa.array([len(p) for p in parts], pa.int32())]
+        + [pa.array([pack(w.astype(np.uint64)) for w, _ in rows], pa.binary()), pa.array([pack_counts(c) for _, c in rows], pa.binary())],
+        schema=_SHARED,
+    )
+
+
+def shared_items(asked: DataFrame) -> DataFrame:
+    """For rows of ASKED rows of SHARED: the places, among a block's items of a range, of those counted more than once, and their totals."""
+    return asked.groupBy("bucket").applyInArrow(tidy(_shared), SHARED)
+
+
+def shared_of(side: pa.Table) -> tuple[np.ndarray, np.ndarray]:
+    """Places among a block's ascending distinct items of those that are counted more than once, and their totals."""
+    places, totals, before = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], 0
+    for _, size, at, total in sorted(zip(*(side.column(c).to_pylist() for c in ("bucket", "size", "places", "totals")))):
+        places.append(unpack(at).astype(np.int64) + before), totals.append(unpack_counts(total))
+        before += size
+    return np.concatenate(places), np.concatenate(totals)
+
+
 def totals_of(rows: Iterator[tuple[int, bytes]]) -> np.ndarray:
     """The totals of a block's items, in their order, from its (bucket, totals) rows."""
     parts = [unpack_counts(x) for _, x in sorted(rows)]

@@ -1,9 +1,14 @@
 """Exact Jaccard joins of token sets of any number, the shared part of the n-gram join and of line dedup.
 
-A *set* is a key (int), the number n of its tokens and its tokens in one global order, rarest first (ties by hash).
-Two sets of at least ``percent``% Jaccard share at least A = ceil(percent (n1 + n2) / (100 + percent)) tokens. So of
-the first n - A + L tokens of each they share at least L, for any L up to A (else the rest could not reach A). A set
-posts the tokens of its prefix, except those that no other set holds; lists of equal tokens give the candidates.
+A *set* is a key, the number n of its tokens and its tokens in one global order, rarest first (ties by hash). Two sets
+of at least ``percent``% Jaccard share at least A = ceil(percent (n1 + n2) / (100 + percent)) tokens. So of the first
+n - A + L tokens of each they share at least L, for any L up to A (else the rest could not reach A). A set posts the
+tokens of its prefix, except those that no other set holds.
+
+The smallest key of a token's list is the list's *hub*. Sets that post a common token meet under its hub, with all that
+they post there, so their common prefix tokens are counted in one place and only links leave it: no pair that merely
+shares a token becomes a row. A set has few hubs, as the members of a group of copies share theirs. A list or a hub's
+members too large for a task are dealt out by pairs of parts.
 """
 
 from __future__ import annotations
@@ -15,14 +20,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from panelspark.llm.shared import bounded, tidy
+from panelspark.llm.shared import bounded, forget, tidy, written
 
 #: Postings of one token that a task holds at most; a longer list is dealt to tasks by pairs of its parts.
 LIST_PART = 20_000
 #: Postings for each group of lists handled together.
 GROUP_ROWS = 150_000
-PAIRS = "a long, b long, shared int, wanted int"
-_PAIRS = pa.schema([("a", pa.int64()), ("b", pa.int64()), ("shared", pa.int32()), ("wanted", pa.int32())])
+#: Bytes of sets under one hub that a task holds, twice at most; more are dealt to tasks by pairs of parts.
+HUB_BYTES = 32 << 20
+_PAIRS = pa.schema([("a", pa.int64()), ("b", pa.int64())])
 
 
 def required(n1, n2, percent: int):
@@ -47,106 +53,153 @@ def signature(tokens: np.ndarray, starts: np.ndarray) -> np.ndarray:
     return np.stack([np.bitwise_xor.reduceat(np.where(word == k, bits, np.uint64(0)), starts) for k in range(4)], axis=1).view(np.int64)
 
 
-def dealt_postings(postings: DataFrame) -> DataFrame:
-    """Adds ``part1``, ``part2`` and ``bucket``: lists of a token that are too long for a task become all pairs of parts."""
-    counts = postings.groupBy("token").agg(F.count(F.lit(1)).alias("m")).where("m > 1")
-    total = counts.agg(F.sum("m")).first()[0] or 0
-    buckets = max(1, -(-int(total) // GROUP_ROWS))
-    parts = F.ceil(F.col("m") / LIST_PART).cast("int")
-    out = postings.join(counts, "token").withColumn("parts", parts)
-    own = F.pmod(F.xxhash64("key"), F.col("parts")).cast("int")
-    out = out.withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
-    out = out.withColumn("part1", F.least("own", "other")).withColumn("part2", F.greatest("own", "other"))
-    return out.withColumn("bucket", F.pmod(F.xxhash64("token", "part1", "part2"), F.lit(buckets)).cast("int")).drop("m", "parts", "other")
-
-
-def _lists(t: pa.Table) -> Iterator[np.ndarray]:
-    """The rows of each list, one array for each (token, part1, part2)."""
-    token, p1, p2 = (t.column(c).to_numpy() for c in ("token", "part1", "part2"))
-    order = np.lexsort((p2, p1, token))
-    token, p1, p2 = token[order], p1[order], p2[order]
-    new = np.flatnonzero((token[1:] != token[:-1]) | (p1[1:] != p1[:-1]) | (p2[1:] != p2[:-1])) + 1
-    for a, b in zip([0, *new.tolist()], [*new.tolist(), len(order)]):
-        if b - a > 1:
-            yield order[a:b]
-
-
-def candidates(postings: DataFrame, percent: int, star: bool) -> DataFrame:
-    """Pairs a < b of PAIRS, the lists that they share after the filters, and how many they must share.
-
-    ``postings``: token, key, n, place (of the token in the set), level, sig1 to sig4, label, done, part1, part2, own, bucket.
-    Rows pair unless they have equal labels or the later one is done. ``star``: only with the list's smallest key, to
-    settle easy links first.
-    """
+def list_parts(df: np.ndarray) -> np.ndarray:
+    """Parts in which to deal the list of a token that so many sets hold at most."""
+    return np.maximum(-(-df // LIST_PART), 1).astype(np.int32)
+
+
+def _in_parts(rows: DataFrame, parts: str, key: str) -> DataFrame:
+    """Adds ``own``, ``part1``, ``part2``: each row to all pairs of parts that hold its own."""
+    own = F.pmod(F.xxhash64(key), F.col(parts)).cast("int")
+    out = rows.withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.col(parts) - 1)))
+    return out.withColumn("part1", F.least("own", "other")).withColumn("part2", F.greatest("own", "other")).drop("other")
+
+
+def _hubs(t: pa.Table) -> pa.Table:
+    """Distinct (hub, key) of the lists with several keys."""
+    token, p1, p2, key = (t.column(c).to_numpy() for c in ("token", "part1", "part2", "key"))
+    order = np.lexsort((key, p2, p1, token))
+    token, p1, p2, key = token[order], p1[order], p2[order], key[order]
+    first = np.flatnonzero(np.r_[True, (token[1:] != token[:-1]) | (p1[1:] != p1[:-1]) | (p2[1:] != p2[:-1])]) if len(order) else np.zeros(0, np.int64)
+    size = np.diff(np.append(first, len(order)))
+    hub = np.repeat(key[first], size)
+    several = np.repeat(key[first] != key[first + size - 1], size) if len(first) else np.zeros(0, bool)
+    hub, key = hub[several], key[several]
+    order = np.lexsort((key, hub))
+    hub, key = hub[order], key[order]
+    new = np.r_[True, (hub[1:] != hub[:-1]) | (key[1:] != key[:-1])] if len(hub) else np.zeros(0, bool)
+    return pa.Table.from_arrays([pa.array(hub[new], pa.int64()), pa.array(key[new], pa.int64())], names=["hub", "key"])
+
+
+class _Members:
+    """The sets that meet under one hub, in order."""
+
+    def __init__(self, t: pa.Table, order: list[str], percent: int):
+        t = t.combine_chunks().sort_by([(c, "ascending") for c in order])
+        self.percent, self.m = percent, t.num_rows
+        self.n, self.level, self.own = (t.column(c).to_numpy().astype(np.int64) for c in ("n", "level", "own"))
+        self.across = t.column("part1")[0].as_py() != t.column("part2")[0].as_py()
+        self.sigs = np.stack([t.column(f"sig{k}").to_numpy().view(np.uint64) for k in range(1, 5)])
+        self.sets = [np.frombuffer(x.as_buffer(), np.uint64) for x in t.column("shared").combine_chunks()]
+        token, place = t.column("token").combine_chunks(), t.column("place").combine_chunks()
+        member = np.repeat(np.arange(self.m), np.diff(token.offsets.to_numpy()))
+        token, place = token.flatten().to_numpy(), place.flatten().to_numpy().astype(np.int64)
+        by = np.lexsort((member, token))
+        token, place, member = token[by], place[by], member[by]
+        start = np.flatnonzero(np.r_[True, token[1:] != token[:-1]])
+        end = np.repeat(np.append(start[1:], len(token)), np.diff(np.append(start, len(token))))
+        self.place, self.member = place, member
+        self.of_member = np.argsort(member, kind="stable")
+        self.count = np.append(0, np.cumsum(np.bincount(member, minlength=self.m)))
+        self.end = end
+
+    def partners(self, x: int, open_: np.ndarray) -> np.ndarray:
+        """The later members among ``open_`` that share enough of their prefix with ``x`` for a link, by all filters."""
+        mine = self.of_member[self.count[x] : self.count[x + 1]]
+        left = self.end[mine] - mine - 1
+        if not left.any():
+            return np.zeros(0, np.int64)
+        at = np.repeat(mine + 1 - (np.cumsum(left) - left), left) + np.arange(int(left.sum()))
+        y, here = self.member[at], np.repeat(self.place[mine], left)
+        ok = open_[y]
+        y, here, there = y[ok], here[ok], self.place[at[ok]]
+        n, other = int(self.n[x]), self.n[y]
+        need = required(n, other, self.percent)
+        # both prefixes reach as far as this many matches need
+        most = np.minimum(self.level[x] - at_least(n, self.percent), self.level[y] - at_least(other, self.percent)) + need
+        ok = (n - here > need - most) & (other - there > need - most) & (np.minimum(n, other) >= need)
+        y, wanted = y[ok], most[ok]
+        if not len(y):
+            return y
+        found = np.bincount(y, minlength=self.m)
+        least = np.zeros(self.m, np.int64)
+        least[y] = wanted
+        y = np.flatnonzero((found >= least) & (found > 0))
+        apart = np.bitwise_count(self.sigs[:, y] ^ self.sigs[:, x : x + 1]).sum(axis=0, dtype=np.int64)
+        return y[apart <= n + self.n[y] - 2 * required(n, self.n[y], self.percent)]
+
+    def linked(self, x: int, y: int) -> bool:
+        """Whether the Jaccard of two members reaches the percentage, from their whole sets."""
+        u, v = self.sets[x], self.sets[y]
+        if len(u) > len(v):
+            u, v = v, u
+        if not len(u):
+            return False
+        at = np.minimum(np.searchsorted(v, u), len(v) - 1)
+        both = int(np.count_nonzero(v[at] == u))
+        return 100 * both >= self.percent * (int(self.n[x]) + int(self.n[y]) - both)
+
+    def links(self, later_only: bool) -> Iterator[tuple[int, int]]:
+        """Links between members; with ``later_only`` one for each member that an earlier one resembles, else as many as
+        join what links join here."""
+        label = np.arange(self.m)
+        for x in range(self.m - 1):
+            open_ = label == np.arange(self.m) if later_only else label != label[x]
+            if self.across:
+                open_ = open_ & (self.own != self.own[x])
+            if not open_[x + 1 :].any():
+                continue
+            for y in self.partners(x, open_).tolist():
+                if later_only:
+                    if self.linked(x, y):
+                        label[y] = x
+                        yield x, y
+                elif label[y] != label[x] and self.linked(x, y):
+                    label[label == label[y]] = label[x]
+                    yield x, y
 
+
+def _under_hubs(order: list[str], percent: int, later_only: bool):
     def run(t: pa.Table) -> pa.Table:
-        key, n, place, level, label, own, p1, p2 = (t.column(c).to_numpy().astype(np.int64) for c in ("key", "n", "place", "level", "label", "own", "part1", "part2"))
-        open_ = ~t.column("done").to_numpy().astype(bool)
-        sigs = [t.column(f"sig{k}").to_numpy().view(np.uint64) for k in range(1, 5)]
-        found_a, found_b, found_c, found_w, held = [], [], [], [], 0
-
-        def close() -> None:
-            nonlocal held
-            a, b = np.concatenate(found_a), np.concatenate(found_b)
-            c, w = np.concatenate(found_c), np.concatenate(found_w)
-            order = np.lexsort((b, a))
-            a, b, c, w = a[order], b[order], c[order], w[order]
-            new = np.flatnonzero(np.r_[True, (a[1:] != a[:-1]) | (b[1:] != b[:-1])])
-            found_a[:], found_b[:], found_c[:], found_w[:] = [a[new]], [b[new]], [np.add.reduceat(c, new)], [w[new]]
-            held = len(new)
-
-        for rows in _lists(t):
-            rows = rows[np.argsort(key[rows], kind="stable")]
-            if label[rows[0]] == label[rows[-1]] and (label[rows] == label[rows[0]]).all():
+        a, b = [], []
+        t = t.combine_chunks()
+        hub, p1, p2, vertex = (t.column(c).to_numpy() for c in ("hub", "part1", "part2", "vertex"))
+        by = np.lexsort((p2, p1, hub))
+        hub, p1, p2 = hub[by], p1[by], p2[by]
+        cuts = np.flatnonzero((hub[1:] != hub[:-1]) | (p1[1:] != p1[:-1]) | (p2[1:] != p2[:-1])) + 1
+        for rows in np.split(by, cuts):
+            if len(rows) < 2:
                 continue
-            left = rows[:1] if star else rows
-            step = max(1, 500_000 // len(rows))
-            for at in range(0, len(left), step):
-                x, y = left[at : at + step, None], rows[None, :]
-                ok = (key[x] < key[y]) & (label[x] != label[y]) & open_[y]
-                if p1[rows[0]] != p2[rows[0]]:
-                    ok &= own[x] != own[y]
-                i, j = np.nonzero(ok)
-                x, y = x[i, 0], rows[j]
-                need = required(n[x], n[y], percent)
-                # both prefixes reach as far as this many matches need
-                most = np.minimum(level[x] - at_least(n[x], percent), level[y] - at_least(n[y], percent)) + need
-                ok = (n[x] - place[x] > need - most) & (n[y] - place[y] > need - most) & (np.minimum(n[x], n[y]) >= need)
-                x, y, need, kept = x[ok], y[ok], need[ok], ok
-                apart = sum(np.bitwise_count(g[x] ^ g[y]).astype(np.int64) for g in sigs)
-                ok = apart <= n[x] + n[y] - 2 * need
-                x, y, most = x[ok], y[ok], most[kept][ok]
-                if len(x):
-                    found_a.append(key[x]), found_b.append(key[y]), found_c.append(np.ones(len(x), np.int32)), found_w.append(most)
-                    held += len(x)
-                if held > 2_000_000:
-                    close()
-        if not held:
-            return _PAIRS.empty_table()
-        close()
-        return pa.Table.from_arrays([pa.array(found_a[0], pa.int64()), pa.array(found_b[0], pa.int64()), pa.array(found_c[0].astype(np.int32)), pa.array(found_w[0].astype(np.int32))], schema=_PAIRS)
-
-    found = postings.groupBy("bucket").applyInArrow(tidy(run), PAIRS)
-    pairs = found.groupBy("a", "b").agg(F.sum("shared").alias("shared"), F.max("wanted").alias("wanted"))
-    return pairs if star else pairs.where("shared >= wanted")
-
-
-def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """The pairs a, b of keys whose Jaccard is at least ``percent``%; ``sets``: key, n, shared (sorted 64-bit tokens that other sets hold too)."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for t in batches:
-            keep = []
-            for x, y, n in zip(t.column("x"), t.column("y"), (t.column("n1").to_numpy() + t.column("n2").to_numpy()).tolist()):
-                u, v = np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64)
-                if len(u) > len(v):
-                    u, v = v, u
-                at = np.searchsorted(v, u)
-                at[at == len(v)] = 0
-                both = int(np.count_nonzero(v[at] == u)) if len(v) else 0
-                keep.append(100 * both >= percent * (n - both))
-            yield t.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
-
-    left = sets.select(F.col("key").alias("a"), F.col("n").alias("n1"), F.col("shared").alias("x"))
-    right = sets.select(F.col("key").alias("b"), F.col("n").alias("n2"), F.col("shared").alias("y"))
-    return bounded(pairs.select("a", "b").join(right, "b").join(left, "a").select("a", "b", "n1", "n2", "x", "y")).mapInArrow(tidy(run), "a long, b long")
+            group = t.take(pa.array(rows))
+            members = _Members(group, order, percent)
+            vertex = group.combine_chunks().sort_by([(c, "ascending") for c in order]).column("vertex").to_numpy()
+            for x, y in members.links(later_only):
+                a.append(int(vertex[x])), b.append(int(vertex[y]))
+        return pa.Table.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], schema=_PAIRS)
+
+    return run
+
+
+def links(records: DataFrame, percent: int, order: list[str], later_only: bool) -> DataFrame:
+    """Links a, b (vertices; a comes first by ``order``) between sets of at least ``percent``% Jaccard.
+
+    ``records``, a written table: key (unique), vertex, the columns of ``order`` (unique together), n, level,
+    sig1 to sig4, shared (sorted tokens that other sets hold too), token and place (what it posts) and parts
+    (``list_parts`` of each posted token). All links are found that join something: without ``later_only`` the
+    components of the result are those of all links, with it each b that has an earlier partner is there.
+    """
+    posted = records.agg(F.sum(F.size("token"))).first()[0] or 0
+    buckets = max(1, -(-int(posted) // GROUP_ROWS))
+    posts = records.select("key", F.explode(F.arrays_zip("token", "parts")).alias("t")).select("key", F.col("t.token").alias("token"), F.col("t.parts").alias("parts"))
+    dealt = _in_parts(posts, "parts", "key").select("token", "key", "part1", "part2", F.pmod(F.xxhash64("token", "part1", "part2"), F.lit(buckets)).cast("int").alias("bucket"))
+    met = written(dealt.groupBy("bucket").applyInArrow(tidy(_hubs), "hub long, key long").distinct(), "hubs")
+    bytes_ = records.select("key", (F.octet_length("shared") + 12 * F.size("token") + 100).cast("long").alias("bytes"))
+    weighed = met.join(bytes_, "key")
+    sums = written(weighed.groupBy("hub").agg(F.sum("bytes").alias("bytes"), F.count(F.lit(1)).alias("members")), "hub-sizes")
+    groups = max(1, -(-int(sums.agg(F.sum("bytes")).first()[0] or 0) // (HUB_BYTES // 2)))
+    parts = sums.where("members > 1").select("hub", F.ceil(F.col("bytes") / HUB_BYTES).cast("int").alias("parts"))
+    members = _in_parts(met.join(parts, "hub"), "parts", "key").withColumn("bucket", F.pmod(F.xxhash64("hub", "part1", "part2"), F.lit(groups)).cast("int"))
+    whole = members.join(records.select(*dict.fromkeys(["key", "vertex", *order, "n", "level", "sig1", "sig2", "sig3", "sig4", "shared", "token", "place"])), "key")
+    found = written(bounded(whole).groupBy("bucket").applyInArrow(tidy(_under_hubs(order, percent, later_only)), "a long, b long"), "links")
+    forget(met, sums)
+    return found

@@ -84,6 +84,8 @@ def forget(*tables: DataFrame) -> None:
     """Delete written tables that no plan will read again."""
     for t in tables:
         spark = t.sparkSession
+        if name := getattr(t, "panelspark_table", None):
+            spark.sql(f"DROP TABLE IF EXISTS {name}")
         path = spark._jvm.org.apache.hadoop.fs.Path(t.panelspark_path)
         path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
@@ -94,10 +96,11 @@ def block_count(docs: DataFrame, text: str = "text", block_bytes: int = BLOCK_BY
     return max(1, -(-int(total) // block_bytes))
 
 
-def in_blocks(docs: DataFrame, blocks: int, key: str = "doc_id") -> DataFrame:
-    """Adds ``block``, dealt by a hash of the key; rows without a key are dealt by their text."""
-    by = F.when(F.col(key).isNull(), F.xxhash64(F.col("text"))).otherwise(F.xxhash64(F.col(key)))
-    return docs.withColumn("block", F.pmod(by, F.lit(blocks)).cast("int"))
+def dealt(docs: DataFrame, key: str, text: str, blocks: int) -> DataFrame:
+    """Adds ``__row``, a hash of key and text, and ``__block``, dealt by it and by the input partition, so that rows that
+    repeat one key and text (or have neither) are spread over blocks too."""
+    out = docs.withColumn("__row", F.xxhash64(key, text))
+    return out.withColumn("__block", F.pmod(F.xxhash64("__row", F.spark_partition_id()), F.lit(blocks)).cast("int"))
 
 
 def blocked_table(df: DataFrame, by: str, blocks: int) -> DataFrame:
@@ -107,5 +110,5 @@ def blocked_table(df: DataFrame, by: str, blocks: int) -> DataFrame:
     buckets = min(blocks, 50_000)
     df.repartition(buckets, by).write.format("parquet").option("path", f"{shared_dir(spark)}/{name}").bucketBy(buckets, by).saveAsTable(name)
     out = spark.table(name)
-    out.panelspark_path = f"{shared_dir(spark)}/{name}"
+    out.panelspark_path, out.panelspark_table = f"{shared_dir(spark)}/{name}", name
     return out

@@ -15,10 +15,11 @@ import pyarrow.compute as pc
 _MASKS = np.array([(1 << (8 * k)) - 1 for k in range(8)] + [2**64 - 1], dtype=np.uint64)
 _M1, _M2 = np.uint64(0xFF51AFD7ED558CCD), np.uint64(0xC4CEB9FE1A85EC53)
 _S33 = np.uint64(33)
+#: Numbers worked on at once, so that a step's arrays stay in a core's cache.
+_STEP = 16384
 
 
-def mix(x: np.ndarray) -> np.ndarray:
-    """A bijective 64-bit mixer, in place."""
+def _mix(x: np.ndarray) -> np.ndarray:
     x ^= x >> _S33
     x *= _M1
     x ^= x >> _S33
@@ -27,6 +28,13 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x
 
 
+def mix(x: np.ndarray) -> np.ndarray:
+    """A bijective 64-bit mixer, in place."""
+    for at in range(0, len(x), _STEP):
+        _mix(x[at : at + _STEP])
+    return x
+
+
 def text_buffer(texts: pa.Array | pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
     """The UTF-8 bytes of a string column, joined, and the offset at which each text begins (one more at the end)."""
     if isinstance(texts, pa.ChunkedArray):
@@ -71,17 +79,20 @@ def word_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.nd
     padded = np.zeros(len(data) + 8, np.uint8)
     np.add(data, ((data - np.uint8(65)) < 26).view(np.uint8) << np.uint8(5), out=padded[: len(data)])
     eights = np.ndarray((len(data) + 1,), "<u8", padded.data, strides=(1,))
-    left = ends - starts
-    out = mix(left.astype(np.uint64) + np.uint64(0x9E3779B97F4A7C15))
-    out ^= eights[starts] & _MASKS[np.minimum(left, 8)]
-    mix(out)
-    live, at = np.flatnonzero(left > 8), 8
-    while len(live):
-        rest = left[live] - at
-        more = out[live] * np.uint64(0x9E3779B97F4A7C15) ^ (eights[starts[live] + at] & _MASKS[np.minimum(rest, 8)])
-        out[live] = mix(more)
-        live, at = live[rest > 8], at + 8
-    return out
+    whole = np.empty(len(starts), np.uint64)
+    for chunk in range(0, len(starts), _STEP):
+        begin = starts[chunk : chunk + _STEP]
+        left = ends[chunk : chunk + _STEP] - begin
+        out = _mix(left.astype(np.uint64) + np.uint64(0x9E3779B97F4A7C15))
+        out ^= eights[begin] & _MASKS[np.minimum(left, 8)]
+        _mix(out)
+        live, at = np.flatnonzero(left > 8), 8
+        while len(live):
+            rest = left[live] - at
+            out[live] = _mix(out[live] * np.uint64(0x9E3779B97F4A7C15) ^ (eights[begin[live] + at] & _MASKS[np.minimum(rest, 8)]))
+            live, at = live[rest > 8], at + 8
+        whole[chunk : chunk + _STEP] = out
+    return whole
 
 
 def follow(left: np.ndarray, right: np.ndarray) -> np.ndarray:
@@ -89,15 +100,26 @@ def follow(left: np.ndarray, right: np.ndarray) -> np.ndarray:
     return mix(left * np.uint64(0xD6E8FEB86659FD93) + right)
 
 
+def run_hashes(words: np.ndarray, width: int) -> np.ndarray:
+    """Hash of each run of ``width`` consecutive words, whatever texts they belong to: a linear form of the words' hashes, mixed."""
+    factors = _mix(np.arange(1, width + 1, dtype=np.uint64)) | np.uint64(1)
+    out = np.empty(max(len(words) - width + 1, 0), np.uint64)
+    for at in range(0, len(out), _STEP):
+        end = min(at + _STEP, len(out))
+        part = words[at:end] * factors[0]
+        for k in range(1, width):
+            part += words[at + k : end + k] * factors[k]
+        out[at:end] = _mix(part)
+    return out
+
+
 def shingle_sets(texts: pa.Array | pa.ChunkedArray, width: int = 5) -> Iterator[np.ndarray]:
     """For each text the sorted distinct hashes of its runs of ``width`` words; a shorter text is one run, one without words has none."""
     data, offsets = text_buffer(texts)
     starts, ends, counts = word_spans(data, offsets)
     words = word_hashes(data, starts, ends)
     del starts, ends
-    runs = words
-    for k in range(1, width):
-        runs = follow(runs[: max(len(words) - k, 0)], words[k:]) if len(words) > k else runs[:0]
+    runs = run_hashes(words, width)
     for a, b in zip(counts[:-1].tolist(), counts[1:].tolist()):
         if b - a >= width:
             x = np.sort(runs[a : b - width + 1])
