@@ -1,17 +1,20 @@
 """Line dedup: an exact set-similarity join of lines removes each line that resembles an earlier one.
 
-The tokens of a line are its distinct runs of ``width`` words (a shorter line is one run). Tokens are ordered by rarity,
-the number of lines that hold them, and lines matched by prefix, positional and length filters, then verified: a line
-goes if any earlier line, by (doc_id, place in the text), has a Jaccard of at least ``percent``%, whether or not that
-one stays itself. First occurrences of everything stay. Lines of fewer than ``least_words`` words, blank ones among
-them, are never compared and always stay.
+The tokens of a line are its distinct runs of ``width`` words (a shorter line is one run). Single words won't do as
+tokens: the rarest words of a line recur in a share of all lines, so their lists, and the pairs to try, grow with the
+square of the corpus, and the contract for word shingles asks for runs of five. Tokens are ordered by rarity, the number
+of lines that hold them, and lines matched by prefix, positional and length filters, then verified: a line goes if any
+earlier line, by (doc_id, place in the text), has a Jaccard of at least ``percent``%, whether or not that one stays
+itself. First occurrences of everything stay. Lines of fewer than ``least_words`` words are never compared and always
+stay; with the default only lines without a word do.
 
 Within a block of documents equal lines fall to the first at once. Only lines that share a token with another block's
 or line's go on to the join, so ordinary lines cost no row outside their block.
 
 A text keeps its other lines, their ends and their order. A null text stays null and an empty one empty; a text of which
 every line goes is empty. Rows of a null doc_id come after all others. Rows that repeat id and text are one document.
-All other columns pass through untouched, whatever their names.
+Very long texts and lines are read whole; an empty table gives an empty result. Ties in rarity are settled by the
+tokens' hashes. All other columns pass through untouched, whatever their names.
 """
 
 from __future__ import annotations
@@ -23,33 +26,41 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from panelspark.llm import counting, set_join
-from panelspark.llm.shared import BLOCK_BYTES, block_count, blocked_table, forget, tidy, written
-from panelspark.llm.tokens import follow, mix, text_buffer, word_hashes, word_spans
-
-WIDTH, PERCENT, LEAST_WORDS = 5, 80, 5
-_RECORD = "d1 long, d2 long, n int, doc long, row long, line int, sig1 long, sig2 long, sig3 long, sig4 long, token array<long>, place array<int>"
+from panelspark.llm.shared import BLOCK_BYTES, block_count, blocked_table, dealt, forget, tidy, written
+from panelspark.llm.tokens import follow, mix, run_hashes, text_buffer, word_hashes, word_spans
+
+WIDTH, PERCENT, LEAST_WORDS = 5, 80, 1
+_LONG, _INTS = pa.int64(), pa.list_(pa.int32())
+_RECORD = pa.schema(
+    [("block", pa.int32()), ("doc", _LONG), ("row", _LONG), ("gone", _INTS), ("line", pa.int32()), ("d1", _LONG), ("d2", _LONG), ("n", pa.int32())]
+    + [(f"sig{k}", _LONG) for k in range(1, 5)]
+    + [("shared", pa.binary()), ("token", pa.list_(_LONG)), ("place", _INTS), ("parts", _INTS)]
+)
+_RECORD_SQL = "block int, doc long, row long, gone array<int>, line int, d1 long, d2 long, n int, sig1 long, sig2 long, sig3 long, sig4 long, shared binary, token array<long>, place array<int>, parts array<int>"
 _LAST = np.int64(2**63 - 1)
 
 
+def line_starts(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Where each line begins and which text it belongs to: a text's lines are what its line ends close, and what follows the last."""
+    begin = counting.distinct(np.concatenate([offsets[:-1], np.flatnonzero(data == 10) + 1]))
+    begin = begin[begin < len(data)]
+    return begin, np.searchsorted(offsets, begin, side="right") - 1
+
+
 class Lines:
     """The compared lines of a block: their sets, and which of them come first among equals."""
 
     def __init__(self, docs: pa.Table, width: int, least_words: int):
         data, offsets = text_buffer(docs.column("__text"))
-        breaks = np.flatnonzero(data == 10) + 1
-        begin = np.unique(np.concatenate([offsets[:-1], breaks]))
-        begin = begin[begin < len(data)]  # a text's lines are what its line ends close, and what follows the last
+        begin, doc = line_starts(data, offsets)
         bounds = np.append(begin, len(data))
-        doc = np.searchsorted(offsets, begin, side="right") - 1
-        self.data, self.offsets, self.bounds, self.doc_of_line = data, offsets, bounds, doc
+        self.doc_of_line = doc
         self.number = np.arange(len(begin)) - np.searchsorted(begin, offsets)[doc]
         starts, ends, counts = word_spans(data, bounds)
         words = word_hashes(data, starts, ends)
         size = np.diff(counts)
         n = np.where(size >= max(width, least_words), size - width + 1, 0)
-        runs = words
-        for k in range(1, width):
-            runs = follow(runs[: max(len(words) - k, 0)], words[k:])
+        runs = run_hashes(words, width)
         self.lines = np.flatnonzero(n)
         self.n = n[self.lines]
         self.at = np.cumsum(self.n) - self.n
@@ -81,8 +92,7 @@ class Lines:
         twice = np.unique(ranked[1:][ranked[1:] == ranked[:-1]])
         if not len(twice):
             return
-        at = np.minimum(np.searchsorted(twice, own), len(twice) - 1)
-        some = np.flatnonzero(twice[at] == own)
+        some = counting.among(own, twice)[0]
         keep = np.ones(len(own), bool)
         order = some[np.lexsort((some, self.value[some], line[some]))]
         keep[order[1:][(self.value[order][1:] == self.value[order][:-1]) & (line[order][1:] == line[order][:-1])]] = False
@@ -124,124 +134,106 @@ def _lists(values: np.ndarray, sizes: np.ndarray) -> pa.ListArray:
     return pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(sizes)), pa.int32()), pa.array(values))
 
 
+def _table(rows: int, **columns) -> pa.Table:
+    """Rows of _RECORD; what isn't given is null."""
+    return pa.Table.from_arrays([columns[f.name].cast(f.type) if f.name in columns else pa.nulls(rows, f.type) for f in _RECORD], schema=_RECORD)
+
+
+def _repeats(x: Lines, block: int) -> pa.Table:
+    """A row for each document with lines that an equal one of its block precedes."""
+    gone = np.flatnonzero(~x.first)
+    if not len(gone):
+        return _RECORD.empty_table()
+    doc = x.doc_of_line[x.lines[gone]]
+    start = np.flatnonzero(np.r_[True, doc[1:] != doc[:-1]])
+    lists = _lists(x.number[x.lines[gone]].astype(np.int32), np.diff(np.append(start, len(gone))))
+    return _table(len(start), block=pa.array(np.full(len(start), block)), doc=pa.array(x.doc[gone[start]]), row=pa.array(x.row[gone[start]]), gone=lists)
+
+
 def _records(bits: int, width: int, percent: int, least_words: int):
-    """Of each line that comes first in its block and could have a match elsewhere, its prefix."""
+    """Of each line that comes first in its block and could have a match elsewhere, what it posts and its shared tokens;
+    of each document the lines that are gone already."""
 
     def run(key, docs: pa.Table, told: pa.Table) -> pa.Table:
-        types = {f.split()[0]: f.split()[1] for f in _RECORD.split(", ")}
-        kinds = {"long": pa.int64(), "int": pa.int32(), "array<long>": pa.list_(pa.int64()), "array<int>": pa.list_(pa.int32())}
-        none = pa.Table.from_arrays([pa.array([], kinds[t]) for t in types.values()], names=list(types))
         if not docs.num_rows or not told.num_rows:
-            return none
-        x = Lines(docs, width, least_words)
-        totals = counting.totals_of(zip(told.column("bucket").to_pylist(), told.column("totals").to_pylist()))
-        short = np.uint64(64 - bits)
-        mine = np.repeat(x.lead, x.n)
-        value, line = x.value[mine], np.repeat(np.flatnonzero(x.lead), x.n[x.lead])
-        held = np.unique(value >> short)
-        held, totals = held[totals > 1], totals[totals > 1]
-        if not len(held):
-            return none
-        at = np.minimum(np.searchsorted(held, value >> short), len(held) - 1)
-        common = held[at] == value >> short
-        value, line, df = value[common], line[common], totals[at[common]]
-        many = np.bincount(line, minlength=len(x.n))
-        alone = x.n - many  # tokens that no other line holds come first in the order
+            return _RECORD.empty_table()
+        x, block = Lines(docs, width, least_words), docs.column("__block")[0].as_py()
+        places, totals = counting.shared_of(told)
+        mine = np.flatnonzero(np.repeat(x.lead, x.n))
+        value = x.value[mine]
+        where, at = counting.among(value >> np.uint64(64 - bits), counting.distinct(value >> np.uint64(64 - bits))[places])
+        value, df = value[where], totals[at]
+        line = np.searchsorted(x.at, mine[where], side="right") - 1
+        alone = x.n - np.bincount(line, minlength=len(x.n))  # tokens that no other line holds come first in the order
         prefix = set_join.prefix_length(x.n, 1, percent)
         live = (alone < prefix)[line]
         value, line, df = value[live], line[live], df[live]
-        order = np.lexsort((value, (line.astype(np.uint64) << np.uint64(32)) | np.minimum(df, 2**32 - 1).astype(np.uint64)))
-        value, line = value[order], line[order]
-        first = np.flatnonzero(np.r_[True, line[1:] != line[:-1]]) if len(line) else np.zeros(0, np.int64)
+        if not len(line):
+            return _repeats(x, block)
+        order = np.lexsort((value, df, line))
+        value, line, df = value[order], line[order], df[order]
+        first = np.flatnonzero(np.r_[True, line[1:] != line[:-1]])
         size = np.diff(np.append(first, len(line)))
         place = alone[line] + np.arange(len(line)) - np.repeat(first, size)
         post = place < prefix[line]
+        posts = np.add.reduceat(post.astype(np.int64), first)
         chosen = line[first]
-        sigs = set_join.signature(x.value, x.at)[chosen]
-        posts = np.add.reduceat(post.astype(np.int64), first) if len(first) else first
-        columns = [x.d1[chosen].view(np.int64), x.d2[chosen].view(np.int64), x.n[chosen], x.doc[chosen], x.row[chosen], x.number[x.lines[chosen]], *(sigs[:, k] for k in range(4))]
-        arrays = [pa.array(c.astype(np.int64)).cast(kinds[t]) for c, t in zip(columns, types.values())]
-        return pa.Table.from_arrays([*arrays, _lists(value[post].view(np.int64), posts), _lists(place[post].astype(np.int32), posts)], names=list(types))
+        whole = np.repeat(x.at[chosen] - (np.cumsum(x.n[chosen]) - x.n[chosen]), x.n[chosen]) + np.arange(int(x.n[chosen].sum()))
+        sigs = set_join.signature(x.value[whole], np.cumsum(x.n[chosen]) - x.n[chosen])
+        sets = value[np.lexsort((value, line))].view("V8")
+        ends = np.append(first, len(line)) * 8
+        shared = pa.Array.from_buffers(pa.binary(), len(first), [None, pa.py_buffer(ends.astype(np.int32)), pa.py_buffer(np.ascontiguousarray(sets))])
+        plain = dict(block=np.full(len(first), block), doc=x.doc[chosen], row=x.row[chosen], line=x.number[x.lines[chosen]], d1=x.d1[chosen].view(np.int64), d2=x.d2[chosen].view(np.int64), n=x.n[chosen], **{f"sig{k + 1}": sigs[:, k] for k in range(4)})
+        lists = dict(token=_lists(value[post].view(np.int64), posts), place=_lists(place[post].astype(np.int32), posts), parts=_lists(set_join.list_parts(df[post]), posts))
+        return pa.concat_tables([_table(len(first), **{k: pa.array(np.ascontiguousarray(v)) for k, v in plain.items()}, shared=shared, **lists), _repeats(x, block)])
 
     return run
 
 
-def _wanted_sets(width: int, least_words: int):
-    """The whole sets of the lines asked for, from the few documents that hold them."""
-
-    def run(key, docs: pa.Table, wanted: pa.Table) -> pa.Table:
-        keys, sets, n = [], [], []
-        if docs.num_rows and wanted.num_rows:
-            docs = docs.filter(pc.is_in(docs.column("__row"), value_set=wanted.column("row").combine_chunks()))
-            named = dict(zip(zip(wanted.column("row").to_pylist(), wanted.column("line").to_pylist()), wanted.column("key").to_pylist()))
-            if docs.num_rows:
-                x = Lines(docs, width, least_words)
-                for k, at in enumerate(zip(x.row.tolist(), x.number[x.lines].tolist())):
-                    if (got := named.pop(at, None)) is not None:
-                        a = int(x.at[k])
-                        keys.append(got), n.append(int(x.n[k])), sets.append(np.sort(x.value[a : a + n[-1]]).tobytes())
-        return pa.table({"key": pa.array(keys, pa.int64()), "n": pa.array(n, pa.int32()), "shared": pa.array(sets, pa.binary())})
-
-    return run
-
-
-def _cleaned(width: int, least_words: int):
-    def run(key, docs: pa.Table, gone: pa.Table) -> pa.Table:
-        if not docs.num_rows:
-            return docs.drop_columns(["__block", "__doc", "__row"]).append_column("__lines", pa.array([], pa.int64())).append_column("__removed", pa.array([], pa.int64()))
-        x = Lines(docs, width, least_words)
-        drop = ~x.first
-        if gone.num_rows:
-            listed = set(zip(gone.column("doc").to_pylist(), gone.column("row").to_pylist(), gone.column("line").to_pylist()))
-            number = x.number[x.lines]
-            drop |= np.fromiter((t in listed for t in zip(x.doc.tolist(), x.row.tolist(), number.tolist())), bool, len(drop))
-        lines = x.lines[drop]
-        removed = np.bincount(x.doc_of_line[lines], minlength=docs.num_rows)
-        total = np.bincount(x.doc_of_line, minlength=docs.num_rows)
-        texts = docs.column("__text").combine_chunks()
-        changed = np.flatnonzero(removed)
-        out = texts
-        if len(changed):
-            dropped = np.zeros(len(x.bounds) - 1, bool)
-            dropped[lines] = True
-            first = np.searchsorted(x.doc_of_line, np.arange(docs.num_rows))
-            whole = texts.to_pylist()
-            for d in changed.tolist():
-                mine = range(int(first[d]), int(first[d] + total[d]))
-                body = [x.data[x.bounds[k] : x.bounds[k + 1]].tobytes() for k in mine if not dropped[k]]
-                # the last line has no end of its own: without it the line before gives its end up
-                text = b"".join(body)
-                if dropped[mine[-1]] and x.data[x.bounds[mine[-1] + 1] - 1] != 10:
-                    text = text.removesuffix(b"\n")
-                whole[d] = text.decode()
-            out = pa.array(whole, pa.string())
-        kept = docs.set_column(docs.column_names.index("__text"), "__text", out).drop_columns(["__block", "__doc", "__row"])
-        return kept.append_column("__lines", pa.array(total, pa.int64())).append_column("__removed", pa.array(removed, pa.int64()))
-
-    return run
-
-
-def _linked(records: DataFrame, thin: DataFrame, blocks: int, width: int, least_words: int, percent: int) -> DataFrame:
-    """The records (doc, row, line) that an earlier line resembles."""
-    where = records.select("d1", "d2", "n", "doc", "row", "line")
-    firsts = where.groupBy("d1", "d2", "n").agg(F.min(F.struct("doc", "row", "line")).alias("f")).select("d1", "d2", "n", "f.*")
-    keyed = written(firsts.orderBy("doc", "row", "line").withColumn("key", F.monotonically_increasing_id()), "lines-in-order")
-    again = where.join(keyed.select("d1", "d2", "n", F.col("doc").alias("doc0"), F.col("row").alias("row0"), F.col("line").alias("line0")), ["d1", "d2", "n"]).where("not (doc = doc0 and row = row0 and line = line0)").select("doc", "row", "line")
-    sigs = [f"sig{k}" for k in range(1, 5)]
-    posts = records.drop("doc", "d1", "d2").join(keyed.select("row", "line", "key"), ["row", "line"]).select("key", "n", *sigs, F.lit(1).alias("level"), F.col("key").alias("label"), F.explode(F.arrays_zip("token", "place")).alias("t")).select("key", "n", *sigs, "level", "label", F.col("t.token").alias("token"), F.col("t.place").alias("place"))
-    posts = written(set_join.dealt_postings(posts), "line-postings")
-
-    def later(pairs: DataFrame) -> DataFrame:
-        pairs = written(pairs, "line-pairs")
-        ends = pairs.select(F.col("a").alias("key")).unionByName(pairs.select(F.col("b").alias("key"))).distinct()
-        wanted = keyed.join(ends, "key").select("row", "line", "key", F.pmod("row", F.lit(blocks)).cast("int").alias("__block"))
-        sets = written(thin.groupBy("__block").cogroup(wanted.groupBy("__block")).applyInArrow(tidy(_wanted_sets(width, least_words)), "key long, n int, shared binary"), "line-sets")
-        return written(set_join.verified(pairs, sets, percent).select(F.col("b").alias("key")).distinct(), "resolved")
-
-    easy = later(set_join.candidates(posts.withColumn("done", F.lit(False)), percent, star=True))
-    left = posts.join(easy.withColumn("settled", F.lit(True)), "key", "left").withColumn("done", F.coalesce("settled", F.lit(False)))
-    rest = later(set_join.candidates(left, percent, star=False))
-    return written(keyed.join(easy.unionByName(rest).distinct(), "key", "left_semi").select("doc", "row", "line").unionByName(again), "lines-to-remove")
+def _cleaned(key, docs: pa.Table, gone: pa.Table) -> pa.Table:
+    """The texts of a block without the lines listed; only texts that lose some are taken apart."""
+    data, offsets = text_buffer(docs.column("__text"))
+    begin, doc = line_starts(data, offsets)
+    total = np.bincount(doc, minlength=docs.num_rows)
+    removed = np.zeros(docs.num_rows, np.int64)
+    listed: dict[int, set] = {}
+    for row, lines in zip(gone.column("row").to_pylist(), gone.column("lines").to_pylist()):
+        listed.setdefault(row, set()).update(lines)
+    texts = docs.column("__text").combine_chunks()
+    if listed and docs.num_rows:
+        rows = docs.column("__row").combine_chunks().to_numpy(zero_copy_only=False)
+        hit = np.flatnonzero(np.isin(rows, np.fromiter(listed, np.int64, len(listed))))
+        new, old = [], texts
+        for d in hit.tolist():
+            drop = listed[int(rows[d])]
+            # a text that ends with a line end has an empty piece behind it, which is no line; without its last line
+            # the one before gives its end up
+            lines = old[d].as_py().split("\n")
+            new.append("\n".join(x for k, x in enumerate(lines) if k not in drop))
+            removed[d] = len(drop)
+        if len(hit):
+            mask = np.zeros(docs.num_rows, bool)
+            mask[hit] = True
+            texts = pc.replace_with_mask(old, pa.array(mask), pa.array(new, old.type))
+    kept = docs.set_column(docs.column_names.index("__text"), "__text", texts).drop_columns(["__block", "__doc", "__row"])
+    return kept.append_column("__lines", pa.array(total, pa.int64())).append_column("__removed", pa.array(removed, pa.int64()))
+
+
+def _gone(records: DataFrame, percent: int) -> DataFrame:
+    """``block, row, lines`` that an earlier line resembles."""
+    same = ["d1", "d2", "n"]
+    lines = records.where("gone is null").drop("gone")
+    where = F.struct("doc", "row", "line", "block")
+    firsts = lines.groupBy(*same).agg(F.min(where).alias("f"))
+    known = written(lines.join(firsts, same).withColumn("key", F.xxhash64(*same)).withColumn("again", F.expr("not (doc = f.doc and row = f.row and line = f.line)")).withColumn("leads", where == F.col("f")).drop("f"), "lines")
+    leading = known.where("leads").withColumn("level", F.lit(1)).withColumn("vertex", F.col("key"))
+    found = set_join.links(leading, percent, ["doc", "row", "line"], later_only=True)
+    later = written(found.select(F.col("b").alias("key")).distinct(), "resembling")
+    one = lambda df: df.select("block", "row", F.array("line").alias("lines"))
+    out = records.where("gone is not null").select("block", "row", F.col("gone").alias("lines")).unionByName(one(known.where("again"))).unionByName(one(known.where("not again").join(later, "key", "left_semi")))
+    out = written(out, "lines-to-remove")
+    forget(known, found, later)
+    return out
 
 
 def dedup_lines(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT, least_words: int = LEAST_WORDS, report: bool = False, block_bytes: int = BLOCK_BYTES) -> DataFrame:
@@ -249,17 +241,18 @@ def dedup_lines(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT, lea
     names = docs.columns
     plain = docs.select(*(F.col(f"`{c}`").alias(f"c{k}") for k, c in enumerate(names)))
     doc, text = f"c{names.index('doc_id')}", f"c{names.index('text')}"
-    plain = plain.withColumn("__text", F.col(text).cast("string")).drop(text).withColumn("__doc", F.coalesce(F.col(doc).cast("long"), F.lit(int(_LAST)))).withColumn("__row", F.xxhash64(doc, "__text"))
-    sizes = block_count(plain, "__text", block_bytes)
-    bits = counting.bits_for(sizes * block_bytes)
-    table = blocked_table(plain.withColumn("__block", F.pmod("__row", F.lit(sizes)).cast("int")), "__block", sizes)
+    plain = plain.withColumn("__text", F.col(text).cast("string")).drop(text).withColumn("__doc", F.coalesce(F.col(doc).cast("long"), F.lit(int(_LAST))))
+    blocks = block_count(plain, "__text", block_bytes)
+    bits = counting.bits_for(blocks * block_bytes)
+    table = blocked_table(dealt(plain, doc, "__text", blocks), "__block", blocks)
     thin = table.select("__block", "__doc", "__row", "__text")
-    answers = written(counting.told(thin.groupBy("__block").applyInArrow(tidy(_ask(sizes, bits, width, least_words)), counting.ASKED)), "line-token-counts")
-    told = answers.select(F.col("block").alias("__block"), "bucket", "totals")
-    records = written(thin.groupBy("__block").cogroup(told.groupBy("__block")).applyInArrow(tidy(_records(bits, width, percent, least_words)), _RECORD), "line-records")
+    asked = thin.groupBy("__block").applyInArrow(tidy(_ask(blocks, bits, width, least_words)), counting.ASKED)
+    answers = written(counting.shared_items(asked), "line-token-counts")
+    records = written(thin.groupBy("__block").cogroup(answers.groupBy("block")).applyInArrow(tidy(_records(bits, width, percent, least_words)), _RECORD_SQL), "line-records")
     forget(answers)
-    gone = _linked(records, thin, sizes, width, least_words, percent).withColumn("__block", F.pmod("row", F.lit(sizes)).cast("int"))
+    gone = _gone(records, percent)
+    forget(records)
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in table.schema if f.name not in ("__block", "__doc", "__row")) + ", __lines long, __removed long"
-    clean = table.groupBy("__block").cogroup(gone.groupBy("__block")).applyInArrow(tidy(_cleaned(width, least_words)), schema)
+    clean = table.groupBy("__block").cogroup(gone.groupBy("block")).applyInArrow(tidy(_cleaned), schema)
     out = [F.col("__text" if c == "text" else f"c{k}").alias(c) for k, c in enumerate(names)]
     return clean.select(*out, *([F.col("__lines").alias("n_lines"), F.col("__removed").alias("n_removed")] if report else []))

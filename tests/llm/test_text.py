@@ -56,6 +56,17 @@ def test_ngram_join_matches_brute_force(docs, rows, empty):
     assert ngram_join(empty).count() == 0
 
 
+def test_ngram_join_ties_the_texts_of_a_repeated_id(spark):
+    from panelspark.llm.ngram_join import ngram_join
+
+    a, b = "one two three four five six seven", "eight nine ten eleven twelve thirteen"
+    rows = [(3, a), (5, a), (5, b), (2, b), (7, None), (7, "w x y z v"), (4, "w x y z v"), (9, a + " eight"), (9, ""), (9, None)]
+    got = ngram_join(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert len(got) == len(rows)
+    want = {2: 2, 3: 2, 5: 2, 7: 4, 4: 4, 9: 9}
+    assert all(r["component_id"] == want[r["doc_id"]] for r in got), got
+
+
 def test_lists_too_long_for_a_task_lose_no_pair(docs, monkeypatch):
     from panelspark.llm import set_join
     from panelspark.llm.ngram_join import ngram_join
@@ -63,6 +74,8 @@ def test_lists_too_long_for_a_task_lose_no_pair(docs, monkeypatch):
     want = {tuple(r) for r in ngram_join(docs).collect()}
     monkeypatch.setattr(set_join, "LIST_PART", 4)
     assert {tuple(r) for r in ngram_join(docs).collect()} == want
+    monkeypatch.setattr(set_join, "HUB_BYTES", 9000)
+    assert {tuple(r) for r in ngram_join(docs).collect()} == want
 
 
 def brute_lines(rows):
@@ -74,7 +87,7 @@ def brute_lines(rows):
         drop = []
         for line in lines:
             w = words(line)
-            s = shingles(w) if len(w) >= 5 else None
+            s = shingles(w) or None
             drop.append(s is not None and any(alike(s, t) for t in seen))
             if s is not None:
                 seen.append(s)
