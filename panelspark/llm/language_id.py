@@ -20,7 +20,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from panelspark.llm.shared import bounded, tidy
@@ -189,10 +189,12 @@ def fit(docs: DataFrame, modulus: int = MODULUS, held_out: int = HELD_OUT, per_l
     each = max(1, min(per_language, all_samples // len(counts)))
     span = 1 << 30
     bound = F.create_map(*(F.lit(x) for lang, n in sorted(counts.items()) for x in (lang, min(span, int(span * 1.3 * each / n) + 1))))
-    place = F.pmod(F.xxhash64("doc_id"), F.lit(span))
+    place = F.pmod(F.xxhash64("doc_id", F.when(F.col("doc_id").isNull(), F.col("text"))), F.lit(span))
     size, part = F.length("text"), WINDOW * 2
     pieces = F.transform(F.sequence(F.lit(0), F.lit(5)), lambda k: F.substring(F.col("text"), (F.greatest(F.lit(0), size - part) * k / 5).cast("int") + 1, F.lit(part)))
-    chosen = rows.where(place < bound[F.col("lang")]).select("lang", place.alias("place"), pieces.alias("pieces")).orderBy("place").limit(all_samples).collect()
+    some = rows.where(place < bound[F.col("lang")]).select("lang", place.alias("place"), pieces.alias("pieces"))
+    own = Window.partitionBy("lang").orderBy("place", "pieces")
+    chosen = some.withColumn("rank", F.row_number().over(own)).where(F.col("rank") <= each).drop("rank").collect()
     languages = sorted({r["lang"] for r in chosen})
     rng = np.random.default_rng(seed)
     found, label = [], []

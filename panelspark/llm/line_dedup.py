@@ -220,19 +220,21 @@ def _cleaned(key, docs: pa.Table, gone: pa.Table) -> pa.Table:
 
 
 def _gone(records: DataFrame, percent: int) -> DataFrame:
-    """``block, row, lines`` that an earlier line resembles."""
+    """``block, row, lines`` that an earlier line resembles. Deletes ``records``."""
     same = ["d1", "d2", "n"]
     lines = records.where("gone is null").drop("gone")
     where = F.struct("doc", "row", "line", "block")
     firsts = lines.groupBy(*same).agg(F.min(where).alias("f"))
+    packed = written(records.where("gone is not null").select("block", "row", F.col("gone").alias("lines")), "repeats-in-blocks")
     known = written(lines.join(firsts, same).withColumn("key", F.xxhash64(*same)).withColumn("again", F.expr("not (doc = f.doc and row = f.row and line = f.line)")).withColumn("leads", where == F.col("f")).drop("f"), "lines")
+    forget(records)
     leading = known.where("leads").withColumn("level", F.lit(1)).withColumn("vertex", F.col("key"))
     found = set_join.links(leading, percent, ["doc", "row", "line"], later_only=True)
     later = written(found.select(F.col("b").alias("key")).distinct(), "resembling")
     one = lambda df: df.select("block", "row", F.array("line").alias("lines"))
-    out = records.where("gone is not null").select("block", "row", F.col("gone").alias("lines")).unionByName(one(known.where("again"))).unionByName(one(known.where("not again").join(later, "key", "left_semi")))
+    out = packed.unionByName(one(known.where("again"))).unionByName(one(known.where("not again").join(later, "key", "left_semi")))
     out = written(out, "lines-to-remove")
-    forget(known, found, later)
+    forget(packed, known, found, later)
     return out
 
 
@@ -251,7 +253,6 @@ def dedup_lines(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT, lea
     records = written(thin.groupBy("__block").cogroup(answers.groupBy("block")).applyInArrow(tidy(_records(bits, width, percent, least_words)), _RECORD_SQL), "line-records")
     forget(answers)
     gone = _gone(records, percent)
-    forget(records)
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in table.schema if f.name not in ("__block", "__doc", "__row")) + ", __lines long, __removed long"
     clean = table.groupBy("__block").cogroup(gone.groupBy("block")).applyInArrow(tidy(_cleaned), schema)
     out = [F.col("__text" if c == "text" else f"c{k}").alias(c) for k, c in enumerate(names)]

@@ -66,7 +66,7 @@ def op8_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_token_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Loads all documents' counts as inserts, takes the toxic ones down, gives those of good quality an end token, and
+    """Loads all documents' counts by two tokenizer versions as inserts, takes the toxic ones down, gives those of good quality an end token, and
     commits the takedown a second time, which must change nothing."""
     import uuid
 
@@ -75,7 +75,7 @@ def op9_token_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from panelspark.llm.shared import shared_dir, written
     from panelspark.llm.token_rollup import Ledger, count_tokens
 
-    versions = {"byte_bpe_50k": str(public_tokenizers.path("byte_bpe_50k.tiktoken"))}
+    versions = {v: str(public_tokenizers.path(f"{v}.tiktoken")) for v in ("byte_bpe_50k", "byte_bpe_multi_50k")}
     counts = written(count_tokens(_table(spark, sf_dir, "documents"), versions, public_tokenizers.PATTERN), "token-counts")
     labels = _table(spark, sf_dir, "labels").groupBy("doc_id").agg(F.max("toxic").alias("toxic"), F.max("quality").alias("quality"))
     labelled = counts.join(labels, "doc_id")

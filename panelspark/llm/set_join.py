@@ -81,27 +81,45 @@ def _hubs(t: pa.Table) -> pa.Table:
     return pa.Table.from_arrays([pa.array(hub[new], pa.int64()), pa.array(key[new], pa.int64())], names=["hub", "key"])
 
 
-class _Members:
-    """The sets that meet under one hub, in order."""
-
-    def __init__(self, t: pa.Table, order: list[str], percent: int):
-        t = t.combine_chunks().sort_by([(c, "ascending") for c in order])
-        self.percent, self.m = percent, t.num_rows
+class _Sorted:
+    """Members of many hubs, sorted by hub, parts and order, as flat arrays."""
+
+    def __init__(self, t: pa.Table, order: list[str]):
+        by = ["hub", "part1", "part2"]
+        t = t.combine_chunks().sort_by([(c, "ascending") for c in (*by, *order)]).combine_chunks()
+        self.key = [t.column(c).to_numpy() for c in by]
+        self.vertex = t.column("vertex").to_numpy()
         self.n, self.level, self.own = (t.column(c).to_numpy().astype(np.int64) for c in ("n", "level", "own"))
-        self.across = t.column("part1")[0].as_py() != t.column("part2")[0].as_py()
         self.sigs = np.stack([t.column(f"sig{k}").to_numpy().view(np.uint64) for k in range(1, 5)])
-        self.sets = [np.frombuffer(x.as_buffer(), np.uint64) for x in t.column("shared").combine_chunks()]
-        token, place = t.column("token").combine_chunks(), t.column("place").combine_chunks()
-        member = np.repeat(np.arange(self.m), np.diff(token.offsets.to_numpy()))
-        token, place = token.flatten().to_numpy(), place.flatten().to_numpy().astype(np.int64)
-        by = np.lexsort((member, token))
-        token, place, member = token[by], place[by], member[by]
+        self.sets = t.column("shared").chunk(0)
+        token, place = t.column("token").chunk(0), t.column("place").chunk(0)
+        self.at = token.offsets.to_numpy() - token.offsets[0].as_py()
+        self.token, self.place = token.flatten().to_numpy(), place.flatten().to_numpy().astype(np.int64)
+
+    def groups(self) -> Iterator[tuple[int, int]]:
+        new = np.zeros(len(self.n) - 1, bool)
+        for k in self.key:
+            new |= k[1:] != k[:-1]
+        cuts = (np.flatnonzero(new) + 1).tolist()
+        return ((a, b) for a, b in zip([0, *cuts], [*cuts, len(self.n)]) if b - a > 1)
+
+
+class _Members:
+    """The sets that meet under one hub (or one pair of its parts), in order."""
+
+    def __init__(self, s: _Sorted, begin: int, end: int, percent: int):
+        self.percent, self.m = percent, end - begin
+        self.n, self.level, self.own, self.sigs = s.n[begin:end], s.level[begin:end], s.own[begin:end], s.sigs[:, begin:end]
+        self.across = s.key[1][begin] != s.key[2][begin]
+        self.sets = [np.frombuffer(s.sets[k].as_buffer(), np.uint64) for k in range(begin, end)]
+        token, place = s.token[s.at[begin] : s.at[end]], s.place[s.at[begin] : s.at[end]]
+        member = np.repeat(np.arange(self.m), np.diff(s.at[begin : end + 1]))
+        by = np.argsort(token, kind="stable")  # members stay ascending within a list
+        token, self.place, self.member = token[by], place[by], member[by]
         start = np.flatnonzero(np.r_[True, token[1:] != token[:-1]])
-        end = np.repeat(np.append(start[1:], len(token)), np.diff(np.append(start, len(token))))
-        self.place, self.member = place, member
-        self.of_member = np.argsort(member, kind="stable")
-        self.count = np.append(0, np.cumsum(np.bincount(member, minlength=self.m)))
-        self.end = end
+        self.end = np.repeat(np.append(start[1:], len(token)), np.diff(np.append(start, len(token))))
+        self.of_member = np.argsort(self.member, kind="stable")
+        self.count = s.at[begin : end + 1] - s.at[begin]
 
     def partners(self, x: int, open_: np.ndarray) -> np.ndarray:
         """The later members among ``open_`` that share enough of their prefix with ``x`` for a link, by all filters."""
@@ -162,19 +180,10 @@ class _Members:
 def _under_hubs(order: list[str], percent: int, later_only: bool):
     def run(t: pa.Table) -> pa.Table:
         a, b = [], []
-        t = t.combine_chunks()
-        hub, p1, p2, vertex = (t.column(c).to_numpy() for c in ("hub", "part1", "part2", "vertex"))
-        by = np.lexsort((p2, p1, hub))
-        hub, p1, p2 = hub[by], p1[by], p2[by]
-        cuts = np.flatnonzero((hub[1:] != hub[:-1]) | (p1[1:] != p1[:-1]) | (p2[1:] != p2[:-1])) + 1
-        for rows in np.split(by, cuts):
-            if len(rows) < 2:
-                continue
-            group = t.take(pa.array(rows))
-            members = _Members(group, order, percent)
-            vertex = group.combine_chunks().sort_by([(c, "ascending") for c in order]).column("vertex").to_numpy()
-            for x, y in members.links(later_only):
-                a.append(int(vertex[x])), b.append(int(vertex[y]))
+        s = _Sorted(t, order)
+        for begin, end in s.groups():
+            for x, y in _Members(s, begin, end, percent).links(later_only):
+                a.append(int(s.vertex[begin + x])), b.append(int(s.vertex[begin + y]))
         return pa.Table.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], schema=_PAIRS)
 
     return run

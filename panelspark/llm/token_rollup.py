@@ -11,8 +11,7 @@ rows of marked batches. A batch that is already marked is skipped, and one that
 retried job changes nothing twice. ``compact`` folds all marked batches into one base batch under the same rules.
 
 Null sources and languages are keys of their own. Null texts have no tokens but count as documents. An insert, delete or
-revision with a null count adds nothing for it. Unknown kinds of change are an error. Rows that repeat a document each
-count. Extra columns of a change table are ignored.
+revision with a null count adds nothing for it. Unknown kinds of change are an error. Rows that repeat a document each count Extra columns of a change table are ignored.
 """
 
 from __future__ import annotations
@@ -75,14 +74,18 @@ class Ledger:
         live = self._live()
         if not live:
             return self.spark.createDataFrame([], "source string, lang string, version string, documents long, tokens long")
-        rows = self.spark.read.parquet(*(self._path("deltas", b) for b in live))
-        return _summed(rows).where("documents <> 0 or tokens <> 0")
+        return self._totals_of(live).where("documents <> 0 or tokens <> 0")
+
+    def _totals_of(self, batches: list[str]) -> DataFrame:
+        return _summed(self.spark.read.parquet(*(self._path("deltas", b) for b in batches)))
 
     def compact(self, name: str) -> None:
-        """Folds all committed batches into the base batch ``name``."""
-        if not self.committed(name):
-            live = self._live()
-            self._store(self.totals(), name, live)
+        """Folds the batches that are marked now into the base batch ``name``; what is committed meanwhile stays beside it."""
+        if self.committed(name):
+            return
+        live = self._live()
+        if live:
+            self._store(self._totals_of(live), name, live)
 
 
 def _summed(rows: DataFrame) -> DataFrame:

@@ -132,3 +132,29 @@ def test_languages_are_told_apart(spark, docs, rows, empty):
     assert len(told) == len(rows) and all(0 <= r["score"] <= 1 for r in told)
     assert {r["lang_pred"] for r in told if r["doc_id"] in (150, 151, 152, 157)} == {"und"}
     assert identify(empty).count() == 0
+
+
+def test_rollup_query_matches_brute_force(spark, tmp_path):
+    import base64
+    from collections import Counter
+
+    import public_tokenizers
+    import tiktoken
+
+    from panelspark.llm.queries import op9_token_rollup
+
+    docs = [(0, "one two", "s0", "en"), (1, "three, four five", "s0", "en"), (2, None, None, None), (3, "", "s1", "fr"), (4, "six" * 5000, "s1", "fr"), (5, "seven eight", "s1", "fr"), (5, "seven eight", "s1", "fr"), (None, "nine", "s1", None)]
+    labels = [(0, 1, 0), (1, 0, 1), (4, 1, None), (5, 1, 1), (6, 1, 0), (None, 1, 1)]
+    spark.createDataFrame([(*d, 7) for d in docs], "doc_id long, text string, source string, lang string, version int").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame(labels, "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    want, toxic, good = {}, {1, 5}, {0, 4}
+    for v in ("byte_bpe_50k", "byte_bpe_multi_50k"):
+        ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, open(public_tokenizers.path(f"{v}.tiktoken"), "rb"))}
+        e = tiktoken.Encoding("t", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
+        for i, text, source, lang in docs:
+            if i not in toxic:
+                c = want.setdefault((source, lang, v), Counter())
+                c["documents"] += 1
+                c["tokens"] += len(e.encode_ordinary(text or "")) + (i in good)
+    got = {(r["source"], r["lang"], r["version"]): (r["documents"], r["tokens"]) for r in op9_token_rollup(spark, str(tmp_path)).collect()}
+    assert got == {k: (c["documents"], c["tokens"]) for k, c in want.items()}
