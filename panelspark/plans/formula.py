@@ -1,7 +1,11 @@
 """Factor formulas as data: a small notation, read into a shared graph of operators and turned into staged relational plans.
 
-A formula is ordered bindings ``name := expression; ...`` and, after ``→``, its result. ``keep(x ¦ c)`` is x where c holds,
-else null; ``lag5``, ``tsum20``, ``corr10``... carry their window in the name. A comparison with a null operand is false.
+A formula is one expression. ``lag5``, ``tsum20``, ``corr10``... carry their window in the name; a published window that
+is no whole number is cut to one (``tsum3.92795`` is ``tsum3``). Quantities that several formulas use have names of their
+own in ``shared.txt``. Three kinds of choice differ in what they make of missing values: ``where(c, x, y)`` takes a
+comparison with a missing operand as false; ``when(c, x, y)`` is missing where an operand of c is; ``choose(c, x, y)`` is
+missing where an operand of c, x or y is. Counts and conditional sums of a window skip what ``when`` and ``choose`` miss.
+``keep(x, c)`` is x where c holds, else null.
 
 The graph is hash-consed over all formulas compiled together, so that a shared window is computed once. Nodes are
 grouped into stages: all windows whose inputs are ready go into one projection (Catalyst then shares one exchange and sort
@@ -49,16 +53,6 @@ class Graph:
         return self.add("num", i) if self.nodes[i][0] in BOOLEAN or self.nodes[i][0] == "keep" and self.nodes[self.nodes[i][1]][0] in BOOLEAN else i
 
 
-def _statements(text: str) -> list[tuple[str | None, str]]:
-    text = text.replace("¦", ",").replace(" AND ", " and ").replace(" OR ", " or ").replace("NOT(", "negate(").replace("^", "**")
-    body, _, result = text.rpartition("→")
-    out: list[tuple[str | None, str]] = []
-    for part in filter(None, (p.strip() for p in body.split(";"))):
-        name, _, value = part.partition(":=")
-        out.append((name.strip(), value.strip()))
-    return [*out, (None, result.strip())]
-
-
 @functools.cache
 def library(name: str) -> dict[str, str]:
     """Formula texts by name of ``formulas_101``, ``formulas_191`` or ``shared``."""
@@ -66,22 +60,53 @@ def library(name: str) -> dict[str, str]:
     return dict(tuple(x.strip() for x in line.split(" | ", 1)) for line in lines if line and not line.startswith("#"))
 
 
+@functools.cache
+def _quantities() -> dict[str, tuple[list[str], str]]:
+    """Parameters and text of each shared quantity."""
+    out = {}
+    for head, text in library("shared").items():
+        name, _, inside = head.rstrip(")").partition("(")
+        out[name] = ([p.strip() for p in inside.split(",") if p.strip()], text)
+    return out
+
+
 class Reader:
     """Reads formula texts into a graph."""
 
     def __init__(self, graph: Graph):
         self.g = graph
 
-    def formula(self, text: str):
-        names: dict[str, object] = {}
-        for name, value in _statements(text):
-            got = self._walk(ast.parse(value, mode="eval").body, names)
-            if name is None:
-                return got
-            if name.startswith("("):
-                names.update(zip((x.strip() for x in name.strip("()").split(",")), got))
-            else:
-                names[name] = got
+    def formula(self, text: str, names: dict | None = None):
+        text = re.sub(r"\b([a-z]+)(\d+)\.\d+\(", r"\1\2(", text.replace("^", "**"))
+        return self._walk(ast.parse(text, mode="eval").body, names or {})
+
+    def _shared(self, name: str, args: list):
+        """A shared quantity: numbers also stand for ``{parameter}`` in its text."""
+        parameters, text = _quantities()[name]
+        for p, a in zip(parameters, args):
+            if self.g.nodes[a][0] == "const":
+                text = text.replace("{" + p + "}", str(int(self.g.nodes[a][1])))
+        return self.formula(text, dict(zip(parameters, args)))
+
+    def _present(self, *parts: int) -> int | None:
+        """Whether all operands of these conditions' comparisons, and all other parts, are there."""
+        out: list[int] = []
+
+        def visit(i: int) -> None:
+            op, *rest = self.g.nodes[i]
+            if op in BOOLEAN and op != "has":
+                for a in rest:
+                    visit(a)
+            elif op not in ("const", "has") and i not in out:
+                out.append(i)
+
+        for p in parts:
+            visit(p)
+        return functools.reduce(lambda a, b: self.g.add("and", a, b), (self.g.add("has", i) for i in out)) if out else None
+
+    def _kept(self, x: int, *parts: int) -> int:
+        present = self._present(*parts)
+        return x if present is None else self.g.add("keep", x, present)
 
     def _const(self, value: float) -> int:
         return self.g.add("const", float(value))
@@ -116,22 +141,12 @@ class Reader:
         more = {k.arg: self._walk(k.value, names) for k in e.keywords}
         if name == "unresolved":
             raise UnresolvedFormula("no consistent reading")
-        if name in ("signed_volume", "dtm", "dbm", "directional_range_parts", "true_range", "adx"):
-            return self.formula(library("shared")[name])
-        if name == "accumulated_deviation":
-            return self.formula(library("shared")[name].replace("{n}", str(int(g.nodes[args[0]][1]))))
-        if name in ("flag", "sgnif", "iif"):
-            cond, rest = args[0], args[1:]
-            if name == "flag":
-                yes, no = more.get("multiplier", self._const(1)), self._const(0)
-            elif name == "sgnif":
-                yes, no = more.get("true_value", self._const(1)), more.get("false_value", self._const(-1))
-            else:
-                yes, no = rest
-            x = g.add("where", cond, yes, no)
-            return g.add("keep", x, more["valid"]) if "valid" in more else x
-        if name == "negate":
-            return g.add("not", args[0])
+        if name in _quantities():
+            return self._shared(name, args)
+        if name == "when":
+            return self._kept(g.add("where", *args), args[0])
+        if name == "choose":
+            return self._kept(g.add("where", *args), *args)
         if name == "smacn":
             x = g.numeric(args[0])
             return g.add("smacn", x, *(("n", int(g.nodes[a][1])) for a in args[1:]), g.add("nullseg", x))
@@ -142,10 +157,12 @@ class Reader:
         m = re.fullmatch(r"([a-z]+[a-z1]*?)(\d+)?", name)
         base, n = (name, 0) if name in ELEMENT or name in ("l1", "adv") else (m[1], int(m[2] or 0))
         if base == "tcount":
-            x = g.add("keep", g.add("num", args[0]), more["valid"])
+            one = g.add("num", args[0])
+            x = g.add("keep", one, more["valid"]) if "valid" in more else self._kept(one, args[0])
             return g.add("tsum", x, ("n", n))
         if base == "tsumif":
-            x = g.add("keep", g.add("where", args[2], g.numeric(args[0]), self._const(0)), more["valid"])
+            part = g.numeric(args[0])
+            x = self._kept(g.add("where", args[2], part, self._const(0)), args[2], part)
             return g.add("tsum", x, ("n", int(g.nodes[args[1]][1])))
         if base == "diff":
             return g.add("sub", g.numeric(args[0]), g.add("lag", g.numeric(args[0]), ("n", n)))

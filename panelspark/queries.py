@@ -22,8 +22,8 @@ NO_SQL = {"gtja_030", "gtja_149"}
 CUSTOM = {"custom_001": "-cs(cov5(cs(returns), cs(sdiv(amount, cap))))", "custom_002": "cs(sdiv(vwap-close, vwap))"}
 
 #: Every panel operator by itself.
-CORE = {"rank_cs": "cs(close)", "delay": "lag3(close)", "delta": "diff2(close)", "correlation": "corr10(close, volume)", "covariance": "cov10(close, volume)", "scale": "l1(returns)", "signed_power": "spow(returns, 2)", "decay_linear": "wlin8(close)", "ts_min": "tmin8(low)", "ts_max": "tmax8(high)", "ts_argmin": "argmin8(low)", "ts_argmax": "argmax8(high)", "ts_rank": "trank8(close)", "ts_sum": "tsum8(volume)", "ts_product": "tsprod4(1+returns)", "ts_stddev": "sd8(close)", "element_min": "min2(open, close)", "element_max": "max2(open, close)", "indneutralize": "neutral(returns, industry)".replace("industry", "'industry'"), "signed_condition": "sgnif(close>open, valid=has(close) AND has(open))", "boolean_condition": "flag(close>open, multiplier=2.0, valid=has(close) AND has(open))"}
-SECOND = {"sma_cn": "smacn(close, 9, 2)", "wma": "wma10(close)", "highday": "hday10(high)", "lowday": "lday10(low)", "regbeta": "regbeta12(close, volume)", "regresi": "regresi12(close, volume)", "sequence_beta": "seqbeta12(close)", "count_if": "tcount12(close>open, valid=has(close) AND has(open))", "sum_if": "tsumif(volume, 12, close>open, valid=has(close) AND has(open))", "ts_mean": "tmean12(close)", "conditional": "iif(close>open, 1.0, -1.0, valid=has(close) AND has(open))", "broadcast_series": "sdiv(close, bench_open*0+close)", "carry_product": "carry(returns)"}
+CORE = {"rank_cs": "cs(close)", "delay": "lag3(close)", "delta": "diff2(close)", "correlation": "corr10(close, volume)", "covariance": "cov10(close, volume)", "scale": "l1(returns)", "signed_power": "spow(returns, 2)", "decay_linear": "wlin8(close)", "ts_min": "tmin8(low)", "ts_max": "tmax8(high)", "ts_argmin": "argmin8(low)", "ts_argmax": "argmax8(high)", "ts_rank": "trank8(close)", "ts_sum": "tsum8(volume)", "ts_product": "tsprod4(1+returns)", "ts_stddev": "sd8(close)", "element_min": "min2(open, close)", "element_max": "max2(open, close)", "indneutralize": "neutral(returns, 'industry')", "fractional_window": "tmax3.92795(close)", "signed_condition": "when(close>open, 1, -1)", "boolean_condition": "when(close>open, 2, 0)"}
+SECOND = {"sma_cn": "smacn(close, 9, 2)", "wma": "wma10(close)", "highday": "hday10(high)", "lowday": "lday10(low)", "regbeta": "regbeta12(close, volume)", "regresi": "regresi12(close, volume)", "sequence_beta": "seqbeta12(close)", "count_if": "tcount12(close>open)", "sum_if": "tsumif(volume, 12, close>open)", "ts_mean": "tmean12(close)", "conditional": "when(close>open, 1.0, -1.0)", "broadcast_series": "sdiv(close, bench_close)", "carry_product": "carry(returns)"}
 
 
 def _reported(keys: str, values: str, text: str) -> str:
