@@ -56,7 +56,9 @@ def indicators(bars: DataFrame) -> DataFrame:
         p = p.sort_values("date", kind="stable").reset_index(drop=True)
         high, low, close = (p[c].to_numpy(float) for c in ("high", "low", "close"))
         lo, hi = p["low"].rolling(9, min_periods=1).min().to_numpy(), p["high"].rolling(9, min_periods=1).max().to_numpy()
-        k = recursive_mean((close - lo) / (hi - lo + 1e-9) * 100, 1 / 3, 50.0)
+        rsv = (close - lo) / (hi - lo + 1e-9) * 100
+        rsv[:1] = 50.0  # K and D of the first bar are 50
+        k = recursive_mean(rsv, 1 / 3, 50.0)
         d = recursive_mean(k, 1 / 3, 50.0)
         late = np.arange(len(p))
         dif = np.where(late >= 25, recursive_mean(close, 2 / 13) - recursive_mean(close, 2 / 27), np.nan)
@@ -87,24 +89,65 @@ def _sure(c):
     return F.coalesce(c, F.lit(False))
 
 
-def selectors(bars: DataFrame) -> DataFrame:
-    """The rule selectors' picks for every bar: b1, brick, mbdsr, macd_obv; each a conjunction of complete conditions."""
+def zx_long(periods: tuple[int, ...] = (14, 28, 57, 114)):
+    """The slow ZX line: the mean of the closes' moving averages over complete windows."""
+    return sum((_mean("close", n) for n in periods[1:]), _mean("close", periods[0])) / len(periods)
+
+
+def weekly_bull(bars: DataFrame, periods: tuple[int, int, int] = (20, 60, 120)) -> DataFrame:
+    """``symbol, date, bull``: whether the weekly closes' moving averages over ``periods`` weeks descend from the shortest to
+    the longest, as of the last week (by ISO) whose last bar is not later; false before that is known."""
+    last = F.coalesce(F.date_trunc("week", F.lead("date").over(_by())) > F.date_trunc("week", "date"), F.lit(True))
+    ends = bars.select("symbol", "date", "close", last.alias("last")).where("last and close is not null")
+    short, mid, long_ = (_mean("close", n) for n in periods)
+    flags = ends.select("symbol", F.col("date").alias("d"), _sure((short > mid) & (mid > long_)).alias("flag"))
+    held = bars.select("symbol", "date").join(flags.withColumnRenamed("d", "date"), ["symbol", "date"], "left")
+    return held.select("symbol", "date", _sure(F.last("flag", True).over(_by().rowsBetween(Window.unboundedPreceding, 0))).alias("bull"))
+
+
+def green_runs(bricks: DataFrame) -> DataFrame:
+    """``symbol, date, run``: how many bars with a negative brick stand in a row right before each bar."""
+    i = F.row_number().over(_by())
+    x = bricks.select("symbol", "date", i.alias("i"), F.when(F.coalesce(F.col("brick") < 0, F.lit(False)), F.lit(0)).otherwise(i).alias("other"))
+    before = F.max("other").over(_by().rowsBetween(Window.unboundedPreceding, -1))
+    return x.select("symbol", "date", (F.col("i") - 1 - F.coalesce(before, F.lit(0))).cast("long").alias("run"))
+
+
+#: Parameters of the rule selectors; None switches a filter off.
+RULES = {
+    "j_threshold": -5.0, "j_quantile": 0.1, "b1_zx": (10, 50, 200, 300), "b1_weeks": (10, 20, 30), "max_volume_days": 20,
+    "brick_return": 0.05, "brick_growth": 1.0, "brick_greens": 1, "brick_zx": (14, 28, 57, 114), "brick_zxdq_ratio": 1.0, "brick_weeks": (20, 60, 120),
+}
+
+
+def selectors(bars: DataFrame, **rules) -> DataFrame:
+    """The rule selectors' picks for every bar, each a conjunction of complete conditions: b1, brick, mbdsr (and the bar that
+    confirms it), macd_obv. ``rules`` replaces some of RULES. Missing values meet no condition."""
+    r = RULES | rules
     x = indicators(bars)
     step = F.when(_lag("close").isNull(), F.lit(0.0)).otherwise(F.signum(F.col("close") - _lag("close")) * F.col("volume"))
     true_range = F.greatest(F.col("high") - F.col("low"), F.abs(F.col("high") - _lag("close")), F.abs(F.col("low") - _lag("close")))
-    x = x.withColumns({"step": step, "tr": true_range, "ma14": _mean("close", 14), "ma20": _mean("close", 20), "ma28": _mean("close", 28), "ma57": _mean("close", 57), "ma60": _mean("close", 60), "vol20": _mean("volume", 20), "prev_brick": _lag("brick"), "prev_close": _lag("close"), "prev_rci9": _lag("rci9"), "prev_rci26": _lag("rci26"), "i": F.row_number().over(_by())})
-    x = x.withColumns({"obv": F.sum("step").over(_by().rowsBetween(Window.unboundedPreceding, 0)), "atr14": _mean("tr", 14), "zxdkx": (F.col("ma14") + F.col("ma28") + F.col("ma57") + F.col("ma60")) / 4, "j_low": F.percentile("j", F.lit(0.1)).over(_by().rowsBetween(Window.unboundedPreceding, 0)), "strong_day": F.max_by(F.col("close") >= F.col("open"), F.struct("volume", -F.col("i"))).over(_by().rowsBetween(-19, 0))})
+    x = x.withColumns({"step": step, "tr": true_range, "ma20": _mean("close", 20), "ma60": _mean("close", 60), "vol20": _mean("volume", 20), "prev_brick": _lag("brick"), "prev_close": _lag("close"), "prev_rci9": _lag("rci9"), "prev_rci26": _lag("rci26"), "i": F.row_number().over(_by())})
+    x = x.withColumns({"obv": F.sum("step").over(_by().rowsBetween(Window.unboundedPreceding, 0)), "atr14": _mean("tr", 14), "b1_long": zx_long(r["b1_zx"]), "brick_long": zx_long(r["brick_zx"]), "j_low": F.percentile("j", F.lit(r["j_quantile"])).over(_by().rowsBetween(Window.unboundedPreceding, 0)), "strong_day": F.max_by(F.col("close") >= F.col("open"), F.struct("volume", -F.col("i"))).over(_by().rowsBetween(1 - r["max_volume_days"], 0))})
     x = x.withColumns({"obv_ma": _mean("obv", 20), "obv_low": F.when(F.count("obv").over(_by().rowsBetween(-19, 0)) == 20, F.min("obv").over(_by().rowsBetween(-19, 0))), "high10": F.when(F.count("high").over(_by().rowsBetween(-9, 0)) == 10, F.max("high").over(_by().rowsBetween(-9, 0)))})
+    x = x.join(green_runs(x).withColumnRenamed("run", "greens"), ["symbol", "date"])
+    for name in ("b1_weeks", "brick_weeks"):
+        x = x.join(weekly_bull(bars, r[name]).withColumnRenamed("bull", name), ["symbol", "date"]) if r[name] else x.withColumn(name, F.lit(True))
     c = F.col
-    b1 = _sure((c("j") < -5) | (c("j") <= c("j_low"))) & _sure((c("close") > c("zxdkx")) & (c("zxdq") > c("zxdkx"))) & _sure(c("strong_day"))
-    brick = _sure(c("close") / c("prev_close") - 1 < 0.5) & _sure((c("brick") > 0) & (c("prev_brick") < 0) & (c("brick") >= 0.5 * F.abs("prev_brick")))
+    b1 = _sure((c("j") < r["j_threshold"]) | (c("j") <= c("j_low"))) & _sure((c("close") > c("b1_long")) & (c("zxdq") > c("b1_long"))) & c("b1_weeks") & _sure(c("strong_day"))
+    brick = _sure(c("close") / c("prev_close") - 1 < r["brick_return"]) & _sure((c("brick") > 0) & (c("prev_brick") < 0) & (c("brick") >= r["brick_growth"] * F.abs("prev_brick"))) & (c("greens") >= r["brick_greens"]) & c("brick_weeks")
+    if r["brick_zxdq_ratio"] is not None:
+        brick = brick & _sure((c("zxdq") > 0) & (c("close") < c("zxdq") * r["brick_zxdq_ratio"]))
+    brick = brick & _sure(c("zxdq") > c("brick_long"))
     trend = (c("ma60") > _lag("ma60", 5)) & (c("close") > c("ma60") * 0.98) & (c("rci26") > 0) & (c("rci52") > 0)
     near = _sure(F.abs(c("close") - c("ma20")) / c("ma20") < 0.03) | _sure(F.abs(c("close") - c("ma60")) / c("ma60") < 0.04)
     mbdsr = _sure(trend) & _sure((c("prev_rci9") < -80) & (c("rci9") > c("prev_rci9"))) & near & _sure(c("volume") < c("vol20") * 1.2) & _sure(c("obv") > c("obv_low")) & _sure(c("high10") - c("close") < 2 * c("atr14")) & _sure((c("close") > c("open")) & (c("close") > c("prev_close")))
     cross = _sure((_lag("rci9") <= _lag("rci26")) & (c("rci9") > c("rci26")))
     golden = _sure((_lag("dif") <= _lag("dea")) & (c("dif") > c("dea")) & (c("dif") > 0) & (c("dea") > 0))
     up = _sure((c("obv") > c("obv_ma")) & (c("obv_ma") > _lag("obv_ma", 3)))
-    return x.select("symbol", "date", b1.alias("b1"), brick.alias("brick"), mbdsr.alias("mbdsr"), cross.alias("rci_cross"), golden.alias("macd_cross"), up.alias("obv_uptrend"), (cross & golden & up).alias("macd_obv"))
+    x = x.withColumns({"is_b1": b1, "is_brick": brick, "is_mbdsr": mbdsr, "is_cross": cross, "is_golden": golden, "is_up": up})
+    confirmed = _sure(_lag("is_mbdsr")) & _sure(c("close") > _lag("high"))
+    return x.select("symbol", "date", c("is_b1").alias("b1"), c("is_brick").alias("brick"), c("is_mbdsr").alias("mbdsr"), confirmed.alias("mbdsr_confirmed"), c("is_cross").alias("rci_cross"), c("is_golden").alias("macd_cross"), c("is_up").alias("obv_uptrend"), (c("is_cross") & c("is_golden") & c("is_up")).alias("macd_obv"))
 
 
 # ---------------------------------------------------------------- simulation
@@ -112,47 +155,75 @@ def selectors(bars: DataFrame) -> DataFrame:
 LOT, CASH, MOST, BUY, SELL = 10, 1_000_000.0, 5, 0.0003, 0.0013
 
 
-def account(prices: pd.DataFrame, picks: pd.DataFrame, hold: int) -> pd.DataFrame:
+#: Largest daily change by the first digits of a symbol's code; other symbols have DAILY_LIMIT.
+BOARD_LIMITS, DAILY_LIMIT = {"3": 0.2, "68": 0.2, "4": 0.3, "8": 0.3}, 0.1
+
+
+def daily_limit(symbol: str) -> float:
+    return next((v for k, v in BOARD_LIMITS.items() if symbol.startswith(k)), DAILY_LIMIT)
+
+
+def account(prices: pd.DataFrame, picks: pd.DataFrame, hold: int, limit: Callable[[str], float] | None = None, position: float = 1 / MOST) -> pd.DataFrame:
     """Daily equity of one cash account: sells of due positions first, in symbol order, then buys of the day before's picks in
-    rank order, whole lots, each at most an equal share of the equity; no price, no trade."""
-    table = {d: dict(zip(g["symbol"], zip(g["open"], g["close"]))) for d, g in prices.groupby("date", sort=True)}
+    rank order, whole lots, each at most ``position`` of the equity. No price or no volume, no trade; with ``limit`` no buy of
+    what opens at its upper limit against the last close and no sale of what opens at its lower one (to a tenth of a percent).
+    What can't be sold stays due. What is bought today isn't sold today."""
+    prices = prices if "volume" in prices else prices.assign(volume=1.0)
+    table = {d: dict(zip(g["symbol"], zip(g["open"], g["close"], g["volume"]))) for d, g in prices.groupby("date", sort=True)}
     wanted = {d: g.sort_values("pos")["symbol"].tolist() for d, g in picks.groupby("date")}
     dates = sorted(table)
     cash, held, last, rows = CASH, {}, {}, []
+
+    def opens(s: str, now: dict, side: int) -> float | None:
+        if s not in now or now[s][0] != now[s][0] or not now[s][2] > 0:
+            return None
+        moved = now[s][0] / last[s] - 1 if s in last else 0.0
+        return None if limit and side * moved >= limit(s) - 0.001 else now[s][0]
+
     for t, day in enumerate(dates):
         now = table[day]
-        bought = sold = 0
+        bought = sold = blocked = 0
         for s in sorted(held):
-            if t - held[s][1] >= hold and s in now and now[s][0] == now[s][0]:
-                cash += held.pop(s)[0] * now[s][0] * (1 - SELL)
-                sold += 1
+            if t - held[s][1] >= max(hold, 1):
+                if (price := opens(s, now, -1)) is None:
+                    blocked += 1
+                else:
+                    cash += held.pop(s)[0] * price * (1 - SELL)
+                    sold += 1
         for s in wanted.get(dates[t - 1], []) if t else []:
-            if s in held or len(held) >= MOST or s not in now or now[s][0] != now[s][0]:
+            if s in held or len(held) >= MOST:
+                continue
+            if (price := opens(s, now, 1)) is None:
+                blocked += 1
                 continue
             equity = cash + sum(n * last.get(k, now.get(k, (0, 0))[0]) for k, (n, _) in held.items())
-            price = now[s][0] * (1 + BUY)
-            lots = int(min(cash, equity / MOST) / price / LOT)
+            price *= 1 + BUY
+            lots = int(min(cash, equity * position) / price / LOT)
             if lots > 0:
                 held[s] = (lots * LOT, t)
                 cash -= lots * LOT * price
                 bought += 1
-        last.update({s: c for s, (_, c) in now.items() if c == c})
-        rows.append((day, hold, cash, cash + sum(n * last[s] for s, (n, _) in held.items()), len(held), bought, sold))
-    return pd.DataFrame(rows, columns=["date", "hold", "cash", "equity", "positions", "bought", "sold"])
-
-
-def simulate(bars: DataFrame, picks: DataFrame, holds: tuple[int, ...] = (1, 4, 13)) -> DataFrame:
-    """Equity curves of each holding period. ``picks``: date, symbol, pos."""
-    spark = bars.sparkSession
-    scenario = spark.createDataFrame([(h,) for h in holds], "hold int")
+        last.update({s: c for s, (_, c, _) in now.items() if c == c})
+        rows.append((day, hold, cash, cash + sum(n * last[s] for s, (n, _) in held.items()), len(held), bought, sold, blocked))
+    return pd.DataFrame(rows, columns=["date", "hold", "cash", "equity", "positions", "bought", "sold", "blocked"])
+
+
+def simulate(bars: DataFrame, picks: DataFrame, holds: tuple[int, ...] = (1, 4, 13), limits: bool = True) -> DataFrame:
+    """Equity curves of each holding period. ``picks``: date, symbol, pos. Only the bars of symbols that are ever picked are read,
+    and the dates of all."""
+    picked = bars.join(picks.select("symbol").distinct(), "symbol", "left_semi")
+    null = lambda kind: F.lit(None).cast(kind)
+    rows = picked.select("date", "symbol", "open", "close", F.col("volume").cast("double").alias("volume"), null("int").alias("pos"))
+    days = bars.select("date").distinct().select("date", F.lit("").alias("symbol"), null("double").alias("open"), null("double").alias("close"), null("double").alias("volume"), null("int").alias("pos"))
+    wanted = picks.select("date", "symbol", null("double").alias("open"), null("double").alias("close"), null("double").alias("volume"), F.col("pos").cast("int").alias("pos"))
     # a scenario needs every price: bars are dealt out once for each of the few scenarios
-    rows = bars.select("date", "symbol", "open", "close", F.lit(None).cast("int").alias("pos")).unionByName(picks.select("date", "symbol", F.lit(None).cast("double").alias("open"), F.lit(None).cast("double").alias("close"), F.col("pos").cast("int").alias("pos")))
-    every = rows.withColumn("hold", F.explode(F.array(*(F.lit(h) for h in holds))))
+    every = rows.unionByName(days).unionByName(wanted).withColumn("hold", F.explode(F.array(*(F.lit(h) for h in holds))))
+    limit = daily_limit if limits else None
 
     def run(p: pd.DataFrame) -> pd.DataFrame:
-        return account(p[p["pos"].isna()], p[p["pos"].notna()], int(p["hold"].iloc[0]))
+        return account(p[p["pos"].isna()], p[p["pos"].notna()], int(p["hold"].iloc[0]), limit)
 
-    return every.join(F.broadcast(scenario), "hold").groupBy("hold").applyInPandas(run, "date date, hold int, cash double, equity double, positions int, bought int, sold int")
+    return every.groupBy("hold").applyInPandas(run, "date date, hold int, cash double, equity double, positions int, bought int, sold int, blocked int")
 
 
 def cohorts(bars: DataFrame, picks: DataFrame, hold: int = 4) -> DataFrame:
@@ -229,9 +300,9 @@ def _volume_picks(bars: DataFrame) -> DataFrame:
 
 
 _EMA = "list_reduce(list(close) OVER w, lambda a, v: a * (1 - {alpha}) + {alpha} * v)"
-_KDJ_SQL = f"""WITH b AS ({BARS_SQL}), r AS (SELECT symbol, date, (close - min(low) OVER (PARTITION BY symbol ORDER BY date ROWS BETWEEN 8 PRECEDING AND CURRENT ROW)) / (max(high) OVER (PARTITION BY symbol ORDER BY date ROWS BETWEEN 8 PRECEDING AND CURRENT ROW) - min(low) OVER (PARTITION BY symbol ORDER BY date ROWS BETWEEN 8 PRECEDING AND CURRENT ROW) + 1e-9::DOUBLE) * 100 AS rsv FROM b),
-k AS (SELECT symbol, date, list_reduce(list_prepend(50.0::DOUBLE, list(rsv) OVER w), lambda a, v: a * 2 / 3 + v / 3) AS k FROM r WINDOW w AS (PARTITION BY symbol ORDER BY date ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)),
-d AS (SELECT symbol, date, k, list_reduce(list_prepend(50.0::DOUBLE, list(k) OVER w), lambda a, v: a * 2 / 3 + v / 3) AS d FROM k WINDOW w AS (PARTITION BY symbol ORDER BY date ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)) SELECT symbol, date, k, d, 3 * k - 2 * d AS j FROM d"""
+_KDJ_SQL = f"""WITH b AS ({BARS_SQL}), r AS (SELECT symbol, date, (close - min(low) OVER (PARTITION BY symbol ORDER BY date ROWS BETWEEN 8 PRECEDING AND CURRENT ROW)) / (max(high) OVER (PARTITION BY symbol ORDER BY date ROWS BETWEEN 8 PRECEDING AND CURRENT ROW) - min(low) OVER (PARTITION BY symbol ORDER BY date ROWS BETWEEN 8 PRECEDING AND CURRENT ROW) + 1e-9::DOUBLE) * 100 AS raw, row_number() OVER (PARTITION BY symbol ORDER BY date) AS i FROM b),
+k AS (SELECT symbol, date, list_reduce(list(CASE WHEN i = 1 THEN 50.0::DOUBLE ELSE raw END) OVER w, lambda a, v: a * 2 / 3 + v / 3) AS k FROM r WINDOW w AS (PARTITION BY symbol ORDER BY date ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)),
+d AS (SELECT symbol, date, k, list_reduce(list(k) OVER w, lambda a, v: a * 2 / 3 + v / 3) AS d FROM k WINDOW w AS (PARTITION BY symbol ORDER BY date ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)) SELECT symbol, date, k, d, 3 * k - 2 * d AS j FROM d"""
 _MACD_SQL = f"""WITH b AS ({BARS_SQL}), e AS (SELECT symbol, date, row_number() OVER (PARTITION BY symbol ORDER BY date) AS i, {_EMA.format(alpha='2.0::DOUBLE / 13')} - {_EMA.format(alpha='2.0::DOUBLE / 27')} AS raw FROM b WINDOW w AS (PARTITION BY symbol ORDER BY date ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)),
 f AS (SELECT symbol, date, i, CASE WHEN i >= 26 THEN raw END AS dif FROM e),
 g AS (SELECT symbol, date, dif, CASE WHEN i >= 34 THEN list_reduce(list(dif) FILTER (WHERE dif IS NOT NULL) OVER (PARTITION BY symbol ORDER BY date ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW), lambda a, v: a * 0.8::DOUBLE + v * 0.2::DOUBLE) END AS dea FROM f)
@@ -248,14 +319,26 @@ t AS (SELECT date, (row_number() OVER (ORDER BY date) - 1) % 4 AS sleeve FROM (S
 c AS (SELECT t.sleeve, p.date, count(1) AS n, avg(exit * (1 - 0.0013::DOUBLE) / (entry * (1 + 0.0003::DOUBLE)) - 1) AS cohort_return FROM p JOIN t ON p.date = t.date WHERE pos <= 3 AND entry IS NOT NULL AND exit IS NOT NULL GROUP BY t.sleeve, p.date)
 SELECT CAST(sleeve AS INT) AS sleeve, date, n, cohort_return, 250000 * exp(sum(ln(1 + cohort_return)) OVER (PARTITION BY sleeve ORDER BY date ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)) AS sleeve_equity FROM c"""
 
+_GREEN_SQL = f"""SELECT symbol, date, (SELECT count(*) FROM unnest(list_reverse(past)) WITH ORDINALITY u(b, k) WHERE k <= coalesce(list_position(list_transform(list_reverse(past), lambda x: x >= 0), true), len(past) + 1) - 1) AS run
+FROM (SELECT symbol, date, coalesce(list(brick) OVER (PARTITION BY symbol ORDER BY date ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), []) AS past FROM ({_BRICK_SQL}) x) y"""
+_WEEKLY_SQL = f"""WITH b AS ({BARS_SQL}), w AS (SELECT symbol, isoyear(date) * 100 + weekofyear(date) AS wk, max(date) AS d, arg_max(close, date) AS c FROM b GROUP BY symbol, isoyear(date) * 100 + weekofyear(date)),
+m AS (SELECT symbol, d, list(c) OVER (PARTITION BY symbol ORDER BY d) AS past FROM w),
+f AS (SELECT symbol, d, coalesce(len(past) >= 16 AND list_avg(past[-4:]) > list_avg(past[-8:]) AND list_avg(past[-8:]) > list_avg(past[-16:]), false) AS flag FROM m)
+SELECT b.symbol, b.date, coalesce(f.flag, false) AS bull FROM b ASOF LEFT JOIN f ON b.symbol = f.symbol AND b.date >= f.d"""
+_ZX_SQL = f"""WITH h AS (SELECT symbol, date, list(close) OVER (PARTITION BY symbol ORDER BY date) AS past FROM ({BARS_SQL}) b)
+SELECT symbol, date, CASE WHEN len(past) >= 114 THEN (list_avg(past[-14:]) + list_avg(past[-28:]) + list_avg(past[-57:]) + list_avg(past[-114:])) / 4 END AS zx_long FROM h"""
+
 #: name: (plan, key columns, value columns, SQL or none)
 QUERIES: dict[str, tuple[Callable[[SparkSession, str], DataFrame], str, str, str | None]] = {
     "indicator_kdj": (lambda s, d: indicators(weekly_bars(s, d)), "symbol date", "k d j", _KDJ_SQL),
     "indicator_macd": (lambda s, d: indicators(weekly_bars(s, d)), "symbol date", "dif dea hist", _MACD_SQL),
     "indicator_brick": (lambda s, d: indicators(weekly_bars(s, d)), "symbol date", "brick brick_level", _BRICK_SQL),
+    "indicator_green_run": (lambda s, d: green_runs(indicators(weekly_bars(s, d))), "symbol date run", "", _GREEN_SQL),
+    "indicator_weekly_bull": (lambda s, d: weekly_bull(weekly_bars(s, d), (4, 8, 16)), "symbol date bull", "", _WEEKLY_SQL),
+    "indicator_zx_long": (lambda s, d: weekly_bars(s, d).select("symbol", "date", zx_long().alias("zx_long")), "symbol date", "zx_long", _ZX_SQL),
     "indicator_rci_zx": (lambda s, d: indicators(weekly_bars(s, d)), "symbol date", "rci9 rci26 zxdq", None),
-    "selectors": (lambda s, d: selectors(weekly_bars(s, d)), "symbol date b1 brick mbdsr rci_cross macd_cross obv_uptrend macd_obv", "", None),
-    "portfolio_realistic": (lambda s, d: simulate(weekly_bars(s, d), _volume_picks(weekly_bars(s, d))), "date hold positions bought sold", "cash equity", None),
+    "selectors": (lambda s, d: selectors(weekly_bars(s, d)), "symbol date b1 brick mbdsr mbdsr_confirmed rci_cross macd_cross obv_uptrend macd_obv", "", None),
+    "portfolio_realistic": (lambda s, d: simulate(weekly_bars(s, d), _volume_picks(weekly_bars(s, d))), "date hold positions bought sold blocked", "cash equity", None),
     "portfolio_cohorts": (lambda s, d: cohorts(weekly_bars(s, d), _volume_picks(weekly_bars(s, d))), "sleeve date n", "cohort_return sleeve_equity", _COHORT_SQL),
     "ml_walk_forward_ridge": (lambda s, d: walk_forward_ridge(research_panel(s, d)), "symbol date", "y score", None),
     "ml_ridge_metrics": (lambda s, d: ridge_metrics(walk_forward_ridge(research_panel(s, d))), "yr n", "mse mae pearson", None),

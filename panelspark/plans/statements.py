@@ -100,8 +100,9 @@ WITH {EVAL}, m AS (SELECT avg(factor) AS mu, SD(factor) AS sd FROM ok)
 SELECT count(1) AS n, avg(factor) AS mean, SD(factor) AS std, PCT(factor, 0.01) AS p01, PCT(factor, 0.05) AS p05, PCT(factor, 0.25) AS p25, PCT(factor, 0.5) AS p50, PCT(factor, 0.75) AS p75, PCT(factor, 0.95) AS p95, PCT(factor, 0.99) AS p99,
 CAST(sum(CASE WHEN abs(factor - (SELECT mu FROM m)) > 5 * (SELECT sd FROM m) THEN 1 ELSE 0 END) AS DOUBLE) AS outliers FROM ok""")
 _add("style_factor_returns", "date", "mkt_return smb hml", f"""
-WITH x AS (SELECT symbol, date, returns, lag(cap) OVER ({SYM}) AS mc, lag(vwap / nullif(close, 0)) OVER ({SYM}) AS bm FROM {{panel}}),
-y AS (SELECT * FROM x WHERE returns IS NOT NULL AND mc IS NOT NULL AND bm IS NOT NULL),
+WITH x AS (SELECT symbol, date, returns, MAXBY(cap, CASE WHEN cap IS NOT NULL THEN date END) OVER ({SYM} ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS mc,
+MAXBY(bm0, CASE WHEN bm0 IS NOT NULL THEN date END) OVER ({SYM} ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS bm FROM (SELECT *, vwap / nullif(close, 0) AS bm0 FROM {{panel}}) z),
+y AS (SELECT * FROM x WHERE returns IS NOT NULL AND mc > 0 AND bm > 0),
 c AS (SELECT date, PCT(mc, 0.5) AS mid, PCT(bm, 0.3) AS lo, PCT(bm, 0.7) AS hi FROM y GROUP BY date),
 s AS (SELECT y.*, CASE WHEN mc <= mid THEN 'S' ELSE 'B' END AS sz, CASE WHEN bm <= lo THEN 'L' WHEN bm > hi THEN 'H' ELSE 'M' END AS v FROM y JOIN c ON y.date = c.date),
 p AS (SELECT date, sz, v, sum(returns * mc) / sum(mc) AS r FROM s GROUP BY date, sz, v),
@@ -114,7 +115,7 @@ SELECT symbol, -min(dd) AS max_drawdown, CASE WHEN max(returns) > min(returns) T
 # ---- evaluation
 _add("eval_ic", "date n", "ic rank_ic", f"WITH {EVAL} SELECT date, count(1) AS n, {correlation('factor', 'fwd1')} AS ic, {correlation('fr', 'rr')} AS rank_ic FROM rk GROUP BY date HAVING count(1) >= 5")
 _add("eval_ic_summary", "days", "ic_mean ic_std icir win_rate", f"""WITH {EVAL}, d AS (SELECT date, {correlation('fr', 'rr')} AS ic FROM rk GROUP BY date HAVING count(1) >= 5)
-SELECT count(ic) AS days, avg(ic) AS ic_mean, SD(ic) AS ic_std, avg(ic) / nullif(SD(ic), 0) AS icir, avg(CASE WHEN ic > 0 THEN CAST(1 AS DOUBLE) WHEN ic IS NOT NULL THEN CAST(0 AS DOUBLE) END) AS win_rate FROM d""")
+SELECT count(ic) AS days, avg(ic) AS ic_mean, SD(ic) AS ic_std, avg(ic) / nullif(SD(ic), 0) AS icir, avg(CASE WHEN round(ic, 12) > 0 THEN CAST(1 AS DOUBLE) WHEN ic IS NOT NULL THEN CAST(0 AS DOUBLE) END) AS win_rate FROM d""")
 _add("eval_ic_annual", "yr days", "ic_mean", f"WITH {EVAL}, d AS (SELECT date, {correlation('fr', 'rr')} AS ic FROM rk GROUP BY date) SELECT CAST(year(date) AS INT) AS yr, count(ic) AS days, avg(ic) AS ic_mean FROM d GROUP BY year(date)")
 _add("eval_industry_ic", "industry n", "ic_mean", f"WITH {EVAL}, d AS (SELECT date, industry, {correlation('factor', 'fwd1')} AS ic FROM ok GROUP BY date, industry HAVING count(1) >= 3) SELECT industry, count(ic) AS n, avg(ic) AS ic_mean FROM d GROUP BY industry")
 _add("eval_cap_bucket_ic", "bucket n", "ic_mean", f"""WITH {EVAL}, b AS (SELECT *, row_number() OVER (PARTITION BY date ORDER BY cap, symbol) AS cn, count(1) OVER (PARTITION BY date) AS cc FROM ok),
@@ -128,10 +129,16 @@ _add("eval_monotonic", "grp", "mean_return", f"WITH {EVAL}, d AS (SELECT date, g
 _add("eval_long_short_nav", "date", "spread nav", f"""WITH {EVAL}, d AS (SELECT date, avg(CASE WHEN grp = 5 THEN fwd1 END) - avg(CASE WHEN grp = 1 THEN fwd1 END) AS spread FROM gr GROUP BY date)
 SELECT date, spread, exp(sum(CASE WHEN spread > -1 THEN ln(1 + spread) ELSE CAST(0 AS DOUBLE) END) OVER (ORDER BY date ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)) AS nav FROM d""")
 _add("eval_top_n_returns", "top_n date n", "mean_return", f"WITH {EVAL}, t AS (SELECT *, row_number() OVER (PARTITION BY date ORDER BY factor DESC, symbol) AS top FROM ok), k AS (SELECT 1 AS top_n UNION ALL SELECT 5 UNION ALL SELECT 10) SELECT k.top_n, t.date, count(1) AS n, avg(fwd1) AS mean_return FROM t JOIN k ON t.top <= k.top_n GROUP BY k.top_n, t.date")
-_add("eval_turnover", "date n", "turnover", f"""WITH {EVAL}, d AS (SELECT date, lead(date) OVER (ORDER BY date) AS nxt FROM (SELECT DISTINCT date FROM gr) z), t AS (SELECT date, symbol FROM gr WHERE grp = 5),
-j AS (SELECT d.nxt AS date, t.symbol FROM t JOIN d ON t.date = d.date WHERE d.nxt IS NOT NULL)
-SELECT t.date, count(1) AS n, 1 - count(j.symbol) / CAST(count(1) AS DOUBLE) AS turnover FROM t LEFT JOIN j ON t.date = j.date AND t.symbol = j.symbol GROUP BY t.date""")
-_add("eval_rank_autocorr", "date", "autocorr", f"WITH {EVAL}, d AS (SELECT date, lead(date) OVER (ORDER BY date) AS nxt FROM (SELECT DISTINCT date FROM rk) z), j AS (SELECT b.date, a.fr AS x, b.fr AS y FROM rk a JOIN d ON a.date = d.date JOIN rk b ON b.date = d.nxt AND a.symbol = b.symbol) SELECT date, {correlation('x', 'y')} AS autocorr FROM j GROUP BY date")
+_add("eval_turnover", "date n", "turnover", f"""WITH {EVAL}, v AS (SELECT * FROM gr WHERE cnt >= 5), d AS (SELECT date, lead(date) OVER (ORDER BY date) AS nxt FROM (SELECT DISTINCT date FROM v) z), t AS (SELECT date, symbol FROM v WHERE grp = 5),
+p AS (SELECT d.nxt AS date, t.symbol FROM t JOIN d ON t.date = d.date WHERE d.nxt IS NOT NULL), c AS (SELECT date, count(1) AS n FROM t GROUP BY date),
+k AS (SELECT p.date, count(t.symbol) / CAST(count(1) AS DOUBLE) AS kept FROM p LEFT JOIN t ON t.date = p.date AND t.symbol = p.symbol GROUP BY p.date)
+SELECT c.date, c.n, 1 - k.kept AS turnover FROM c LEFT JOIN k ON c.date = k.date""")
+_add("eval_rank_autocorr", "date n", "autocorr", f"""WITH {EVAL}, v AS (SELECT * FROM gr WHERE cnt >= 5), d AS (SELECT date, lead(date) OVER (ORDER BY date) AS nxt FROM (SELECT DISTINCT date FROM v) z),
+j AS (SELECT b.date, a.fr AS x, b.fr AS y, a.grp = 5 AND b.grp = 5 AS together FROM v a JOIN d ON a.date = d.date JOIN v b ON b.date = d.nxt AND a.symbol = b.symbol),
+r AS (SELECT *, {avg_rank('x', 'date')} AS xr, {avg_rank('y', 'date')} AS yr FROM j),
+tops AS (SELECT d.nxt AS date, sum(CASE WHEN v.grp = 5 THEN 1 ELSE 0 END) AS before FROM v JOIN d ON v.date = d.date GROUP BY d.nxt), now AS (SELECT date, sum(CASE WHEN grp = 5 THEN 1 ELSE 0 END) AS here FROM v GROUP BY date),
+c AS (SELECT date, count(1) AS n, {correlation('xr', 'yr')} AS rho, sum(CASE WHEN together THEN 1 ELSE 0 END) AS common FROM r GROUP BY date)
+SELECT c.date, c.n, CASE WHEN c.n >= 5 AND rho IS NOT NULL THEN rho ELSE common / CAST(before + here - common AS DOUBLE) END AS autocorr FROM c JOIN tops ON c.date = tops.date JOIN now ON c.date = now.date""")
 _add("eval_exposure", "date industry", "weight", f"WITH {EVAL}, t AS (SELECT date, industry, count(1) AS k FROM gr WHERE grp = 5 GROUP BY date, industry) SELECT date, industry, k / CAST(sum(k) OVER (PARTITION BY date) AS DOUBLE) AS weight FROM t")
 _add("eval_horizons", "horizon n", "ic_mean", f"""WITH {EVAL}, u AS (SELECT date, factor, fwd1 AS r, 1 AS horizon FROM ev UNION ALL SELECT date, factor, fwd4, 4 FROM ev), d AS (SELECT horizon, date, {correlation('factor', 'r')} AS ic FROM u WHERE factor IS NOT NULL AND r IS NOT NULL GROUP BY horizon, date) SELECT horizon, count(ic) AS n, avg(ic) AS ic_mean FROM d GROUP BY horizon""")
 _add("eval_samples", "sample days", "ic_mean", f"WITH {EVAL}, d AS (SELECT date, {correlation('fr', 'rr')} AS ic FROM rk GROUP BY date) SELECT CASE WHEN date < CAST('1999-01-01' AS DATE) THEN 'in_sample' ELSE 'out_of_sample' END AS sample, count(ic) AS days, avg(ic) AS ic_mean FROM d GROUP BY CASE WHEN date < CAST('1999-01-01' AS DATE) THEN 'in_sample' ELSE 'out_of_sample' END")
@@ -160,7 +167,6 @@ SELECT date, n, basket_return, 100000 * exp(sum(ln(1 + basket_return)) OVER (ORD
 _add("indicator_obv_atr", "symbol date", "obv atr", f"""WITH p AS (SELECT *, lag(close) OVER ({SYM}) AS pc FROM {{bars}}), t AS (SELECT symbol, date, CASE WHEN pc IS NULL THEN CAST(0 AS DOUBLE) ELSE sign(close - pc) * volume END AS step, CASE WHEN pc IS NULL THEN high - low ELSE greatest(high - low, abs(high - pc), abs(low - pc)) END AS tr FROM p)
 SELECT symbol, date, sum(step) OVER ({SYM} ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS obv, CASE WHEN count(tr) OVER ({SYM} ROWS BETWEEN 13 PRECEDING AND CURRENT ROW) = 14 THEN avg(tr) OVER ({SYM} ROWS BETWEEN 13 PRECEDING AND CURRENT ROW) END AS atr FROM t""")
 _add("indicator_max_volume_day", "symbol date not_bearish", "", f"SELECT symbol, date, MAXBY(close >= open, ENTRY(volume, -i)) OVER ({SYM} ROWS BETWEEN 19 PRECEDING AND CURRENT ROW) AS not_bearish FROM (SELECT *, row_number() OVER ({SYM}) AS i FROM {{bars}}) z")
-_add("indicator_green_run", "symbol date run", "", f"""WITH s AS (SELECT symbol, date, close < open AS green, row_number() OVER ({SYM}) AS i FROM {{bars}}), g AS (SELECT *, max(CASE WHEN NOT green THEN i ELSE 0 END) OVER ({SYM} ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS last_red FROM s) SELECT symbol, date, CAST(i - 1 - coalesce(last_red, 0) AS BIGINT) AS run FROM g""")
 _add("indicator_crossover", "symbol date crossed", "fast slow", f"""WITH m AS (SELECT symbol, date, avg(close) OVER ({SYM} ROWS BETWEEN 4 PRECEDING AND CURRENT ROW) AS fast, avg(close) OVER ({SYM} ROWS BETWEEN 19 PRECEDING AND CURRENT ROW) AS slow FROM {{bars}}), l AS (SELECT *, lag(fast) OVER ({SYM}) AS pf, lag(slow) OVER ({SYM}) AS ps FROM m) SELECT symbol, date, coalesce(pf <= ps AND fast > slow, false) AS crossed, fast, slow FROM l""")
 _add("indicator_monthly_ma_bull", "symbol date bull", "", f"""WITH w AS (SELECT symbol, CAST(date_trunc('month', date) AS DATE) AS m, MAXBY(close, date) AS c, max(date) AS last_day FROM {{bars}} GROUP BY symbol, CAST(date_trunc('month', date) AS DATE)),
 x AS (SELECT symbol, last_day, CASE WHEN count(c) OVER w3 = 12 THEN avg(c) OVER w1 > avg(c) OVER w2 AND avg(c) OVER w2 > avg(c) OVER w3 END AS flag FROM w WINDOW w1 AS (PARTITION BY symbol ORDER BY m ROWS BETWEEN 2 PRECEDING AND CURRENT ROW), w2 AS (PARTITION BY symbol ORDER BY m ROWS BETWEEN 5 PRECEDING AND CURRENT ROW), w3 AS (PARTITION BY symbol ORDER BY m ROWS BETWEEN 11 PRECEDING AND CURRENT ROW)),
@@ -171,7 +177,7 @@ _add("external_wide_to_long", "symbol date factor", "factor_value", "SELECT symb
 _add("external_long_to_wide", "symbol date", "f_volume f_vwap", "WITH l AS (SELECT symbol, date, 'f_volume' AS factor, volume AS v FROM {bars} UNION ALL SELECT symbol, date, 'f_vwap', vwap FROM {bars}) SELECT symbol, date, max(CASE WHEN factor = 'f_volume' THEN v END) AS f_volume, max(CASE WHEN factor = 'f_vwap' THEN v END) AS f_vwap FROM l GROUP BY symbol, date")
 _add("join_symbol_alias", "symbol date", "close", "WITH a AS (SELECT '000011' AS old_symbol, '900011' AS new_symbol, CAST('1997-01-01' AS DATE) AS since, CAST('1999-01-01' AS DATE) AS until) SELECT coalesce(a.new_symbol, b.symbol) AS symbol, b.date, b.close FROM {bars} b LEFT JOIN a ON b.symbol = a.old_symbol AND b.date >= a.since AND b.date < a.until")
 _add("join_expected_universe", "symbol date is_suspended", "", "WITH u AS (SELECT s.symbol, d.date FROM (SELECT DISTINCT symbol FROM {bars}) s CROSS JOIN (SELECT DISTINCT date FROM {bars}) d) SELECT u.symbol, u.date, b.close IS NULL AS is_suspended FROM u LEFT JOIN {bars} b ON u.symbol = b.symbol AND u.date = b.date")
-_add("aggregate_reasons", "date reasons", "", "WITH r AS (SELECT DISTINCT date, CASE WHEN volume < 100 THEN 'thin' WHEN close < open THEN 'down' ELSE 'up' END AS reason FROM {bars}) SELECT date, concat(CASE WHEN max(CASE WHEN reason = 'down' THEN 1 ELSE 0 END) = 1 THEN 'down;' ELSE '' END, CASE WHEN max(CASE WHEN reason = 'thin' THEN 1 ELSE 0 END) = 1 THEN 'thin;' ELSE '' END, CASE WHEN max(CASE WHEN reason = 'up' THEN 1 ELSE 0 END) = 1 THEN 'up;' ELSE '' END) AS reasons FROM r GROUP BY date")
+_add("aggregate_reasons", "date reasons", "", "WITH r AS (SELECT date, CASE WHEN volume < 100 THEN 'thin' WHEN close < open THEN 'down' ELSE 'up' END AS reason FROM {bars}) SELECT date, concat_ws(';', sort_array(collect_set(reason))) AS reasons FROM r GROUP BY date")
 _add("universe_by_year", "yr n_rows n_symbols", "", "SELECT CAST(year(date) AS INT) AS yr, count(1) AS n_rows, count(DISTINCT symbol) AS n_symbols FROM {bars} GROUP BY year(date)")
 _add("warmup_slice", "symbol date", "close", f"WITH i AS (SELECT symbol, date, close, row_number() OVER ({SYM}) AS k FROM {{bars}}), s AS (SELECT symbol, min(k) AS first_k FROM i WHERE date >= CAST('1998-01-01' AS DATE) GROUP BY symbol) SELECT i.symbol, i.date, i.close FROM i JOIN s ON i.symbol = s.symbol WHERE i.k >= s.first_k - 20")
 _add("eval_regime_ic", "regime days", "ic_mean", f"""WITH {EVAL}, m AS (SELECT date, avg(returns) AS r FROM raw GROUP BY date), t AS (SELECT date, exp(sum(ln(1 + coalesce(r, 0))) OVER (ORDER BY date ROWS BETWEEN 11 PRECEDING AND CURRENT ROW)) - 1 AS w FROM m),
@@ -179,11 +185,34 @@ g AS (SELECT date, lag(w) OVER (ORDER BY date) AS w FROM t), h AS (SELECT date,
 SELECT regime, count(ic) AS days, avg(ic) AS ic_mean FROM d JOIN h ON d.date = h.date GROUP BY regime""")
 _add("eval_filter_status", "date n_total n_new n_thin n_eligible", "", f"WITH {EVAL} SELECT date, count(1) AS n_total, sum(CASE WHEN age < 20 THEN 1 ELSE 0 END) AS n_new, sum(CASE WHEN coalesce(liquidity, 0) < 10000 THEN 1 ELSE 0 END) AS n_thin, sum(CASE WHEN age >= 20 AND liquidity >= 10000 AND factor IS NOT NULL THEN 1 ELSE 0 END) AS n_eligible FROM ev GROUP BY date")
 _add("eval_annual_long_only", "yr n", "year_return", f"WITH {EVAL}, d AS (SELECT date, avg(CASE WHEN grp = 5 THEN fwd1 END) AS r FROM gr GROUP BY date) SELECT CAST(year(date) AS INT) AS yr, count(r) AS n, exp(sum(CASE WHEN r > -1 THEN ln(1 + r) ELSE CAST(0 AS DOUBLE) END)) - 1 AS year_return FROM d GROUP BY year(date)")
-_add("eval_tradable_top_n", "date n_wanted n_entered", "net_return", f"""WITH {EVAL}, t AS (SELECT *, row_number() OVER (PARTITION BY date ORDER BY factor DESC, symbol) AS top, lead(open, 1) OVER ({SYM}) AS entry, lead(close, 1) OVER ({SYM}) AS first_close, lead(open, 2) OVER ({SYM}) AS exit FROM ok)
-SELECT date, count(1) AS n_wanted, count(CASE WHEN entry < first_close * 1.5 AND exit IS NOT NULL THEN 1 END) AS n_entered, avg(CASE WHEN entry < first_close * 1.5 THEN exit * (1 - 0.0013) / (entry * (1 + 0.0003)) - 1 END) AS net_return FROM t WHERE top <= 5 GROUP BY date""")
+_add("eval_tradable_top_n", "date n_wanted n_entered n_closed", "net_return", f"""WITH {EVAL}, n AS (SELECT symbol, date, close, lead(open, 1) OVER ({SYM}) AS entry, lead(volume, 1) OVER ({SYM}) AS v1, lead(close, 1) OVER ({SYM}) AS c1, lead(open, 2) OVER ({SYM}) AS exit, lead(volume, 2) OVER ({SYM}) AS v2, CASE WHEN substr(symbol, 6, 1) = '3' THEN 0.2 WHEN substr(symbol, 6, 1) = '4' THEN 0.3 ELSE 0.1 END AS lim FROM raw),
+m AS (SELECT symbol, date, entry, exit, coalesce(v1 > 0 AND entry > 0 AND entry / close - 1 < lim - 0.001, false) AS can_buy, coalesce(v2 > 0 AND exit > 0 AND exit / c1 - 1 > -lim + 0.001, false) AS can_sell FROM n),
+t AS (SELECT *, row_number() OVER (PARTITION BY date ORDER BY factor DESC, symbol) AS top FROM ok), w AS (SELECT t.date, m.can_buy, m.can_sell, m.entry, m.exit FROM t JOIN m ON t.symbol = m.symbol AND t.date = m.date WHERE top <= 5)
+SELECT date, count(1) AS n_wanted, sum(CASE WHEN can_buy THEN 1 ELSE 0 END) AS n_entered, sum(CASE WHEN can_buy AND can_sell THEN 1 ELSE 0 END) AS n_closed, avg(CASE WHEN can_buy AND can_sell THEN exit * (1 - 0.0013) / (entry * (1 + 0.0003)) - 1 END) AS net_return FROM w GROUP BY date""")
 _add("eval_summary", "section metric", "value", f"""WITH {EVAL}, d AS (SELECT date, {correlation('fr', 'rr')} AS ic FROM rk GROUP BY date), g AS (SELECT date, avg(CASE WHEN grp = 5 THEN fwd1 END) - avg(CASE WHEN grp = 1 THEN fwd1 END) AS spread FROM gr GROUP BY date)
 SELECT 'ic' AS section, 'mean' AS metric, avg(ic) AS value FROM d UNION ALL SELECT 'ic', 'icir', avg(ic) / nullif(SD(ic), 0) FROM d UNION ALL SELECT 'long_short', 'mean', avg(spread) FROM g UNION ALL SELECT 'coverage', 'mean', avg(CASE WHEN factor IS NOT NULL THEN CAST(1 AS DOUBLE) ELSE CAST(0 AS DOUBLE) END) FROM ev""")
 _add("signals_to_picks", "date symbol pos", "score", f"WITH s AS (SELECT date, symbol, volume AS score, CASE WHEN close > open THEN 'buy' ELSE 'hold' END AS signal_type FROM {{bars}}), r AS (SELECT date, symbol, score, row_number() OVER (PARTITION BY date ORDER BY score DESC, symbol) AS pos FROM s WHERE signal_type = 'buy') SELECT date, symbol, pos, score FROM r WHERE pos <= 4")
 _add("set_operations", "symbol", "", "SELECT symbol FROM {bars} WHERE volume > 400 INTERSECT SELECT symbol FROM {bars} WHERE close > open EXCEPT SELECT symbol FROM {bars} WHERE substr(symbol, 6, 1) = '5'")
 _add("benchmark_compare", "date", "portfolio_return benchmark_return excess", "WITH b AS (SELECT date, sum(close * amount) / sum(amount) AS level FROM {bars} GROUP BY date), r AS (SELECT date, level / lag(level) OVER (ORDER BY date) - 1 AS benchmark_return FROM b), p AS (SELECT date, avg(returns) AS portfolio_return FROM {panel} GROUP BY date) SELECT p.date, portfolio_return, benchmark_return, portfolio_return - benchmark_return AS excess FROM p JOIN r ON p.date = r.date")
 _add("grouping_sets_volume", "symbol yr n", "volume", "SELECT coalesce(symbol, 'all') AS symbol, coalesce(CAST(y AS INT), 0) AS yr, count(1) AS n, sum(volume) AS volume FROM (SELECT symbol, year(date) AS y, volume FROM {bars}) z GROUP BY GROUPING SETS ((symbol), (y), ())")
+
+#: SQL written apart from the plan, for statements whose own text would only check the engine.
+CHECKS: dict[str, str] = {
+    "aggregate_reasons": "SELECT date, string_agg(DISTINCT reason, ';' ORDER BY reason) AS reasons FROM (SELECT date, if(volume < 100, 'thin', if(close < open, 'down', 'up')) AS reason FROM {bars}) r GROUP BY date",
+    "eval_turnover": f"WITH {EVAL}, t AS (SELECT date, list(symbol) FILTER (WHERE grp = 5) AS top FROM gr GROUP BY date HAVING count(*) >= 5), p AS (SELECT date, top, lag(top) OVER (ORDER BY date) AS prev FROM t) SELECT date, len(top) AS n, 1 - len(list_intersect(top, prev)) / len(prev)::DOUBLE AS turnover FROM p",
+    "style_factor_returns": """WITH z AS (SELECT symbol, date, returns, lag(cap IGNORE NULLS) OVER w AS mc, lag(vwap / nullif(close, 0) IGNORE NULLS) OVER w AS bm FROM {panel} WINDOW w AS (PARTITION BY symbol ORDER BY date)),
+y AS (SELECT *, quantile_cont(mc, 0.5) OVER d AS mid, quantile_cont(bm, 0.3) OVER d AS lo, quantile_cont(bm, 0.7) OVER d AS hi FROM z WHERE returns IS NOT NULL AND mc > 0 AND bm > 0 WINDOW d AS (PARTITION BY date)),
+p AS (SELECT date, mc > mid AS big, (bm > lo)::INT + (bm > hi)::INT AS value, sum(returns * mc) / sum(mc) AS r, sum(returns * mc) AS num, sum(mc) AS den FROM y GROUP BY ALL)
+SELECT date, sum(num) / sum(den) AS mkt_return, avg(r) FILTER (NOT big) - avg(r) FILTER (big) AS smb, avg(r) FILTER (value = 2) - avg(r) FILTER (value = 0) AS hml FROM p GROUP BY date""",
+    "market_regime": """WITH d AS (SELECT row_number() OVER (ORDER BY date) AS t, date, avg(returns) AS r FROM {panel} GROUP BY date),
+w AS (SELECT a.t, count(b.r) AS n, exp(sum(ln(1 + coalesce(b.r, 0)))) - 1 AS c FROM d a JOIN d b ON b.t BETWEEN a.t - 11 AND a.t GROUP BY a.t),
+l AS (SELECT d.date, CASE WHEN w.n >= 4 THEN w.c END AS trailing_return FROM d LEFT JOIN w ON w.t = d.t - 1)
+SELECT date, if(trailing_return > 0.1, 'bull', if(trailing_return < -0.1, 'bear', if(trailing_return IS NULL, NULL, 'sideways'))) AS regime, trailing_return FROM l""",
+    "labels_forward_returns": """WITH b AS (SELECT *, row_number() OVER (PARTITION BY symbol ORDER BY date) AS t FROM {bars})
+SELECT a.symbol, a.date, c1.close / a.close - 1 AS forward_return_1d, c5.close / a.close - 1 AS forward_return_5d, c2.open / c1.open - 1 AS next_open_return_1d, c6.open / c1.open - 1 AS next_open_return_5d FROM b a
+LEFT JOIN b c1 ON c1.symbol = a.symbol AND c1.t = a.t + 1 LEFT JOIN b c2 ON c2.symbol = a.symbol AND c2.t = a.t + 2 LEFT JOIN b c5 ON c5.symbol = a.symbol AND c5.t = a.t + 5 LEFT JOIN b c6 ON c6.symbol = a.symbol AND c6.t = a.t + 6""",
+    "join_asof_backward": """WITH o AS (SELECT symbol, date, close FROM {panel} WHERE close IS NOT NULL)
+SELECT p.symbol, p.date, (SELECT arg_max(o.close, o.date) FROM o WHERE o.symbol = p.symbol AND o.date <= p.date) AS last_close, (SELECT arg_max(o.close, o.date) FROM o WHERE o.symbol = p.symbol AND o.date < p.date) AS strictly_before FROM {panel} p""",
+    "drawdown": """WITH c AS (SELECT symbol, returns, list_max(list(close) OVER (PARTITION BY symbol ORDER BY date)) AS top, close FROM {bars0})
+SELECT symbol, max(1 - close / top) AS max_drawdown, avg(returns) / nullif(stddev_samp(returns), 0) * sqrt(52) AS sharpe FROM c GROUP BY symbol""",
+}

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from panelspark.operators import folds
 from panelspark.operators.factors import compute, formulas
 from panelspark.plans.formula import duckdb_query, final, library
-from panelspark.plans.statements import _DUCK, _SPARK, STATEMENTS, for_engine
+from panelspark.plans.statements import _DUCK, _SPARK, CHECKS, STATEMENTS, for_engine
 from panelspark.streaming.bars import EVENT_BARS_SQL, streamed_event_bars
 from panelspark.sources.trades import BARS_SQL, PANEL_SQL, research_panel, weekly_bars
 
@@ -35,7 +35,7 @@ def _statement(name: str) -> tuple[Query, str]:
     keys, values, text = STATEMENTS[name]
     whole = _reported(keys, values, text)
     spark_text = for_engine(whole, _SPARK)
-    duck = for_engine(whole, _DUCK)
+    duck = for_engine(_reported(keys, values, CHECKS[name]) if name in CHECKS else whole, _DUCK)
     for place, sql in (("{panel}", PANEL_SQL), ("{bars0}", f"SELECT * FROM ({PANEL_SQL}) z WHERE close IS NOT NULL"), ("{bars}", BARS_SQL)):
         duck = duck.replace(place, f"({sql})")
 

@@ -77,7 +77,7 @@ def test_all_formulas_compile_but_the_unresolved():
                 compile_formulas({name: text})
 
 
-@pytest.mark.parametrize("name", ["factors_custom", "eval_ic", "join_interval_membership", "indicator_kdj", "portfolio_cohorts", "filter_then_rank"])
+@pytest.mark.parametrize("name", ["factors_custom", "eval_ic", "join_interval_membership", "indicator_kdj", "portfolio_cohorts", "filter_then_rank", "eval_rank_autocorr", "style_factor_returns", "eval_turnover"])
 def test_queries_match_their_sql(spark, name):
     queries, oracle = registered.registry()
     con = duckdb.connect()
@@ -101,6 +101,57 @@ def test_account_sells_before_buying_and_trades_whole_lots():
     assert out["positions"].iloc[-1] == 0 and out["equity"].iloc[-1] < folds.CASH
 
 
+def test_account_trades_nothing_at_its_limits_or_without_volume():
+    days = [dt.date(2024, 1, k) for k in range(1, 7)]
+    opens = {"A": [10, 10, 8.9, 10, 10, 10], "B": [10, 11.2, 11.2, 11.2, 11.2, 11.2], "300001": [10, 11.2, 11.2, 11.2, 11.2, 11.2], "C": [10, 10, 10, 10, 10, 10]}
+    prices = pd.DataFrame([(d, s, float(p), 10.0 if s == "A" else float(p), 0.0 if s == "C" and k == 1 else 5.0) for s, x in opens.items() for k, (d, p) in enumerate(zip(days, x))], columns=["date", "symbol", "open", "close", "volume"])
+    picks = pd.DataFrame([(days[0], s, k) for k, s in enumerate(opens)], columns=["date", "symbol", "pos"])
+    out = folds.account(prices, picks, 1, folds.daily_limit)
+    # B opens 12 % up and C has no volume: both blocked; 300001 may move by 20 %; A opens 11 % down on its day of sale and goes a day later
+    assert out["bought"].tolist() == [0, 2, 0, 0, 0, 0] and out["blocked"].tolist() == [0, 2, 1, 0, 0, 0] and out["sold"].tolist() == [0, 0, 1, 1, 0, 0]
+
+
+def test_selectors_match_a_pandas_restatement(spark):
+    rng = np.random.default_rng(5)
+    rows = []
+    for s in ("000001", "300002"):
+        close = 20 * np.exp(rng.normal(0.001, 0.02, 420).cumsum())
+        for k, c in enumerate(close):
+            o = c * (1 + rng.normal(0, 0.01))
+            rows.append((s, dt.date(2022, 1, 3) + dt.timedelta(days=k), o, max(o, c) * 1.005, min(o, c) * 0.995, c, float(rng.integers(1, 9))))
+    bars = pd.DataFrame(rows, columns=["symbol", "date", "open", "high", "low", "close", "volume"])
+    rules = {"b1_zx": (3, 5, 8, 13), "b1_weeks": (2, 3, 4), "brick_zx": (3, 5, 8, 13), "brick_weeks": (2, 3, 4), "brick_greens": 2, "j_quantile": 0.8, "brick_zxdq_ratio": 1.05}
+    frame = spark.createDataFrame(bars, "symbol string, date date, open double, high double, low double, close double, volume double")
+    got = folds.selectors(frame, **rules).toPandas().sort_values(["symbol", "date"]).set_index(["symbol", "date"])
+    seen = {"b1": 0, "brick": 0}
+    for s, p in bars.groupby("symbol"):
+        p = p.set_index(pd.DatetimeIndex(p["date"]))
+        low, high = p["low"].rolling(9, min_periods=1).min(), p["high"].rolling(9, min_periods=1).max()
+        rsv = ((p["close"] - low) / (high - low + 1e-9) * 100).to_numpy()
+        k, d = [50.0], [50.0]
+        for v in rsv[1:]:
+            k.append(2 / 3 * k[-1] + v / 3)
+            d.append(2 / 3 * d[-1] + k[-1] / 3)
+        j = pd.Series(3 * np.array(k) - 2 * np.array(d), p.index)
+        zx = sum(p["close"].rolling(n).mean() for n in (3, 5, 8, 13)) / 4
+        fast = p["close"].ewm(span=10, adjust=False).mean().ewm(span=10, adjust=False).mean()
+        weeks = p["close"].groupby(pd.PeriodIndex(p.index, freq="W-SUN")).agg(["last", lambda x: x.index[-1]])
+        week = pd.Series(weeks["last"].to_numpy(), pd.DatetimeIndex(weeks.iloc[:, 1]))
+        bull = ((week.rolling(2).mean() > week.rolling(3).mean()) & (week.rolling(3).mean() > week.rolling(4).mean())).astype(float).reindex(p.index).ffill().fillna(0) > 0
+        strong = np.array([(w := p.iloc[max(0, i - 19) : i + 1]).iloc[int(np.argmax(w["volume"].to_numpy()))].pipe(lambda r: r["close"] >= r["open"]) for i in range(len(p))])
+        b1 = ((j < -5) | (j <= j.expanding().quantile(0.8))) & (p["close"] > zx) & (fast > zx) & bull & strong
+        brick = pd.Series(folds.brick_height(*(p[c].to_numpy() for c in ("high", "low", "close")))[0], p.index)
+        run = [0]
+        for v in brick.to_numpy()[:-1]:
+            run.append(run[-1] + 1 if v < 0 else 0)
+        pattern = (p["close"].pct_change() < 0.05) & (brick > 0) & (brick.shift() < 0) & (brick >= brick.shift().abs()) & (np.array(run) >= 2)
+        brick_pick = pattern & (p["close"] < fast * 1.05) & (fast > zx) & bull
+        for name, want in (("b1", b1), ("brick", brick_pick)):
+            assert got.loc[s][name].to_numpy().tolist() == want.to_numpy().tolist(), (s, name)
+            seen[name] += int(want.sum())
+    assert seen["b1"] > 3 and seen["brick"] > 0, seen
+
+
 def test_deduplicate_keeps_the_best_of_each_component():
     got = folds.deduplicate([("a", "b", 0.9), ("b", "c", -0.85), ("c", "d", 0.2)], {"a": 1, "b": 3, "c": 2, "d": 0})
     assert got == {"a": "b", "b": "b", "c": "b", "d": "d"}
