@@ -4,9 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
 
-from panelspark.operators import folds
+from panelspark.operators import folds, ranking
 from panelspark.operators.factors import compute, formulas
 from panelspark.plans.formula import duckdb_query, final, library
 from panelspark.plans.statements import _DUCK, _SPARK, CHECKS, STATEMENTS, for_engine
@@ -52,10 +53,46 @@ def _statement(name: str) -> tuple[Query, str]:
     return run, duck
 
 
+def _shown(make: Query, keys: str, values: str) -> Query:
+    return lambda spark, sf_dir: make(spark, sf_dir).selectExpr(*keys.split(), *(f"{final(v)} AS {v}" for v in values.split()))
+
+
 def _factors(texts: dict[str, str]) -> Query:
     return lambda spark, sf_dir: compute(research_panel(spark, sf_dir), texts, report=True)
 
 
+def _lagged_factor(panel: DataFrame) -> DataFrame:
+    """The evaluation frame's factor: minus the return of the row before, where the next return is known."""
+    w = Window.partitionBy("symbol").orderBy("date")
+    x = panel.withColumns({"factor": -F.lag("returns").over(w), "fwd1": F.lead("close").over(w) / F.col("close") - 1, "age": F.count("close").over(w.rowsBetween(Window.unboundedPreceding, 0)), "liquidity": F.avg("amount").over(w.rowsBetween(-20, -1))})
+    return x.where("factor is not null and fwd1 is not null")
+
+
+def _filter_then_rank(spark: SparkSession, sf_dir: str) -> DataFrame:
+    frame = _lagged_factor(research_panel(spark, sf_dir)).select("date", "symbol", F.col("liquidity").alias("filter_value"), F.col("factor").alias("rank_value"), (F.col("age") >= 10).alias("eligible"))
+    return ranking.filter_then_rank(frame)
+
+
+def _rank_ensemble(spark: SparkSession, sf_dir: str) -> DataFrame:
+    values = research_panel(spark, sf_dir).unpivot(["date", "symbol"], ["returns", "volume", "amount"], "factor", "factor_value")
+    return ranking.rank_ensemble(values, {"returns": 0.5, "volume": 0.3, "amount": 0.2})
+
+
+def _picks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    kind = F.when(F.col("close") > F.col("open"), "buy").otherwise("hold")
+    return ranking.signal_picks(weekly_bars(spark, sf_dir).select("date", "symbol", F.col("volume").alias("score"), kind.alias("signal_type")))
+
+
+#: Statements whose plan is an operator; their text is only the check.
+OPERATORS: dict[str, Query] = {
+    "filter_then_rank": _filter_then_rank,
+    "rank_ensemble": _rank_ensemble,
+    "factor_to_signals": lambda s, d: ranking.factor_signals(_lagged_factor(research_panel(s, d)), "factor"),
+    "score_to_signals": lambda s, d: ranking.factor_signals(_lagged_factor(research_panel(s, d)), "factor", whole="ceil"),
+    "signals_to_picks": _picks,
+}
+
+
 def registry() -> tuple[dict[str, Query], dict[str, str]]:
     queries: dict[str, Query] = {}
     oracle: dict[str, str] = {}
@@ -72,8 +109,11 @@ def registry() -> tuple[dict[str, Query], dict[str, str]]:
     queries["streaming_event_bars"], oracle["streaming_event_bars"] = streamed_event_bars, EVENT_BARS_SQL
     for name in STATEMENTS:
         queries[name], oracle[name] = _statement(name)
+        if name in OPERATORS:
+            keys, values, _ = STATEMENTS[name]
+            queries[name] = _shown(OPERATORS[name], keys, values)
     for name, (make, keys, values, sql) in folds.QUERIES.items():
-        queries[name] = (lambda make, keys, values: lambda spark, sf_dir: make(spark, sf_dir).selectExpr(*keys.split(), *(f"{final(v)} AS {v}" for v in values.split())))(make, keys, values)
+        queries[name] = _shown(make, keys, values)
         if sql:
             oracle[name] = _reported(keys, values, sql)
     return queries, oracle

@@ -114,13 +114,13 @@ def test_account_trades_nothing_at_its_limits_or_without_volume():
 def test_selectors_match_a_pandas_restatement(spark):
     rng = np.random.default_rng(5)
     rows = []
-    for s in ("000001", "300002"):
+    for s in ("000001", "300002", "600003", "600004", "600005", "600006"):
         close = 20 * np.exp(rng.normal(0.001, 0.02, 420).cumsum())
         for k, c in enumerate(close):
             o = c * (1 + rng.normal(0, 0.01))
             rows.append((s, dt.date(2022, 1, 3) + dt.timedelta(days=k), o, max(o, c) * 1.005, min(o, c) * 0.995, c, float(rng.integers(1, 9))))
     bars = pd.DataFrame(rows, columns=["symbol", "date", "open", "high", "low", "close", "volume"])
-    rules = {"b1_zx": (3, 5, 8, 13), "b1_weeks": (2, 3, 4), "brick_zx": (3, 5, 8, 13), "brick_weeks": (2, 3, 4), "brick_greens": 2, "j_quantile": 0.8, "brick_zxdq_ratio": 1.05}
+    rules = {"b1_zx": (3, 5, 8, 13), "b1_weeks": (2, 3, 4), "brick_zx": (3, 5, 8, 13), "brick_weeks": (2, 3, 4), "brick_greens": 2, "j_quantile": 0.75, "brick_zxdq_ratio": 1.05}
     frame = spark.createDataFrame(bars, "symbol string, date date, open double, high double, low double, close double, volume double")
     got = folds.selectors(frame, **rules).toPandas().sort_values(["symbol", "date"]).set_index(["symbol", "date"])
     seen = {"b1": 0, "brick": 0}
@@ -139,7 +139,7 @@ def test_selectors_match_a_pandas_restatement(spark):
         week = pd.Series(weeks["last"].to_numpy(), pd.DatetimeIndex(weeks.iloc[:, 1]))
         bull = ((week.rolling(2).mean() > week.rolling(3).mean()) & (week.rolling(3).mean() > week.rolling(4).mean())).astype(float).reindex(p.index).ffill().fillna(0) > 0
         strong = np.array([(w := p.iloc[max(0, i - 19) : i + 1]).iloc[int(np.argmax(w["volume"].to_numpy()))].pipe(lambda r: r["close"] >= r["open"]) for i in range(len(p))])
-        b1 = ((j < -5) | (j <= j.expanding().quantile(0.8))) & (p["close"] > zx) & (fast > zx) & bull & strong
+        b1 = ((j < -5) | (j <= j.expanding().quantile(0.75))) & (p["close"] > zx) & (fast > zx) & bull & strong
         brick = pd.Series(folds.brick_height(*(p[c].to_numpy() for c in ("high", "low", "close")))[0], p.index)
         run = [0]
         for v in brick.to_numpy()[:-1]:
@@ -149,7 +149,7 @@ def test_selectors_match_a_pandas_restatement(spark):
         for name, want in (("b1", b1), ("brick", brick_pick)):
             assert got.loc[s][name].to_numpy().tolist() == want.to_numpy().tolist(), (s, name)
             seen[name] += int(want.sum())
-    assert seen["b1"] > 3 and seen["brick"] > 0, seen
+    assert seen["b1"] > 2 and seen["brick"] > 0, seen
 
 
 def test_deduplicate_keeps_the_best_of_each_component():
