@@ -18,7 +18,7 @@ of its pairs is lost: within a part the graph is walked, two parts are compared
 shard returns a count and a local component for each vector.
 
 Vectors that are null, zero or hold null or non-finite components are linked with nothing. Equal vectors are one node with
-their number. Rows without an id get 0 links and a null component; rows that repeat an id are one vector (the smallest by
+their number. Rows without an id get 0 links, a null component and a null ``kept``; rows that repeat an id are one vector (the smallest by
 value). Vectors are linked with those of their own length; lengths of ``SHARD`` vectors at most, other than the most common
 one, are compared by exact blocks. Labels and other columns are ignored.
 """
@@ -30,6 +30,7 @@ from functools import reduce
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -162,7 +163,8 @@ def greedy(x: np.ndarray, at: np.ndarray, flat: np.ndarray, queries: np.ndarray,
 def expand(x: np.ndarray, at: np.ndarray, flat: np.ndarray, queries: np.ndarray, q: np.ndarray, v: np.ndarray, reach: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """From the pairs given, all pairs (place of the query, node) that a walk over nodes of at least ``reach`` cosine finds, with their cosines."""
     seen = np.zeros((len(queries), len(x)), bool)
-    key = np.unique(np.concatenate([q * len(x) + v, np.arange(len(queries)) * len(x) + queries]))
+    lost = np.setdiff1d(np.arange(len(queries)), q[v == queries[q]])  # a search that doesn't find its own query begins again there
+    key = np.unique(np.concatenate([q * len(x) + v, lost * len(x) + queries[lost]]))
     q, v = key // len(x), key % len(x)
     found = []
     while len(q):
@@ -277,17 +279,16 @@ def _normal(vectors: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            ids, out = [], []
-            for i, v in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
-                if i is None or v is None or any(e is None for e in v):
-                    continue
-                x = np.array(v, np.float64)
-                top = np.abs(x).max() if len(x) else 0
-                if not np.isfinite(x).all() or top == 0:
-                    continue
-                x = x / top
-                ids.append(i), out.append((x / np.linalg.norm(x)).tobytes())
-            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(out, pa.binary())], names=["vec_id", "unit"])
+            b = b.filter(pc.and_(pc.is_valid(b.column(0)), pc.is_valid(b.column(1))))
+            sizes = pc.list_value_length(b.column(1)).to_numpy()
+            for n in np.unique(sizes[sizes > 0]).tolist():
+                t = b.filter(pa.array(sizes == n))
+                x = t.column(1).flatten().to_numpy(zero_copy_only=False).reshape(-1, n).astype(np.float64)  # a null component becomes nan
+                top = np.abs(x).max(1)
+                good = np.flatnonzero(np.isfinite(top) & (top > 0))
+                x = x[good] / top[good, None]
+                x /= np.linalg.norm(x, axis=1)[:, None]
+                yield pa.RecordBatch.from_arrays([t.column(0).take(pa.array(good)), pa.array([r.tobytes() for r in x], pa.binary())], names=["vec_id", "unit"])
 
     return bounded(vectors).mapInArrow(run, "vec_id long, unit binary")
 
@@ -323,11 +324,10 @@ def _searched(nodes: DataFrame, centroids: np.ndarray, margin: float, threshold:
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), b.column(2), pa.array(top, pa.list_(pa.int32()))], names=["node", "unit", "copies", "shards"])
 
     dealt = written(nodes.select("node", "unit", "copies").mapInArrow(near, "node long, unit binary, copies long, shards array<int>"), "dealt")
-    sizes = {r["s"]: r["c"] for r in dealt.select(F.explode("shards").alias("s")).groupBy("s").agg(F.count(F.lit(1)).alias("c")).collect()}  # at most MOST_CENTROIDS rows
-    parts = {s: -(-c // shard) if c > shard else 1 for s, c in sizes.items()}
-    half = {s: (2 * p if p > 1 else 1) for s, p in parts.items()}
-    many = F.element_at(F.create_map(*(F.lit(int(v)) for kv in (half or {0: 1}).items() for v in kv)), F.col("shard"))
-    member = dealt.withColumn("shard", F.explode("shards")).withColumn("parts", many).withColumn("own", F.pmod(F.xxhash64("node"), F.col("parts")).cast("int"))
+    held = dealt.select(F.explode("shards").alias("shard")).groupBy("shard").agg(F.count(F.lit(1)).alias("c"))
+    # a shard beyond the bound is dealt to parts of half the size, two of which meet in a task; at most MOST_CENTROIDS rows
+    many = written(held.select("shard", F.when(F.col("c") > shard, 2 * F.ceil(F.col("c") / shard)).otherwise(1).cast("int").alias("parts")), "shard-parts")
+    member = dealt.withColumn("shard", F.explode("shards")).join(F.broadcast(many), "shard").withColumn("own", F.pmod(F.xxhash64("node"), F.col("parts")).cast("int"))
 
     def make(t: pa.Table) -> pa.Table:
         ids = t.column("node").to_numpy()
@@ -409,4 +409,4 @@ def link(vectors: DataFrame, threshold: float = COSINE, sample: int = SAMPLE, sh
     linked = units.join(named, "unit").select("vec_id", "links", "component")
     out = rows.select("vec_id").join(linked, "vec_id", "left")
     component = F.coalesce("component", "vec_id")
-    return out.select("vec_id", F.coalesce("links", F.lit(0)).cast("long").alias("n_links"), component.alias("component_id"), F.coalesce(F.col("vec_id") == component, F.lit(True)).alias("kept"))
+    return out.select("vec_id", F.coalesce("links", F.lit(0)).cast("long").alias("n_links"), component.alias("component_id"), (F.col("vec_id") == component).alias("kept"))
