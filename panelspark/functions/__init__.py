@@ -1 +0,0 @@
-"""See the package README for what lives here."""

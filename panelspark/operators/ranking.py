@@ -4,16 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Iterable, Mapping
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-
-def percentile_rank(value: str, *by: str, ascending: bool = True) -> Column:
-    """Percentile rank with average ties among the non-null values of a group."""
-    v = F.col(value)
-    lower = F.rank().over(Window.partitionBy(*by, v.isNull()).orderBy(v if ascending else v.desc()))
-    ties, n = F.count(F.lit(1)).over(Window.partitionBy(*by, v)), F.count(v).over(Window.partitionBy(*by))
-    return F.when(v.isNotNull(), (lower + (ties - 1) / F.lit(2.0)) / n)
+from panelspark.functions.columns import percentile_rank
 
 
 def filter_rank_frame(panel: DataFrame, filter_factor: str, rank_factor: str, lag: int = 1, min_age: int = 20, lookback: int = 20, min_liquidity: float = 0.0, turnover: str | None = None, st: str | None = None) -> DataFrame:

@@ -1,7 +1,7 @@
 """Factor formulas as data: a small notation, read into a shared graph of operators and turned into staged relational plans.
 
 A formula is one expression. ``lag5``, ``tsum20``, ``corr10``... carry their window in the name; a published window that
-is no whole number is cut to one (``tsum3.92795`` is ``tsum3``). Quantities that several formulas use have names of their
+is no whole number is cut to one (``tsum3.92795`` is ``tsum3``), 1 at least. Quantities that several formulas use have names of their
 own in ``shared.txt``. Three kinds of choice differ in what they make of missing values: ``where(c, x, y)`` takes a
 comparison with a missing operand as false; ``when(c, x, y)`` is missing where an operand of c is; ``choose(c, x, y)`` is
 missing where an operand of c, x or y is. Counts and conditional sums of a window skip what ``when`` and ``choose`` miss.
@@ -155,7 +155,7 @@ class Reader:
         if name == "neutral":
             return g.add("neutral", g.numeric(args[0]), ("by", args[1]))
         m = re.fullmatch(r"([a-z]+[a-z1]*?)(\d+)?", name)
-        base, n = (name, 0) if name in ELEMENT or name in ("l1", "adv") else (m[1], int(m[2] or 0))
+        base, n = (name, 0) if name in ELEMENT or name in ("l1", "adv") else (m[1], max(1, int(m[2])) if m[2] else 0)
         if base == "tcount":
             one = g.add("num", args[0])
             x = g.add("keep", one, more["valid"]) if "valid" in more else self._kept(one, args[0])

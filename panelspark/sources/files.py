@@ -10,34 +10,17 @@ import json
 import uuid
 from collections.abc import Iterable, Mapping
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-DATE_FORMATS = ("yyyy-MM-dd", "yyyyMMdd", "yyyy/MM/dd", "yyyy-MM-dd HH:mm:ss")
+from panelspark.functions.columns import date_of, number_of, stable_json, symbol_of
+
 #: Columns of a research context that are numbers, and those that are text or flags.
 CONTEXT_NUMBERS = ("open", "high", "low", "close", "volume", "amount", "up_limit", "down_limit", "turnover_value", "daily_return", "market_cap", "circulating_market_cap", "total_mv", "cap", "turnover_rate", "volume_ratio", "pb", "book_to_market", "listing_age_days")
 CONTEXT_LABELS = ("sector", "industry", "subindustry", "regime", "is_st", "is_suspended", "suspend_type", "board", "name")
 
 
-def symbol_of(c: Column | str) -> Column:
-    """A symbol's code: what stands before a dot, digits filled up to six; null for an empty one."""
-    text = F.trim(F.split_part((F.col(c) if isinstance(c, str) else c).cast("string"), F.lit("."), F.lit(1)))
-    return F.when(F.length(text) > 0, F.when(text.rlike("^[0-9]{1,5}$"), F.lpad(text, 6, "0")).otherwise(text))
-
-
-def date_of(c: Column | str) -> Column:
-    """A date from text in any of DATE_FORMATS; null for what is none."""
-    text = F.trim((F.col(c) if isinstance(c, str) else c).cast("string"))
-    return F.coalesce(*(F.try_to_timestamp(text, F.lit(f)) for f in DATE_FORMATS)).cast("date")
-
-
-def number_of(c: Column | str) -> Column:
-    """A finite number; null for text that is none."""
-    x = (F.col(c) if isinstance(c, str) else c).try_cast("double")
-    return F.when(~F.isnan(x) & (F.abs(x) < float("inf")), x)
-
-
 def unique_keys(df: DataFrame, *keys: str) -> DataFrame:
     """``df``; an error if a key is null or stands twice. One aggregation over the keys."""
     bad = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("n")).where(" or ".join([*(f"`{k}` is null" for k in keys), "n > 1"])).limit(1).collect()
@@ -162,16 +145,6 @@ def load_candidates(spark: SparkSession, folder: str, pick_date: str = "latest")
     return json.loads(text)
 
 
-def stable_json(c: Column | str, kind: T.DataType) -> Column:
-    """A struct or map as JSON with its keys in order; null as an empty object."""
-    x = F.col(c) if isinstance(c, str) else c
-    if isinstance(kind, T.MapType):
-        x = F.map_from_entries(F.array_sort(F.map_entries(x)))
-    elif isinstance(kind, T.StructType):
-        x = F.when(x.isNotNull(), F.struct(*(x[n].alias(n) for n in sorted(kind.names))))
-    return F.coalesce(F.to_json(x), F.lit("{}"))
-
-
 def write_table(df: DataFrame, path: str, form: str = "csv", files: int | None = 1) -> None:
     """A table as a folder of CSV or Parquet, put in place of an older one only when whole. Structs and maps become JSON in CSV;
     ``files`` None leaves as many as there are partitions."""
