@@ -41,12 +41,28 @@ def byte_letters() -> list[str]:
     return [chr(b) if b in shown else chr(next(other)) for b in range(256)]
 
 
+def _known(spec: dict) -> None:
+    """An error for a tokenizer file that asks for more than this encoder does."""
+    steps = (spec.get("normalizer") or {}).get("normalizers", [])
+    expected = [("NFC", None, None), ("Replace", {"Regex": r"\s+"}, " "), ("Lowercase", None, None)]
+    if [(x["type"], x.get("pattern"), x.get("content")) for x in steps] != expected:
+        raise ValueError("only NFC, white space as one blank and lower case are known as normalizer")
+    kinds = [x["type"] for x in (spec.get("pre_tokenizer") or {}).get("pretokenizers", [])]
+    if kinds != ["Split", "ByteLevel"] or spec["model"].get("type") != "BPE":
+        raise ValueError("only byte-level BPE of split words is known")
+    if any(spec["model"].get(k) for k in ("dropout", "unk_token", "continuing_subword_prefix", "fuse_unk", "byte_fallback", "ignore_merges")):
+        raise ValueError("an option of the model is not known")
+    if any(x.get(k) for x in spec["added_tokens"] for k in ("single_word", "lstrip", "rstrip", "normalized")):
+        raise ValueError("added tokens are known as plain strings only")
+
+
 class Encoder:
     """The tokens of texts, by backtracking over longest matches."""
 
     def __init__(self, path: str):
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
+        _known(spec)
         model = spec["model"]
         self.end = model["end_of_word_suffix"]
         self.vocab: dict[str, int] = model["vocab"]

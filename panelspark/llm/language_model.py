@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from panelspark.llm import counting
-from panelspark.llm.shared import BLOCK_BYTES, block_count, in_blocks, tidy, written
+from panelspark.llm.shared import BLOCK_BYTES, block_count, blocked_table, dealt, tidy, written
 from panelspark.llm.tokens import follow, text_buffer, word_hashes, word_spans
 
 END, START = np.uint64(0x9AE16A3B2F90404E), np.uint64(0xC2B2AE3D27D4EB4E)
@@ -62,7 +62,7 @@ def _ngrams(table: pa.Table) -> tuple:
 def _ask(buckets: int):
     def run(table: pa.Table) -> pa.Table:
         distinct, counts, _, _, _ = _ngrams(table)
-        return counting.ask(table.column("block")[0].as_py(), distinct, counts, buckets)
+        return counting.ask(table.column("__block")[0].as_py(), distinct, counts, buckets)
 
     return run
 
@@ -135,9 +135,9 @@ def score_documents(docs: DataFrame, modulus: int = 10, prior: float = PRIOR, bl
     held = F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % modulus == 0, F.lit(False))
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).withColumn("held_out", held)
     blocks = block_count(docs, block_bytes=block_bytes)
-    docs = in_blocks(docs, blocks)
-    answers = written(counting.told(docs.groupBy("block").applyInArrow(tidy(_ask(blocks)), counting.ASKED)), "lm-counts")
+    docs = blocked_table(dealt(docs, "doc_id", "text", blocks), "__block", blocks).drop("__row")
+    answers = written(counting.told(docs.groupBy("__block").applyInArrow(tidy(_ask(blocks)), counting.ASKED)), "lm-counts")
     n_distinct, n_train = (int(x or 0) for x in answers.agg(F.sum("seen_distinct"), F.sum("seen_total")).first())
-    scores = docs.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(tidy(_score(n_train, n_distinct, prior)), SCORES)
+    scores = docs.groupBy("__block").cogroup(answers.groupBy("block")).applyInArrow(tidy(_score(n_train, n_distinct, prior)), SCORES)
     base = F.col("base_log") - F.col("n_tokens") * F.log10(F.lit(n_train + 0.1 * (n_distinct + 1)))
     return scores.select("doc_id", "held_out", "n_tokens", "n_known", F.lit(n_train).cast("long").alias("train_tokens"), base.alias("base_score"), "score")

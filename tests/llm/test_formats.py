@@ -158,3 +158,18 @@ def test_rollup_query_matches_brute_force(spark, tmp_path):
                 c["tokens"] += len(e.encode_ordinary(text or "")) + (i in good)
     got = {(r["source"], r["lang"], r["version"]): (r["documents"], r["tokens"]) for r in op9_token_rollup(spark, str(tmp_path)).collect()}
     assert got == {k: (c["documents"], c["tokens"]) for k, c in want.items()}
+
+
+def test_encoder_refuses_files_that_it_does_not_know(tmp_path):
+    import json
+
+    import public_tokenizers
+    from panelspark.llm.bpe import Encoder
+
+    with open(public_tokenizers.path("word_bpe_49k.json"), encoding="utf-8") as f:
+        spec = json.load(f)
+    faults = [("normalizer", None), ("normalizer", {"type": "Sequence", "normalizers": [{"type": "NFKC"}]}), ("pre_tokenizer", {"type": "ByteLevel"}), ("model", spec["model"] | {"byte_fallback": True})]
+    for key, value in faults:
+        (tmp_path / "t.json").write_text(json.dumps(spec | {key: value}), encoding="utf-8")
+        with pytest.raises(ValueError, match="known"):
+            Encoder(str(tmp_path / "t.json"))
