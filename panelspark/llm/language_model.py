@@ -7,12 +7,15 @@ weight, to the next shorter history. One traversal from left to right carries th
 With c the training counts, N all tokens, V the distinct ones and m the prior weight:
     P(w)     = (c(w) + 0.1) / (N + 0.1 (V + 1)), one share standing for every unseen word;
     P(w | v) = (c(v w) + m P(w)) / (c(v) + m), so the failure arc of v weighs m / (c(v) + m).
-Both are proper distributions.
+Both are proper distributions. m is fitted to the training documents alone: of the steps of ``PRIORS`` the one under
+which they are most probable when each is scored by the counts of the others (its own taken off all of c(v w), c(v), c(w)
+and N). Held-out documents have no say in it.
 
 The counts cover all training documents and are exact. Each block of documents asks only for the counts of its own
 n-grams (see ``counting``), builds the automaton over them and scores its documents, so no worker ever needs the whole
 model. Null, empty and word-less texts are one end token. Rows with a null id are scored and learned from as others are
 (``held_out`` is then false). Repeated rows are scored and counted each. Columns other than the two named are ignored.
+Without a training document m is the largest step; of equally good steps the largest is taken.
 """
 
 from __future__ import annotations
@@ -27,10 +30,11 @@ from panelspark.llm.shared import BLOCK_BYTES, block_count, blocked_table, dealt
 from panelspark.llm.tokens import follow, text_buffer, word_hashes, word_spans
 
 END, START = np.uint64(0x9AE16A3B2F90404E), np.uint64(0xC2B2AE3D27D4EB4E)
-#: Weight of the lower order against a history's own counts.
-PRIOR = 2000.0
+#: What the weight of the lower order against a history's own counts is chosen from, a quarter of a decade a step.
+PRIORS = tuple(float(round(10 ** (k / 4), 3)) for k in range(25))
 SCORES = "doc_id long, held_out boolean, n_tokens long, n_known long, base_log double, score double"
 _SCORES = pa.schema([("doc_id", pa.int64()), ("held_out", pa.bool_()), ("n_tokens", pa.int64()), ("n_known", pa.int64()), ("base_log", pa.float64()), ("score", pa.float64())])
+_FITS = pa.schema([("prior", pa.float64()), ("fit", pa.float64())])
 
 
 def _tokens(texts: pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
@@ -100,13 +104,48 @@ def traverse(arc: np.ndarray, weight: np.ndarray, plain: np.ndarray, node: np.nd
     return out
 
 
+def _own(place: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """How often each token's item stands in its own text."""
+    text = np.repeat(np.arange(len(at) - 1), np.diff(at))
+    _, inverse, counts = np.unique(place + text * (int(place.max()) + 1), return_inverse=True, return_counts=True)
+    return counts[inverse]
+
+
+def _totals(answers: pa.Table, distinct: np.ndarray) -> np.ndarray:
+    totals = counting.totals_of(zip(answers.column("bucket").to_pylist(), answers.column("totals").to_pylist()))
+    assert len(totals) == len(distinct), "each distinct item has an answer"
+    return totals
+
+
+def _fit(n_train: int, n_distinct: int):
+    """The log10 probability of a block's training texts under each of PRIORS, each text by the counts of all others."""
+
+    def run(key, docs: pa.Table, answers: pa.Table) -> pa.Table:
+        if not docs.num_rows:
+            return _FITS.empty_table()
+        distinct, _, word, pair, at = _ngrams(docs)
+        totals = _totals(answers, distinct)
+        learned = np.repeat(~np.asarray(docs.column("held_out").combine_chunks().to_numpy(zero_copy_only=False), bool), np.diff(at))
+        length = np.repeat(np.diff(at), np.diff(at))
+        c = totals[word] - _own(word, at)
+        plain = (c + 0.1) / (n_train - length + 0.1 * (n_distinct + 1))
+        before = np.empty_like(c)
+        before[1:] = c[:-1]
+        before[at[:-1]] = totals[np.searchsorted(distinct, END)] - 1
+        both = totals[pair] - _own(pair, at)
+        plain, before, both = plain[learned], before[learned], both[learned]
+        sums = [float(np.log10((both + m * plain) / (before + m)).sum()) for m in PRIORS]
+        return pa.Table.from_arrays([pa.array(PRIORS), pa.array(sums)], schema=_FITS)
+
+    return run
+
+
 def _score(n_train: int, n_distinct: int, prior: float):
     def run(key, docs: pa.Table, answers: pa.Table) -> pa.Table:
         if not docs.num_rows:
             return _SCORES.empty_table()
         distinct, _, word, pair, at = _ngrams(docs)
-        totals = counting.totals_of(zip(answers.column("bucket").to_pylist(), answers.column("totals").to_pylist()))
-        assert len(totals) == len(distinct), "each distinct item has an answer"
+        totals = _totals(answers, distinct)
         c = totals[word]
         n_starts = totals[np.searchsorted(distinct, END)]  # each training text has one end
         plain_p = (c + 0.1) / (n_train + 0.1 * (n_distinct + 1))
@@ -127,10 +166,11 @@ def _score(n_train: int, n_distinct: int, prior: float):
     return run
 
 
-def score_documents(docs: DataFrame, modulus: int = 10, prior: float = PRIOR, block_bytes: int = BLOCK_BYTES) -> DataFrame:
-    """Each row's ``doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score`` from its ``doc_id`` and ``text``.
+def score_documents(docs: DataFrame, modulus: int = 10, prior: float | None = None, block_bytes: int = BLOCK_BYTES) -> DataFrame:
+    """Each row's ``doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score, prior`` from its ``doc_id`` and ``text``.
 
-    Learns from the documents whose crc32 of the id's decimal form leaves a remainder of ``modulus`` other than 0.
+    Learns from the documents whose crc32 of the id's decimal form leaves a remainder of ``modulus`` other than 0, and fits
+    ``prior`` to them where none is given.
     """
     held = F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % modulus == 0, F.lit(False))
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).withColumn("held_out", held)
@@ -138,6 +178,10 @@ def score_documents(docs: DataFrame, modulus: int = 10, prior: float = PRIOR, bl
     docs = blocked_table(dealt(docs, "doc_id", "text", blocks), "__block", blocks).drop("__row")
     answers = written(counting.told(docs.groupBy("__block").applyInArrow(tidy(_ask(blocks)), counting.ASKED)), "lm-counts")
     n_distinct, n_train = (int(x or 0) for x in answers.agg(F.sum("seen_distinct"), F.sum("seen_total")).first())
+    if prior is None:
+        fits = docs.groupBy("__block").cogroup(answers.groupBy("block")).applyInArrow(tidy(_fit(n_train, n_distinct)), "prior double, fit double")
+        best = fits.groupBy("prior").agg(F.sum("fit").alias("fit")).agg(F.max_by("prior", F.struct("fit", "prior"))).first()[0]
+        prior = float(best) if best is not None else PRIORS[-1]
     scores = docs.groupBy("__block").cogroup(answers.groupBy("block")).applyInArrow(tidy(_score(n_train, n_distinct, prior)), SCORES)
     base = F.col("base_log") - F.col("n_tokens") * F.log10(F.lit(n_train + 0.1 * (n_distinct + 1)))
-    return scores.select("doc_id", "held_out", "n_tokens", "n_known", F.lit(n_train).cast("long").alias("train_tokens"), base.alias("base_score"), "score")
+    return scores.select("doc_id", "held_out", "n_tokens", "n_known", F.lit(n_train).cast("long").alias("train_tokens"), base.alias("base_score"), "score", F.lit(prior).alias("prior"))

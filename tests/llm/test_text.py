@@ -138,7 +138,7 @@ def test_short_lines_are_compared_too(spark, tmp_path):
 
 
 def test_language_model_matches_formula(docs, rows, empty):
-    from panelspark.llm.language_model import score_documents
+    from panelspark.llm.language_model import PRIORS, score_documents
 
     got = Counter((r["doc_id"], r["held_out"], r["n_tokens"], r["n_known"], r["train_tokens"], round(r["base_score"], 5), round(r["score"], 5)) for r in score_documents(docs, prior=50.0, block_bytes=9000).collect())
     tokens = [(r[0], r[0] is not None and zlib.crc32(str(r[0]).encode()) % 10 == 0, words(r[1]) + ["</s>"]) for r in rows]
@@ -154,6 +154,21 @@ def test_language_model_matches_formula(docs, rows, empty):
     assert sum((got & want).values()) >= len(rows) - 2, differing  # the last printed digit may differ
     assert score_documents(empty).count() == 0
 
+    def fit(m):
+        total = 0.0
+        for _, held, w in tokens:
+            if held:
+                continue
+            own, twos = Counter(w), Counter(zip(["<s>", *w], w))
+            own["<s>"] = 1
+            for a, b in zip(["<s>", *w], w):
+                lower = (c[b] - own[b] + 0.1) / (n - len(w) + 0.1 * (v + 1))
+                total += math.log10((pairs[a, b] - twos[a, b] + m * lower) / (seen(a) - own[a] + m))
+        return total
+
+    fitted = {r["prior"] for r in score_documents(docs, block_bytes=9000).collect()}
+    assert fitted == {max(PRIORS, key=lambda m: (fit(m), m))}
+
 
 def test_mixing_matches_its_sql_and_its_rows(docs, empty):
     from panelspark.llm.mixing import SIZES_SQL, mix, mix_sizes
