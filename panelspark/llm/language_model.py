@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from panelspark.llm import counting
-from panelspark.llm.shared import BLOCK_BYTES, block_count, blocked_table, dealt, tidy, written
+from panelspark.llm.shared import BLOCK_BYTES, block_count, blocked_table, dealt, tidy
 from panelspark.llm.tokens import follow, text_buffer, word_hashes, word_spans
 
 END, START = np.uint64(0x9AE16A3B2F90404E), np.uint64(0xC2B2AE3D27D4EB4E)
@@ -176,7 +176,8 @@ def score_documents(docs: DataFrame, modulus: int = 10, prior: float | None = No
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).withColumn("held_out", held)
     blocks = block_count(docs, block_bytes=block_bytes)
     docs = blocked_table(dealt(docs, "doc_id", "text", blocks), "__block", blocks).drop("__row")
-    answers = written(counting.told(docs.groupBy("__block").applyInArrow(tidy(_ask(blocks)), counting.ASKED)), "lm-counts")
+    # both passes read the answers beside the documents of their block, without a shuffle of their own
+    answers = blocked_table(counting.told(docs.groupBy("__block").applyInArrow(tidy(_ask(blocks)), counting.ASKED)), "block", blocks)
     n_distinct, n_train = (int(x or 0) for x in answers.agg(F.sum("seen_distinct"), F.sum("seen_total")).first())
     if prior is None:
         fits = docs.groupBy("__block").cogroup(answers.groupBy("block")).applyInArrow(tidy(_fit(n_train, n_distinct)), "prior double, fit double")
