@@ -7,7 +7,8 @@ import gc
 import re
 import tempfile
 import uuid
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -73,11 +74,24 @@ def bounded(df: DataFrame) -> DataFrame:
     return df
 
 
+@contextmanager
+def _own_shuffles(spark: SparkSession) -> Iterator[None]:
+    """What is executed inside deletes its shuffle files when it ends, not whenever the driver collects its garbage."""
+    name = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = spark.conf.get(name, "false")
+    spark.conf.set(name, "true")
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
+
+
 def written(df: DataFrame, name: str) -> DataFrame:
     """The rows of ``df``, written to the shared folder once and read from there: lost executors cost no recomputation."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    with _own_shuffles(spark):
+        df.write.parquet(path)
     back = spark.read.schema(df.schema).parquet(path)
     back.panelspark_path = path
     return back
@@ -111,7 +125,8 @@ def blocked_table(df: DataFrame, by: str, blocks: int) -> DataFrame:
     spark = df.sparkSession
     name = f"panelspark_{uuid.uuid4().hex}"
     buckets = min(blocks, 50_000)
-    df.repartition(buckets, by).write.format("parquet").option("path", f"{shared_dir(spark)}/{name}").bucketBy(buckets, by).saveAsTable(name)
+    with _own_shuffles(spark):
+        df.repartition(buckets, by).write.format("parquet").option("path", f"{shared_dir(spark)}/{name}").bucketBy(buckets, by).saveAsTable(name)
     out = spark.table(name)
     out.panelspark_path, out.panelspark_table = f"{shared_dir(spark)}/{name}", name
     return out
