@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from panelspark.operators import folds, ranking
+from panelspark.operators import folds, learning, ranking
 from panelspark.operators.factors import compute, formulas
 from panelspark.plans.formula import duckdb_query, final, library
 from panelspark.plans.statements import _DUCK, _SPARK, CHECKS, STATEMENTS, for_engine
@@ -83,6 +83,40 @@ def _picks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ranking.signal_picks(weekly_bars(spark, sf_dir).select("date", "symbol", F.col("volume").alias("score"), kind.alias("signal_type")))
 
 
+def _ml_dataset(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return learning.dataset(research_panel(spark, sf_dir), ["returns", "volume"], [1, 4], directions={"returns": -1}, feature_transform="rank")
+
+
+def _elastic_net(spark: SparkSession, sf_dir: str) -> DataFrame:
+    frame = _ml_dataset(spark, sf_dir)
+    days = [r["date"] for r in frame.select("date").distinct().collect()]  # a row a date
+    return learning.walk_forward(frame, ["returns", "volume"], "forward_return_1d", learning.folds_by_years(days, 2, 1, 1), learning.elastic_net())
+
+
+def _prediction_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    scored = _lagged_factor(research_panel(spark, sf_dir)).select("symbol", "date", F.col("factor").alias("score"), "fwd1", F.year("date").alias("yr"))
+    return learning.prediction_metrics(scored, "fwd1", ["yr"])
+
+
+_RANKED = "CASE WHEN {x} IS NOT NULL THEN (rank() OVER (PARTITION BY date ORDER BY {x} NULLS LAST) + (count(*) OVER (PARTITION BY date, {x}) - 1) / 2.0::DOUBLE) / count({x}) OVER (PARTITION BY date) END AS {x}"
+_DATASET_SQL = f"""WITH p AS ({PANEL_SQL}), f AS (SELECT symbol, date, close, lag(CASE WHEN close IS NOT NULL THEN -returns END) OVER w AS returns, lag(CASE WHEN close IS NOT NULL THEN volume END) OVER w AS volume FROM p WINDOW w AS (PARTITION BY symbol ORDER BY date)),
+r AS (SELECT symbol, date, {_RANKED.format(x='returns')}, {_RANKED.format(x='volume')} FROM f WHERE close IS NOT NULL),
+l AS (SELECT symbol, date, lead(close, 1) OVER w / close - 1 AS forward_return_1d, lead(close, 4) OVER w / close - 1 AS forward_return_4d FROM p WHERE close IS NOT NULL WINDOW w AS (PARTITION BY symbol ORDER BY date))
+SELECT r.*, forward_return_1d, forward_return_4d FROM r JOIN l USING (symbol, date)"""
+_METRICS_SQL = f"""WITH z AS (SELECT symbol, date, -lag(returns) OVER w AS s, lead(close) OVER w / close - 1 AS y FROM ({PANEL_SQL}) p WINDOW w AS (PARTITION BY symbol ORDER BY date)),
+k AS (SELECT year(date) AS yr, date, s, y, rank() OVER (PARTITION BY date ORDER BY s) + (count(*) OVER (PARTITION BY date, s) - 1) / 2.0::DOUBLE AS rs, rank() OVER (PARTITION BY date ORDER BY y) + (count(*) OVER (PARTITION BY date, y) - 1) / 2.0::DOUBLE AS ry FROM z WHERE s IS NOT NULL AND y IS NOT NULL),
+d AS (SELECT yr, date, CASE WHEN min(rs) < max(rs) AND min(ry) < max(ry) THEN corr(rs, ry) END AS ic FROM k GROUP BY yr, date),
+i AS (SELECT yr, avg(ic) AS rank_ic_mean, count(ic) AS rank_ic_date_count FROM d GROUP BY yr),
+t AS (SELECT yr, count(*) AS count, avg((s - y) * (s - y)) AS mse, avg(abs(s - y)) AS mae, corr(s, y) AS pearson FROM k GROUP BY yr)
+SELECT CAST(yr AS INT) AS yr, count, mse, mae, pearson, rank_ic_mean, rank_ic_date_count FROM t JOIN i USING (yr)"""
+
+#: name: (plan, key columns, value columns, SQL or none)
+LEARNING: dict[str, tuple[Query, str, str, str | None]] = {
+    "ml_dataset": (_ml_dataset, "symbol date", "returns volume forward_return_1d forward_return_4d", _DATASET_SQL),
+    "ml_walk_forward_elastic_net": (_elastic_net, "symbol date fold", "forward_return_1d score", None),
+    "ml_prediction_metrics": (_prediction_metrics, "yr count rank_ic_date_count", "mse mae pearson rank_ic_mean", _METRICS_SQL),
+}
+
 #: Statements whose plan is an operator; their text is only the check.
 OPERATORS: dict[str, Query] = {
     "filter_then_rank": _filter_then_rank,
@@ -112,7 +146,7 @@ def registry() -> tuple[dict[str, Query], dict[str, str]]:
         if name in OPERATORS:
             keys, values, _ = STATEMENTS[name]
             queries[name] = _shown(OPERATORS[name], keys, values)
-    for name, (make, keys, values, sql) in folds.QUERIES.items():
+    for name, (make, keys, values, sql) in (folds.QUERIES | LEARNING).items():
         queries[name] = _shown(make, keys, values)
         if sql:
             oracle[name] = _reported(keys, values, sql)
